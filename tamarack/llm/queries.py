@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm.bpe import op4_byte_bpe
+from tamarack.llm.language import op10_language_id
+from tamarack.llm.packing import op5_packing
+from tamarack.llm.simhash import op3_simhash
 from tamarack.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
