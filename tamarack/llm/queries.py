@@ -11,11 +11,13 @@ from tamarack.llm.language import op10_language_id
 from tamarack.llm.packing import op5_packing
 from tamarack.llm.simhash import op3_simhash
 from tamarack.llm.token_counts import op9_token_counts
+from tamarack.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
