@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm.bpe import op4_byte_bpe
 from tamarack.llm.language import op10_language_id
+from tamarack.llm.media import op6_media
 from tamarack.llm.packing import op5_packing
 from tamarack.llm.simhash import op3_simhash
 from tamarack.llm.token_counts import op9_token_counts
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op6_media": op6_media,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
