@@ -13,6 +13,7 @@ from tamarack.llm.packing import op5_packing
 from tamarack.llm.simhash import op3_simhash
 from tamarack.llm.token_counts import op9_token_counts
 from tamarack.llm.toxicity import op7_toxicity
+from tamarack.llm.vectors import op8_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_media": op6_media,
     "op7_toxicity": op7_toxicity,
+    "op8_vectors": op8_vectors,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
