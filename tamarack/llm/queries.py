@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm.bpe import op4_byte_bpe
+from tamarack.llm.chat import OP1_SQL, op1_chat_snapshots
 from tamarack.llm.language import op10_language_id
+from tamarack.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tamarack.llm.media import op6_media
 from tamarack.llm.packing import op5_packing
 from tamarack.llm.simhash import op3_simhash
@@ -16,6 +18,8 @@ from tamarack.llm.toxicity import op7_toxicity
 from tamarack.llm.vectors import op8_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_snapshots": op1_chat_snapshots,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
@@ -26,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op2_line_dedup": OP2_SQL}
