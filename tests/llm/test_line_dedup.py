@@ -1,32 +1,10 @@
 import random
-import re
 
 import duckdb
 
 from tamarack.llm import line_dedup as L
 from tamarack.llm.common import table
-
-
-def words(line):
-    line = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
-    return frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
-
-
-def brute(docs, threshold=0.8):
-    """docs: (doc_id, text) with distinct ids -> {doc_id: (text, lines, removed)}."""
-    seen, out = [], {}
-    for i, text in sorted(d for d in docs if d[1] is not None):
-        kept, lines = [], text.split("\n")
-        for line in lines:
-            own = words(line)
-            if own and any(5 * min(len(own), len(o)) >= 4 * max(len(own), len(o)) and len(own & o) >= threshold * len(own | o) - 1e-9 for o in seen):
-                seen.append(own)
-                continue
-            if own:
-                seen.append(own)
-            kept.append(line)
-        out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
-    return out
+from tests_llm_plain import brute_lines as brute
 
 
 def test_random_lines(spark, monkeypatch):
@@ -55,7 +33,7 @@ def test_query_against_brute_force_and_sql(spark, sf_dir):
     assert got == brute(docs)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
-    assert {r[0]: tuple(r[1:]) for r in con.execute(L.OP2_SQL.replace("SELECT d.doc_id", "SELECT d.doc_id", 1)).fetchall()} == got
+    assert {r[0]: tuple(r[1:]) for r in con.execute(L.OP2_SQL).fetchall()} == got
 
 
 def test_cases(spark):

@@ -1,34 +1,10 @@
-import re
-
 import numpy as np
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tamarack.llm.common import table
 from tamarack.llm.simhash import deduplicate, fingerprint, near_duplicates, op3_simhash, trie_pairs
-
-
-def plain_fingerprint(text):
-    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if not words:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(prints):
-    ids = list(prints)
-    comp = {i: i for i in ids}
-    while True:
-        before = dict(comp)
-        for a in ids:
-            for b in ids:
-                if (prints[a] ^ prints[b]).bit_count() <= 2:
-                    comp[a] = min(comp[a], comp[b])
-        if comp == before:
-            return comp
+from tests_llm_plain import brute_components, plain_fingerprint
 
 
 @settings(max_examples=60, deadline=None)
