@@ -1 +1 @@
-
+"""Functions from columns to columns; all stay inside the JVM."""

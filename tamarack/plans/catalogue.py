@@ -1,16 +1,12 @@
-"""Registered queries over the driver's tables and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tamarack.plans import fields, records, reports, sites  # noqa: F401  (they register their queries)
+from tamarack.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 

@@ -1 +1 @@
-
+"""Readers of listing files and writers of results."""

@@ -1 +1 @@
-
+"""The batch functions over streams."""
