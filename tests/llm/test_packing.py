@@ -5,11 +5,21 @@ from collections import defaultdict
 from tokenizers import Tokenizer
 
 from tamarack.llm.common import table, tokenizer_path
-from tamarack.llm.packing import TOKENIZER, op5_packing, pack
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tamarack.llm.packing import RANKS, TOKENIZER, load, op5_packing, pack
 
 LIBRARY = Tokenizer.from_file(tokenizer_path(TOKENIZER))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from("ab cé\n\t\u2014\u2019\xa0\x85ß1²٣日本\U0001f600'")), max_size=60))
+def test_ids_are_the_librarys(text):
+    (got,) = load(tokenizer_path(TOKENIZER), tokenizer_path(RANKS))([text])
+    assert list(memoryview(got).cast("I")) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def verify(docs, rows, longest=2048, partitions=None):
     want = sorted((array("I", [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 1]).tobytes()) for _, t in docs)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
