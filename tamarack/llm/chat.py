@@ -31,10 +31,12 @@ def prefix_hashes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
             F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
             F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-        ).where("conv_id is not null").distinct()
+        ).where("conv_id is not null")
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = rows.withColumn("place", F.row_number().over(order))
+    whole = F.struct(F.coalesce(F.col("turn").cast("string"), F.lit("")).alias("t"), "role", "text")
+    once = rows.withColumn("_again", F.lag(whole).over(order).eqNullSafe(whole)).where("not _again")
+    placed = once.withColumn("place", F.row_number().over(order))  # the same windows: one shuffle serves all
     rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.select(
         "conv_id", "place", "role", "text",

@@ -9,24 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files of public tokenizers lie, unless a caller names another folder.
-TOKENIZER_DIR = "/opt/tokenizers"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
-    """A vocabulary file: in ``folder``, else where the public_tokenizers package says."""
+    """A vocabulary file: in ``folder``, else where the public_tokenizers package has it."""
     if folder:
         return os.path.join(folder, name)
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(TOKENIZER_DIR, name)
+    return public_tokenizers.path(name)
 
 
 def map_texts(
