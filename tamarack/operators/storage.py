@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +51,11 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def broadcast_if_small(table: DataFrame, most_rows: int) -> DataFrame:
+    """A written table, marked for broadcast where it is counted to hold at most ``most_rows`` rows.
+
+    Beyond that it is left as it is, and its joins shuffle. Rows must be of a few hundred bytes at most.
+    """
+    return F.broadcast(table) if table.count() <= most_rows else table
