@@ -154,3 +154,10 @@ def score_entities(facts: DataFrame, weights: tuple[float, float, float] = WEIGH
             "verdict": verdict(c("has_website"), c("reachable"), c("http_status"), c("audit_missing"), c("issue_codes"), c("social_count")),
         }
     ).withColumn("qualified", F.size("failed") == 0).drop("_q", "_v", "total")
+
+
+def escalated(candidates: DataFrame, cap: int, least: float = MIN_TOTAL, sure: float = 70.0) -> DataFrame:
+    """Candidates (id, total, recommended) worth a deep pass, the best ``cap`` by total: those of ``least`` or more
+    that the fast pass recommends or didn't see (null), and all of ``sure`` or more."""
+    worth = (F.col("total") >= least) & (F.coalesce("recommended", F.lit(True)) | (F.col("total") >= sure))
+    return candidates.where(worth).orderBy(F.desc("total"), "id").limit(cap)

@@ -132,6 +132,29 @@ def issue_weight(codes: Column) -> Column:
     return F.aggregate(codes, F.lit(0), lambda a, x: a + F.coalesce(F.element_at(table, x), F.lit(0)))
 
 
+# What a summary says of findings, the first code of a group that a site has.
+HIGHLIGHTS = (
+    (("no_mobile_viewport",), "no responsive mobile layout"),
+    (("no_contact_path",), "no usable contact path"),
+    (("no_booking_path",), "no online booking"),
+    (("very_slow_response", "slow_response"), "slow response ({ms} ms)"),
+    (("legacy_markup", "stale_copyright"), "dated build"),
+)
+
+
+def summary(codes: Column, pages: Column, response_ms: Column) -> Column:
+    """One sentence on a site: that it doesn't load, or its pages and what its findings come to."""
+    has = lambda names: F.arrays_overlap(codes, F.array(*(F.lit(n) for n in names)))
+    said = lambda text: F.replace(F.lit(text), F.lit("{ms}"), F.coalesce(response_ms.cast("string"), F.lit("?")))
+    found = F.filter(F.array(*(F.when(has(names), said(text)) for names, text in HIGHLIGHTS)), lambda x: x.isNotNull())
+    audited = F.concat(F.lit("Audited "), pages.cast("string"), F.lit(" pages"))
+    return (
+        F.when(has(("http_error_status",)), "The homepage does not load successfully.")
+        .when(F.size(found) == 0, F.concat(audited, F.lit("; the site is technically sound with only minor findings.")))
+        .otherwise(F.concat(audited, F.lit(". Key problems: "), F.concat_ws(", ", found), F.lit(".")))
+    )
+
+
 def verdict(has_website: Column, reachable: Column, http_status: Column, audit_missing: Column, codes: Column, socials: Column) -> Column:
     """The ordered label of a site's state."""
     has = lambda *names: F.arrays_overlap(codes, F.array(*(F.lit(n) for n in names)))

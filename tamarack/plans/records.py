@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text
 from tamarack.operators import classify, relational, resolve, scoring, search
+from tamarack.operators.storage import new_path
 from tamarack.plans.fields import GRAMS_SQL, NORM, TOKENS_SQL
 from tamarack.plans.registry import query, table
 from tamarack.sources import listings, sinks
@@ -357,3 +358,44 @@ def batch(spark, sf):
     docs = search.search_documents(parts, F.concat_ws(" ", "name", "p_type"))
     queries = spark.createDataFrame([(1, "blue bolt", None), (2, "Red", None), (3, "", "Brand#3"), (4, "stel rings", None)], "query_id int, query string, category string")
     return search.batch_search(queries, docs, 10).select("query_id", "id", "opportunity", F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    "E7_escalation",
+    """SELECT o_orderkey AS id, o_totalprice / 5000 AS total FROM orders WHERE o_totalprice / 5000 >= 45 AND (o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 OR o_totalprice / 5000 >= 70) ORDER BY total DESC, id LIMIT 100""",
+)
+def escalation(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_totalprice / 5000 AS total", "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 2 THEN false END AS recommended")
+    return scoring.escalated(rows, 100).select("id", "total")
+
+
+LISTED_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS source_id, 'A \"' || c_name || '\"; x' AS name, CAST(c_custkey % 700 AS INTEGER) AS review_count, {0}::DOUBLE AS confidence FROM customer"
+
+
+def _listed(spark, sf):
+    return table(spark, sf, "customer").selectExpr("cast(c_custkey as string) AS id", "concat('A \"', c_name, '\"; x') AS nombre", "cast(c_custkey % 700 as string) AS resenas")
+
+
+@query("A1_csv_source", LISTED_SQL.format("0.8"))
+def csv_source(spark, sf):
+    path = new_path(spark, "listing-csv")
+    _listed(spark, sf).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return listings.map_fields(listings.read_csv(spark, path, ";"), "csv", 0.8, F.expr(AT)).select("source_id", "name", "review_count", "confidence")
+
+
+@query("A2_A3_json_source", LISTED_SQL.format("0.9"))
+def json_source(spark, sf):
+    path = new_path(spark, "listing-json")
+    _listed(spark, sf).write.json(path)
+    return listings.map_fields(listings.read_json(spark, path, ["id", "nombre", "resenas"], lines=True), "manual", 0.9, F.expr(AT)).select("source_id", "name", "review_count", "confidence")
+
+
+@query("B4_B5_timeline", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def timeline(spark, sf):
+    path = new_path(spark, "timeline")
+    events = table(spark, sf, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    for part in (events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")):
+        sinks.append_timeline(part, path)
+    again = spark.read.schema(events.schema).parquet(path)
+    snapshot = sinks.write_snapshot(again.groupBy("day", "event_type").agg(F.count("*").alias("n")))
+    return spark.read.parquet(snapshot)

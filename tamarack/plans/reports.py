@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import hashing, text
 from tamarack.operators import cache, relational
+from tamarack.operators.storage import new_path
 from tamarack.plans.registry import query, table
 from tamarack.streaming import jobs
 
@@ -207,3 +208,23 @@ def session_runs(spark, sf):
 @query("O5_budget_flags")
 def budget(spark, sf):
     return jobs.budget_flags(table(spark, sf, "events"), "user_id", "ts", "event_id", limit=2, window_seconds=86_400)
+
+
+@query(
+    "O1_O2_incremental_ingest",
+    """SELECT o_custkey % 50 AS source_id, min(o_orderdate) AS retrieved_at FROM orders GROUP BY 1""",
+)
+def ingest(spark, sf):
+    """A stream of records, the first of each id within the watermark, written by batch and read as one table."""
+    source, out = new_path(spark, "ingest-in"), new_path(spark, "ingest-out")
+    records = table(spark, sf, "orders").select(
+        F.lit("orders").alias("source"), (F.col("o_custkey") % 50).alias("source_id"), F.col("o_orderdate").cast("timestamp").alias("retrieved_at")
+    )
+    first = records.groupBy("source", "source_id").agg(F.min("retrieved_at").alias("retrieved_at"))
+    first.write.parquet(f"{source}/a")
+    first.write.parquet(f"{source}/b")  # the same records come again
+    stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", True).parquet(source)
+    jobs.ingest(
+        jobs.first_seen(stream, delay="20000 days"), lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), new_path(spark, "ingest-cp")
+    ).awaitTermination()
+    return spark.read.parquet(out).select("source_id", F.col("retrieved_at").cast("timestamp_ntz").alias("retrieved_at"))

@@ -216,3 +216,42 @@ def drafts(spark, sf):
     )
     titles = spark.createDataFrame([(c, "en", "Not made for phones" if c == "no_mobile_viewport" else c) for c in CODES], "code string, language string, title string")
     return outreach.compose(leads, templates, titles).select(F.col("id").alias("site"), "channel", "message")
+
+
+@query(
+    "I12_audit_summary",
+    f"""WITH {_codes_sql()} SELECT site, 'Audited ' || n_pages || ' pages. Key problems: ' || array_to_string(list_filter(['no responsive mobile layout',
+      CASE WHEN list_contains(codes, 'no_contact_path') THEN 'no usable contact path' END, CASE WHEN list_contains(codes, 'no_booking_path') THEN 'no online booking' END,
+      CASE WHEN list_has_any(codes, ['legacy_markup', 'stale_copyright']) THEN 'dated build' END], lambda x: x IS NOT NULL), ', ') || '.' AS summary FROM c""",
+)
+def summary(spark, sf):
+    return _issues(spark, sf).select("site", sites.summary(F.col("issue_codes"), F.col("n_pages"), F.lit(None).cast("int")).alias("summary"))
+
+
+SHELL = "concat('<html><body><div id=\"', CASE c_custkey % 3 WHEN 0 THEN 'root' ELSE 'x' END, '\"></div>', CASE c_custkey % 4 WHEN 1 THEN '<h1>a</h1>' ELSE '' END, CASE c_custkey % 5 WHEN 2 THEN '' ELSE '<script src=a.js></script>' END, repeat('word ', CASE c_custkey % 7 WHEN 3 THEN 100 ELSE 2 END), '</body></html>')"
+
+
+@query(
+    "I4_needs_rendering",
+    "SELECT c_custkey, c_custkey % 7 <> 3 AND c_custkey % 5 <> 2 AND (c_custkey % 3 = 0 OR c_custkey % 4 <> 1) AS shell FROM customer",
+)
+def shells(spark, sf):
+    from tamarack.functions.html import needs_rendering, page_signals
+
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(SHELL).alias("html"))
+    signals_ = page_signals(F.col("html"))
+    wanted = ("text", "script_count", "has_app_root", "heading_levels")
+    return rows.select("c_custkey", *(signals_[n].alias(n) for n in wanted)).select("c_custkey", needs_rendering().alias("shell"))
+
+
+@query(
+    "I10_officialness",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 0.3::DOUBLE ELSE 0 END + 0.4::DOUBLE + CASE c_custkey % 3 WHEN 1 THEN 0.12::DOUBLE WHEN 2 THEN 0.08::DOUBLE ELSE 0 END AS confidence FROM customer""",
+)
+def official(spark, sf):
+    c = table(spark, sf, "customer").where("c_custkey is not null")
+    site = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("customer"), F.col("c_custkey").cast("string"), F.lit(".es"))).otherwise(F.concat(F.lit("zz"), F.col("c_custkey").cast("string"), F.lit("qq.es")))
+    name = F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" of the town"))
+    businesses = c.select(F.col("c_custkey").alias("id"), name.alias("name"), F.lit("none").alias("phone"), F.when(F.col("c_custkey") % 3 == 1, "29005").alias("postal_code"), F.when(F.col("c_custkey") % 3 == 2, "Malaga").alias("city"), site.alias("site"))
+    pages = c.select(site.alias("site"), name.alias("title"), F.lit("We are in Málaga").alias("text"), F.lit("<p>29005 Málaga</p>").alias("html"))
+    return sites.officialness(businesses, pages).select("id", "confidence")

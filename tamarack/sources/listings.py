@@ -52,11 +52,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.dropna("all") if df.columns else df
 
 
-def read_json(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """An array of records, or an object that holds one under businesses, records or data; fields as strings."""
+def read_json(spark: SparkSession, path: str, fields: list[str], lines: bool = False) -> DataFrame:
+    """An array of records, or an object that holds one under businesses, records or data; fields as strings.
+
+    ``lines``: one record or object to a line, which lets Spark split large files.
+    """
     record = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     wrapped = [T.StructField(n, T.ArrayType(record)) for n in ("businesses", "records", "data") if n not in fields]
-    raw = spark.read.schema(T.StructType([*record.fields, *wrapped])).option("multiLine", True).json(path)
+    raw = spark.read.schema(T.StructType([*record.fields, *wrapped])).option("multiLine", not lines).json(path)
     inner = F.coalesce(*(F.col(f.name) for f in wrapped))
     own = F.array(F.struct(*(F.col(f"`{f}`") for f in fields)))
     return raw.select(F.explode(F.when(inner.isNotNull(), inner).otherwise(own)).alias("r")).select("r.*")
