@@ -15,7 +15,9 @@ earliest alone; only lines that this leaves are compared with all others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import table
-from tamarack.operators.storage import drop, written
+from tamarack.operators.storage import broadcast_if_small, drop, written
 
 THRESHOLD = 0.8
 SKETCH_BITS = 22
 HOT_COUNT = 64
+#: Tables of up to so many narrow rows are broadcast; larger ones are joined by shuffles.
+SMALL_ROWS = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Steps of the logarithmic counter: level k stands for counts up to 1.2 ** k; level 0 stands for a count of 1 alone.
 _LEVELS = np.unique(np.ceil(1.2 ** np.arange(0, 220)).clip(max=2**62)).astype(np.int64)[:250]
@@ -40,24 +44,18 @@ def words_of(line: Column) -> Column:
     )
 
 
-class _Hashes:
-    """64-bit hashes of words; remembers a bounded number."""
+class _Index(dict):
+    """Numbers words in the order in which they first come."""
 
-    def __init__(self, limit: int = 400_000):
-        self.known, self.limit = {}, limit
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
 
-        found = list(map(self.known.get, words))
-        if None in found:
-            digest = xxhash.xxh3_64_intdigest
-            fresh = {w: digest(w) for w, h in zip(words, found) if h is None}
-            found = [fresh[w] if h is None else h for w, h in zip(words, found)]
-            if len(self.known) + len(fresh) > self.limit:
-                self.known.clear()
-            self.known.update((w, h) for w, h in fresh.items() if len(w) <= 64)
-        return np.array(found, dtype=np.uint64)
+def _hashes(words: Iterable[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
 
 
 def _blocks(batch: pa.RecordBatch, at: int, limit: int = 4_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -75,26 +73,25 @@ def _blocks(batch: pa.RecordBatch, at: int, limit: int = 4_000_000) -> Iterator[
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A sketch of 2 ** SKETCH_BITS levels of how often the words of the corpus occur, each line's words once.
+    """A sketch of 2 ** SKETCH_BITS levels of how often the words of the corpus occur.
 
     The sketch is summed where the corpus is; what reaches the driver is its fixed size (4 MB).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = _Hashes(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for _, _, texts in _blocks(batch, 0):
-                words = [w for t in texts for line in t.lower().split(b"\n") for w in set(line.split())]
-                if words:
-                    total += np.bincount((hashes(words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                found = Counter(chain.from_iterable(t.lower().split() for t in texts))
+                n = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+                np.add.at(total, (_hashes(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), n)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 100_000):
             part = at[a : a + 100_000]
             yield pa.RecordBatch.from_pydict({"bucket": part.astype(np.int32), "n": total[part]})
 
     sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, n long")
-    level = F.col("n")
-    rows = sums.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", level).toArrow()
+    rows = sums.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     sketch[rows.column(0).to_numpy()] = np.searchsorted(_LEVELS, rows.column(1).to_numpy()).clip(max=249) + 1
     return sketch
@@ -112,25 +109,36 @@ def line_rows(docs: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD,
          ("hot", pa.list_(pa.bool_()))]
     )
 
-    def rows_of(ids, text_hashes, texts: list[bytes], hashes: _Hashes) -> pa.RecordBatch | None:
-        words, lengths, doc, pos = [], [], [], []
-        for d, text in enumerate(texts):
-            for k, line in enumerate(text.lower().split(b"\n")):
-                own = set(line.split())
-                if own:
-                    words.extend(own)
-                    lengths.append(len(own))
-                    doc.append(d)
-                    pos.append(k)
-        if not words:
+    def rows_of(ids, text_hashes, texts: list[bytes]) -> pa.RecordBatch | None:
+        index, numbers, lengths = _Index(), [], []
+        number = index.__getitem__
+        for text in texts:
+            parts = text.lower().split(b"\n")
+            own = [line.split() for line in parts]
+            lengths.append([len(w) for w in own])
+            numbers.extend(map(number, chain.from_iterable(own)))
+        if not numbers:
             return None
-        n = np.array(lengths, dtype=np.int64)
-        h = hashes(words)
-        line = np.repeat(np.arange(len(n)), n)
+        h = _hashes(index)
         level = spread.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        order = np.lexsort((h, level, line))
-        h, level = h[order], level[order]
+        order = np.lexsort((h, level))  # rare words first, the same order everywhere
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        per_text = np.fromiter(map(len, lengths), dtype=np.int64, count=len(lengths))
+        per_line = np.fromiter(chain.from_iterable(lengths), dtype=np.int64, count=int(per_text.sum()))
+        doc = np.repeat(np.arange(len(per_text)), per_text)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        line = np.repeat(np.arange(len(per_line)), per_line)
+        both = (line << 32) | rank[np.array(numbers, dtype=np.int64)]
+        both.sort()
+        both = both[np.r_[True, both[1:] != both[:-1]]]  # a line's words once each
+        line, at = both >> 32, order[both & 0xFFFFFFFF]
+        h, level = h[at], level[at]
+        n = np.bincount(line, minlength=len(per_line))
+        lines = np.flatnonzero(n)
+        doc, pos, n = doc[lines], pos[lines].astype(np.int32), n[lines]
         starts = np.cumsum(n) - n
+        line = np.repeat(np.arange(len(n)), n)
         mixed = h * np.uint64(0x9E3779B97F4A7C15)
         s1 = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
         mixed = (h ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -147,7 +155,7 @@ def line_rows(docs: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD,
         lists = (
             (h[use] >> np.uint64(10)).astype(np.uint32).view(np.int32), place[use].astype(np.int32), level[use] >= hot_level
         )
-        doc, pos = np.array(doc)[some], np.array(pos, dtype=np.int32)[some]
+        doc, pos = doc[some], pos[some]
         return pa.RecordBatch.from_arrays(
             [ids.take(pa.array(doc)), text_hashes.take(pa.array(doc)), pa.array(pos), pa.array(s1[some].view(np.int64)),
              pa.array(s2[some].view(np.int64)), pa.array(n[some].astype(np.int32)), pa.array(bitmap[some].view(np.int64)),
@@ -156,10 +164,9 @@ def line_rows(docs: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             for first, end, texts in _blocks(batch, 2):
-                out = rows_of(batch.column(0)[first:end], batch.column(1)[first:end], texts, hashes)
+                out = rows_of(batch.column(0)[first:end], batch.column(1)[first:end], texts)
                 if out is not None:
                     yield out
 
@@ -172,38 +179,59 @@ def line_rows(docs: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD,
 
 
 def _may_match(threshold: float) -> Column:
-    """Lossless filters on a pair of rows l (one side) and r (the other) that share a prefix word."""
+    """Lossless filters on a longer line l and one no longer, r, that share a prefix word.
+
+    Length; place: what both can still share, and the shorter prefix of |x| - ceil(2t / (1 + t) |x|) + 1
+    words in which r must have the word (both in one bound, so that both sides of a self-join read one
+    shuffle); and the bitmaps, of which no more bits differ than words may.
+    """
     size = F.col("l.n") + F.col("r.n")
     least = F.ceil(size * (threshold / (1 + threshold)) - 1e-9)
     at_most = F.least("l.place", "r.place") + 1 + F.least(F.col("l.n") - F.col("l.place") - 1, F.col("r.n") - F.col("r.place") - 1)
+    short = F.col("r.n") - F.ceil(F.col("r.n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
     return (
         (F.col("l.id") != F.col("r.id"))
-        & (F.least("l.n", "r.n") >= F.ceil(threshold * F.greatest("l.n", "r.n") - 1e-9))
-        & (at_most >= least)
+        & (F.col("l.n") >= F.col("r.n"))
+        & (F.col("r.n") >= F.ceil(threshold * F.col("l.n") - 1e-9))
+        & (F.least(at_most - least, short - F.col("r.place") - 1) >= 0)
         & (F.bit_count(F.col("l.bitmap").bitwiseXOR(F.col("r.bitmap"))) <= size - 2 * least)
     )
 
 
+def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) of rows (id, bitmap, word, np): left the longer line, right the other.
+
+    np holds n in its upper and place in its lower 32 bits.
+    """
+    opened = lambda side: (
+        F.shiftright(F.col(f"{side}.np"), 32).alias("n"), F.col(f"{side}.np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"),
+        F.col(f"{side}.id").alias("id"), F.col(f"{side}.bitmap").alias("bitmap"),
+    )
+    met = left.alias("x").join(right.alias("y"), F.col("x.word") == F.col("y.word"))
+    met = met.select(F.struct(*opened("x")).alias("l"), F.struct(*opened("y")).alias("r"))
+    return met.where(_may_match(threshold)).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+
+
 def _losers(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """pairs: (a, b) set ids -> ids of sets that an earlier one of their pairs matches, verified on words."""
+    """pairs: (a, b) set ids -> (id) of sets that an earlier one of their pairs matches, verified on all words."""
     pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = written(sets.join(ids, "id", "left_semi").select("id", "first"), "needed").select("id", "first.*")
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    needed = written(sets.select("id", "first.*").join(broadcast_if_small(ids, SMALL_ROWS), "id", "left_semi"), "needed")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    places = needed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "pos")).alias("places"))
+    places = written(needed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("id", "pos")).alias("places")), "places")
+    lines = F.split("text", "\n")
+    # read twice below, from one shuffle
     of_id = (
-        texts.join(places, ["doc_id", "text_hash"])
-        .select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-        .select(F.col("p.id").alias("id"), F.struct("doc_id", "text_hash", "p.pos").alias("first"), words_of(F.element_at("lines", F.col("p.pos") + 1)).alias("words"))
-        .dropDuplicates(["id", "first"])
+        texts.join(broadcast_if_small(places, SMALL_ROWS), ["doc_id", "text_hash"])
+        .select("doc_id", "text_hash", F.explode(F.transform("places", lambda p: F.struct(p["id"].alias("id"), p["pos"].alias("pos"), F.element_at(lines, p["pos"] + 1).alias("line")))).alias("p"))
+        .select("p.id", F.struct("doc_id", "text_hash", "p.pos").alias("first"), F.transform(words_of(F.col("p.line")), lambda w: F.xxhash64(w)).alias("words"))
     )
-    of_id = written(of_id, "words")
     side = lambda name: of_id.select(F.col("id").alias(name), F.col("first").alias(f"first_{name}"), F.col("words").alias(f"words_{name}"))
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = shared >= threshold * (F.size("words_a") + F.size("words_b") - shared) - 1e-9
     verified = pairs.join(side("a"), "a").join(side("b"), "b").where(alike)
     out = written(verified.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "losers")
-    for df in (pairs, of_id):
+    for df in (pairs, ids, needed, places):
         drop(df)
     return out
 
@@ -220,20 +248,19 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         ).withColumn("id", F.col("s1")),
         "sets",
     )
-    spread = lambda df, *more: df.select(
-        "id", "n", "bitmap", *more, F.explode(F.arrays_zip("prefix", "place", "hot")).alias("w")
-    ).select("id", "n", "bitmap", *more, F.col("w.prefix").alias("word"), F.col("w.place").alias("place"), F.col("w.hot").alias("hot"))
-    compare = lambda l, r: l.alias("l").join(r.alias("r"), F.col("l.word") == F.col("r.word")).where(
-        _may_match(threshold)
-    ).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
-    hot = spread(sets.where(F.exists("hot", lambda h: h)), "first").where("hot")
-    leaders = hot.groupBy("word").agg(F.min_by(F.struct("id", "n", "bitmap", "place"), "first").alias("x")).select("word", "x.*")
-    early = _losers(compare(hot, leaders), sets, docs, threshold, id_col, text_col)
-    late_sets = sets.join(early, "id", "left_anti")
-    late = _losers(compare(spread(late_sets).drop("hot"), spread(sets).drop("hot")), sets, docs, threshold, id_col, text_col)
-    lost = sets.select("s1", "s2", "first", "id").join(
-        early.unionByName(late).distinct().withColumn("lost", F.lit(True)), "id", "left"
+    words = sets.select("id", "n", "bitmap", "first", F.explode(F.arrays_zip("prefix", "place", "hot")).alias("w")).select(
+        "id", "bitmap", "first", F.col("w.prefix").alias("word"), F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("w.place").cast("long")).alias("np"), F.col("w.hot").alias("hot")
     )
+    plain = ("id", "bitmap", "word", "np")
+    cool, hot = words.where("not hot").select(*plain), written(words.where("hot").select(*plain, "first"), "hot")
+    # a word that many lines share: first against the earliest of its lines, then only what that leaves
+    leaders = hot.groupBy("word").agg(F.min_by(F.struct("id", "bitmap", "np"), "first").alias("x")).select("word", "x.*")
+    early = _losers(_pairs(hot, leaders, threshold).unionByName(_pairs(leaders, hot, threshold)), sets, docs, threshold, id_col, text_col)
+    left = hot.join(broadcast_if_small(early, SMALL_ROWS), "id", "left_anti")
+    pairs = _pairs(cool, cool, threshold).unionByName(_pairs(left, hot, threshold)).unionByName(_pairs(hot, left, threshold))
+    late = _losers(pairs, sets, docs, threshold, id_col, text_col)
+    gone = written(early.unionByName(late).distinct().withColumn("lost", F.lit(True)), "gone")
+    lost = sets.select("s1", "s2", "first", "id").join(broadcast_if_small(gone, SMALL_ROWS), "id", "left")
     return (
         rows.select("doc_id", "text_hash", "pos", "s1", "s2").join(lost, ["s1", "s2"])
         .where(F.col("lost") | (F.struct("doc_id", "text_hash", "pos") != F.col("first")))
@@ -249,7 +276,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     and no line counts as a repeat of theirs. A text of which every line goes is empty.
     """
     cut = repeated_lines(docs, threshold, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_cut"))
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_cut")
+    cut = written(cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_cut"), "cut")
+    cut = broadcast_if_small(cut, SMALL_ROWS)
     joined = docs.join(cut, (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_cut", i)), "\n")
