@@ -34,10 +34,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tamarack/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes the shuffle files of a query when it ends; what it wrote is all that is needed.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tamarack_path = path
     return out
