@@ -27,7 +27,7 @@ def map_texts(
 ) -> DataFrame:
     """Narrow Arrow pass: ``fn(ids, texts)`` gives the columns of ``schema`` for each batch.
 
-    A null text reaches ``fn`` as None. Batches are cut so that one holds at most about 8 MB
+    A null text reaches ``fn`` as None. Batches are cut so that one holds at most about 4 MB
     of text besides a single longer document.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -46,7 +46,7 @@ def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[list, list]]:
+def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """Ids and texts of (id, text) record batches, in pieces of bounded text size."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -58,7 +58,7 @@ def _hashes(words: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-def _blocks(batch: pa.RecordBatch, at: int, limit: int = 4_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+def _blocks(batch: pa.RecordBatch, at: int, limit: int = 2_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, texts as bytes) of parts of a batch with bounded text."""
     texts, first, size, part = batch.column(at), 0, 0, []
     for i in range(batch.num_rows):

@@ -65,7 +65,7 @@ def word_features(token: str) -> set[str]:
 class Reader:
     """Features of texts under one lexicon; remembers tokens."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 60_000):
         self.lexicon, self.limit, self.known = lexicon, limit, {}
 
     def _hit(self, word: str) -> float:
@@ -196,7 +196,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc
     return map_texts(docs, run, schema, id_col, text_col)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _reader(lexicon: tuple) -> Reader:
     return Reader(dict(lexicon))
 
