@@ -9,12 +9,15 @@ in range. Links are verified by the cosine in double precision. A pair that shar
 is counted in the first alone, so links are counted without a row for each pair.
 
 A shard with more than ``MAX_SHARD`` nodes isn't searched but compared exactly, in pairs of blocks
-of bounded size, each its own task. An audit compares a sample with all rows; while recall is
-below the target, the shards overlap more.
+of bounded size, each its own task. An audit compares drawn vectors, without their equal copies,
+with all others until ``LINKED`` vectors that have a link are seen; while their mean recall is below
+the target, the shards overlap more, and where that would cost more than to compare all vectors with
+each other, these are compared, in block pairs. Where the draw ends first, a warning gives its figures.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,9 @@ SAMPLE_PER_CENTROID = 24
 OVERLAP = 2
 CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
 BEAM = 4
-AUDITED, TARGET = 64, 0.95
-_PART = "node long, n long, root long"
+#: An audit draws about BLOCK vectors at a time until LINKED linked ones are seen, about MAX_AUDITED at most.
+BLOCK, LINKED, MAX_AUDITED, TARGET = 4_096, 200, 32_768, 0.95
+_PART = "node long, n long, m long, root long"
 
 
 def units(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -189,15 +193,16 @@ def range_search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, thresho
 
 
 def _counted(nodes: np.ndarray, copies: np.ndarray, q: np.ndarray, node: np.ndarray, owned: np.ndarray) -> pd.DataFrame:
-    """For each node the rows it links with in pairs this task owns, and the least node of its local component."""
+    """For each node the rows and nodes it links with in pairs this task owns, and the least node of its local component."""
     n = np.bincount(q[owned], weights=copies[node[owned]].astype(np.float64), minlength=len(nodes)).astype(np.int64)
+    m = np.bincount(q[owned], minlength=len(nodes))
     label = nodes.copy()
     while len(q):
         before = label.copy()
         np.minimum.at(label, q, label[node])
         if (before == label).all():
             break
-    return pd.DataFrame({"node": nodes, "n": n, "root": label})
+    return pd.DataFrame({"node": nodes, "n": n, "m": m, "root": label})
 
 
 def search(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -239,11 +244,14 @@ def compare_blocks(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return _counted(group["node"].to_numpy(), group["copies"].to_numpy(), q, node, first == shard)
 
 
-def linked(nodes: DataFrame, count: int, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
-    """nodes: (unit, node, copies) -> a row or more for each node: node, n (rows linked), root (a node it reaches)."""
-    members = written(deal(nodes, centroids(nodes, count), overlap), "members")
+def linked(nodes: DataFrame, count: int, threshold: float = THRESHOLD, overlap: int = OVERLAP, exact: bool = False) -> DataFrame:
+    """nodes: (unit, node, copies) -> a row or more for each node: node, n and m (rows and nodes linked), root (a node it reaches).
+
+    ``exact`` compares all nodes with each other, as one crowded shard.
+    """
+    members = written(deal(nodes, centroids(nodes, 1 if exact else count), overlap), "members")
     sizes = {r["shard"]: r["count"] for r in members.groupBy("shard").count().collect()}  # MAX_CENTROIDS rows at most
-    crowded = {s: -(-c // (MAX_SHARD // 2)) for s, c in sizes.items() if c > MAX_SHARD}
+    crowded = {s: -(-c // (MAX_SHARD // 2)) for s, c in sizes.items() if exact or c > MAX_SHARD}
     calm = members.where(~F.col("shard").isin(*crowded)) if crowded else members
     near = calm.groupBy("shard").applyInPandas(build, "node long, near array<long>")
     united = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -262,26 +270,44 @@ def linked(nodes: DataFrame, count: int, threshold: float = THRESHOLD, overlap:
     return written(found, "linked")
 
 
-def audit(rows: DataFrame, found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDITED) -> float:
-    """Share of the links of a sample of rows, counted against all rows, that ``found`` (vec_id, n_links) has."""
-    usable = rows.where("unit is not null and vec_id is not null")
-    drawn = usable.orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(sample).collect()
-    if not drawn:
-        return 1.0
-    queries = _matrix([r["unit"] for r in drawn])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(queries), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += (_matrix(batch.column(0).to_pylist()) @ queries.T >= threshold).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"at": np.arange(len(queries)), "n": total})
+def audit(nodes: DataFrame, count: int, totals: DataFrame, threshold: float = THRESHOLD) -> tuple[float | None, int, int]:
+    """Mean recall over linked vectors, counted against all nodes; how many of these were seen, and how many were drawn.
 
-    parts = usable.select("unit").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    true = {drawn[r["at"]]["vec_id"]: r["n"] - 1 for r in parts}
-    got = {r["vec_id"]: r["n_links"] for r in found.where(F.col("vec_id").isin(*true)).select("vec_id", "n_links").collect()}
-    every = sum(true.values())
-    return sum(min(got.get(i, 0), n) for i, n in true.items()) / every if every else 1.0
+    Vectors are drawn by hash of the node, a block at a time. ``totals`` has (node, m) for the nodes
+    linked, equal copies apart. Recall is None when no vector drawn has a link.
+    """
+    every, drawn, recalls, first = 1 << 40, 0, [], 0
+    step = -(-every * BLOCK // max(count, BLOCK))
+    at = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(every))
+    while first < every and len(recalls) < LINKED and drawn < MAX_AUDITED:
+        within = (at >= first) & (at < first + step)
+        first += step
+        block = sorted(nodes.where(within).select("node", "unit").collect())
+        if not block:
+            continue
+        drawn += len(block)
+        ids = np.array([r["node"] for r in block])
+        spread = nodes.sparkSession.sparkContext.broadcast((ids, _matrix([r["unit"] for r in block])))  # about BLOCK vectors
+
+        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
+            ids, queries = spread.value
+            total = np.zeros(len(ids), dtype=np.int64)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 512):
+                    part = batch.slice(a, 512)
+                    sims = _matrix(part.column(0).to_pylist()) @ queries.T
+                    own = part.column(1).to_numpy()
+                    place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    same = np.flatnonzero(ids[place] == own)
+                    sims[same, place[same]] = -2
+                    total += (sims >= threshold).sum(axis=0)
+            yield pa.RecordBatch.from_pydict({"node": ids, "m": total})
+
+        counted = nodes.select("unit", "node").mapInArrow(run, "node long, m long").groupBy("node").agg(F.sum("m").alias("m")).where("m > 0")
+        got = {r["node"]: r["m"] for r in totals.where(within).select("node", "m").collect()}
+        recalls += [min(got.get(r["node"], 0), r["m"]) / r["m"] for r in counted.collect()]
+        spread.destroy()
+    return float(np.mean(recalls)) if recalls else None, len(recalls), drawn
 
 
 def near_duplicates(
@@ -298,6 +324,9 @@ def near_duplicates(
     are their own component. Repeated rows are rows that link with each other. A row with a null id
     has no links and a null component, and isn't kept. Other columns are ignored; an empty table
     gives none. All vectors must have one length.
+
+    Unless all vectors were compared, an audit has shown ``target`` on ``LINKED`` linked vectors or on
+    all there are; a RuntimeWarning says so where it saw fewer among the ``MAX_AUDITED`` it may draw.
     """
     rows = written(units(vectors, id_col, vector_col), "units")
     nodes = written(
@@ -307,9 +336,18 @@ def near_duplicates(
     )
     count = nodes.count()
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    shards, exact = min(MAX_CENTROIDS, -(-count // SHARD)), False
     while count:
-        parts = linked(nodes, count, threshold, overlap)
-        totals = parts.groupBy("node").agg(F.sum("n").alias("n"))
+        parts = linked(nodes, count, threshold, overlap, exact)
+        totals = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        if not exact:
+            recall, seen, drawn = audit(nodes, count, totals, threshold)
+            if recall is not None and recall < target:
+                overlap *= 2
+                exact = overlap * overlap > shards  # crowded shards would cost more than all pairs
+                continue
+            if seen < LINKED and drawn < count:
+                warnings.warn(f"recall rests on {seen} linked vectors among {drawn} drawn of {count}: {recall}", RuntimeWarning, stacklevel=2)
         component = connected_components(parts.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
         of_node = (
             nodes.join(totals, "node").join(component, "node", "left")
@@ -319,9 +357,7 @@ def near_duplicates(
         out = named.unionByName(
             rows.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         )
-        if overlap >= min(16, -(-count // SHARD)) or audit(rows, out, threshold) >= target:
-            break
-        overlap *= 2
+        break
     else:
         out = none
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

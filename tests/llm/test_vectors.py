@@ -54,6 +54,45 @@ def test_crowded_shards_are_exact(spark, monkeypatch):
     assert recall == 1 and same == 1
 
 
+def sparse_links(n=900, dim=24):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, dim))
+    x[:300] = x[0]  # equal copies, found by construction
+    x[401:441:2] = x[400:440:2] + rng.normal(size=(20, dim)) * 0.01
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_lost_links_are_found_by_the_audit(spark, monkeypatch):
+    real, exacts = V.linked, []
+
+    def lossy(nodes, count, threshold, overlap, exact=False):
+        exacts.append(exact)
+        if exact:
+            return real(nodes, count, threshold, overlap, exact)
+        return real(nodes, count, threshold, overlap).selectExpr("node", "0L AS n", "0L AS m", "node AS root")
+
+    monkeypatch.setattr(V, "linked", lossy)
+    monkeypatch.setattr(V, "SHARD", 30)  # 21 shards: overlaps of 2 and 4, then all pairs
+    recall, same, _ = compare(spark, sparse_links())
+    assert recall == 1 and same == 1 and exacts == [False, False, True]
+
+
+def test_audit_draws_until_links_are_seen(spark, monkeypatch):
+    x = np.unique(sparse_links(), axis=0)
+    nodes = spark.createDataFrame([(i, v.astype("<f8").tobytes(), 1) for i, v in enumerate(x)], "node long, unit binary, copies long")
+    totals = V.linked(nodes, len(x), exact=True).groupBy("node").agg(V.F.sum("m").alias("m"))
+    monkeypatch.setattr(V, "BLOCK", 20)
+    monkeypatch.setattr(V, "LINKED", 10)
+    recall, seen, drawn = V.audit(nodes, len(x), totals)
+    assert recall == 1 and 10 <= seen <= 40 and drawn < len(x)
+    assert V.audit(nodes, len(x), totals.where("m < 0"))[0] == 0
+    assert V.audit(nodes, len(x), totals, 1.1) == (None, 0, len(x))
+    monkeypatch.setattr(V, "MAX_AUDITED", 40)
+    monkeypatch.setattr(V, "LINKED", 1000)
+    with np.testing.assert_warns(RuntimeWarning):
+        compare(spark, sparse_links())
+
+
 def test_query(spark, sf_dir):
     rows = [(r.vec_id, np.array(r.embedding) / np.linalg.norm(r.embedding)) for r in table(spark, sf_dir, "embeddings").collect()]
     assert {r.vec_id: (r.n_links, r.component_id) for r in V.op8_vectors(spark, sf_dir).collect()} == brute(rows)
