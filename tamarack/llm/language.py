@@ -3,7 +3,10 @@
 A text becomes a hashed vector of byte trigrams of its lower-cased letters, damped term frequency
 times inverse document frequency, of length one. Each language has several centroids, from
 spherical k-means over its training vectors; a text takes the language of the centroid with the
-greatest cosine, and is rejected where that centroid is further than texts of the language are.
+greatest cosine, and is rejected where that centroid is further than texts of the language are that
+show as many different trigrams. A text of m trigrams is at a cosine of about sqrt(m / (m + M)) from
+its language, M being fitted for each; what training rows have of that, each measured without its own
+share in the centroid, bounds what is asked of texts of about their length.
 
 The classifier is fitted on about ``sample`` labelled documents of each language, drawn by hash of
 the id (the documented bound of the fit; at most ``MAX_LANGS`` languages). Every whole text is
@@ -30,7 +33,9 @@ CENTROIDS = 3
 MAX_LANGS = 200
 FOLDS, HELD_OUT = 4, 2
 SHARPNESS = 25.0
-ENOUGH_TRIGRAMS = 400
+#: Training rows of about one length whose least a cut lies a fifth below (two bands at least, for rows that weren't drawn);
+#: with fewer than ENOUGH_ROWS in all it lies lower, and with fewer than FEW_ROWS it is half the least and grows with the text up to ENOUGH_TRIGRAMS.
+BAND_ROWS, ENOUGH_ROWS, FEW_ROWS, ENOUGH_TRIGRAMS = 1_000, 1_500, 200, 400
 UNDETERMINED = "und"
 #: ASCII that is no letter becomes a space; bytes of other characters stay.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -69,11 +74,32 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def expected(distinct: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Cosine from its language that a text of so many different trigrams has."""
+    return np.sqrt(distinct / np.maximum(distinct + half, 1e-9))
+
+
+class Cuts:
+    """Least share of the expected cosine by number of different trigrams, from training rows in bands of about one length."""
+
+    def __init__(self, distinct: np.ndarray, share: np.ndarray):
+        order = np.argsort(distinct, kind="stable")
+        self.few = len(order) < FEW_ROWS
+        bands = [order] if self.few else np.array_split(order, max(2, len(order) // BAND_ROWS))
+        self.starts = np.array([distinct[b[0]] for b in bands if len(b)])
+        low = np.array([min(1.0, max(0.0, share[b].min())) for b in bands if len(b)])
+        self.least = 0.5 * low if self.few else 0.8 * low ** max(1.0, ENOUGH_ROWS / len(order))
+
+    def at(self, distinct: int) -> float:
+        least = self.least[max(0, np.searchsorted(self.starts, distinct, side="right") - 1)]
+        return float(least * min(1.0, distinct / ENOUGH_TRIGRAMS) if self.few else least)
+
+
 class Model:
-    """Centroids (m, DIMENSIONS) of languages ``langs`` with their rejection cosines."""
+    """Centroids (m, DIMENSIONS) of languages ``langs`` with the half-way trigrams M of each and the cuts by length."""
 
-    def __init__(self, langs: list[str], centroids: np.ndarray, least: np.ndarray, idf: np.ndarray):
-        self.langs, self.least, self.idf = np.array(langs, dtype=object), least, idf
+    def __init__(self, langs: list[str], centroids: np.ndarray, half: np.ndarray, cuts: Cuts, idf: np.ndarray):
+        self.langs, self.half, self.cuts, self.idf = np.array(langs, dtype=object), half, cuts, idf
         self.centroids = centroids.astype(np.float32)
         self.names = sorted(set(langs))
         self.starts = {lang: np.flatnonzero(self.langs == lang) for lang in self.names}
@@ -94,12 +120,10 @@ class Model:
                 best = np.array([row[self.starts[n]].max() for n in self.names], dtype=np.float64)
                 win = int(best.argmax())
                 weight = np.exp(SHARPNESS * (best - best[win]))
-                nearest = self.starts[self.names[win]][int(row[self.starts[self.names[win]]].argmax())]
                 lang.append(self.names[win])
                 score.append(float(1 / weight.sum()))
                 cosine.append(float(min(1.0, max(0.0, best[win]))))
-                # a short text is far from any centroid: what is asked of it grows with what it shows
-                rejected.append(bool(best[win] < self.least[nearest] * min(1.0, m / ENOUGH_TRIGRAMS)))
+                rejected.append(bool(best[win] < self.cuts.at(m) * expected(m, self.half[self.starts[self.names[win]][0]])))
         return lang, score, cosine, rejected
 
 
@@ -131,7 +155,7 @@ def fit(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("lang is not null and text is not null and id is not null")
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    empty = Model([], np.zeros((0, DIMENSIONS)), np.zeros(0), np.ones(DIMENSIONS, dtype=np.float32))
+    empty = Model([], np.zeros((0, DIMENSIONS)), np.zeros(0), Cuts(np.zeros(0), np.zeros(0)), np.ones(DIMENSIONS, dtype=np.float32))
     if not sizes:
         return empty
     share = F.lit(0)
@@ -166,19 +190,26 @@ def fit(
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
         centres = _centroids(rows, k)
         sims = rows @ centres.T
-        own, near = sims.argmax(axis=1), sims.max(axis=1)
-        # half the cosine of the furthest thousandth of the cluster: what lies beyond is no text like these
-        least = [0.5 * np.quantile(near[own == j], 0.001) if (own == j).any() else 0.0 for j in range(len(centres))]
+        own, every = sims.argmax(axis=1), np.arange(len(rows))
+        for j in range(len(centres)):  # without a row's own share in its centroid
+            others = rows[own == j].sum(axis=0) - rows[own == j]
+            sims[every[own == j], j] = np.einsum("rd,rd->r", rows[own == j], others) / np.maximum(np.linalg.norm(others, axis=1), 1e-6)
+        near, distinct = sims.max(axis=1), np.count_nonzero(rows, axis=1)
         return pd.DataFrame(
-            {"lang": group["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres], "least": least}
-        )
+            {"lang": group["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres],
+             "distinct": [distinct.tolist()] + [[]] * (len(centres) - 1), "near": [near.tolist()] + [[]] * (len(centres) - 1)}
+        )
 
-    found = drawn.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, least double").collect()
+    found = drawn.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, distinct array<int>, near array<double>").collect()
     if not found:
         return empty
     found.sort(key=lambda r: (r["lang"], bytes(r["centre"])))
     centres = np.stack([np.frombuffer(r["centre"], dtype="<f4") for r in found])
-    return Model([r["lang"] for r in found], centres, np.array([r["least"] for r in found]), idf)
+    rows = {r["lang"]: (np.array(r["distinct"], dtype=np.float64), np.array(r["near"])) for r in found if r["distinct"]}
+    half = {lang: float(np.median(m * np.maximum(1 / np.maximum(near, 1e-3) ** 2 - 1, 0))) for lang, (m, near) in rows.items()}
+    share = np.concatenate([near / np.maximum(expected(m, half[lang]), 1e-9) for lang, (m, near) in rows.items()])
+    cuts = Cuts(np.concatenate([m for m, _ in rows.values()]), share)
+    return Model([r["lang"] for r in found], centres, np.array([half[r["lang"]] for r in found]), cuts, idf)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import base64
 import zlib
 
 import numpy as np
@@ -44,3 +45,31 @@ def test_far_text_is_rejected(spark):
     alien = spark.createDataFrame([(-5, "".join(chr(0x4E00 + (i * 37) % 20000) for i in range(3000)), None)], docs.schema)
     got = L.fit_and_identify(docs.unionByName(alien)).where("rejected").collect()
     assert [r.doc_id for r in got] == [-5]
+
+
+def test_unlearned_texts_are_rejected_and_held_out_ones_of_every_length_kept(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = L.fit(docs.where(~L.held_out()))
+    held = [r.text for r in docs.where(L.held_out()).collect() if L.has_letter(r.text)]
+    distinct = [np.count_nonzero(L.counts(t)) for t in held]
+    assert min(distinct) < 60 and max(distinct) > 600
+    assert not any(model.predict(held)[3])
+    rng = np.random.default_rng(0)
+    finnish = "Suomen kieli kuuluu uralilaisten kielten ryhmään ja sitä puhutaan pääasiassa Suomessa. Kesällä ihmiset matkustavat mökeilleen järvien rannoille, missä he kalastavat, saunovat ja nauttivat valoisista öistä ystävien kanssa."
+    alien = [
+        base64.b64encode(rng.bytes(3000)).decode(),
+        " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 9))) for _ in range(700)),
+        finnish,
+        finnish[:60],
+        "Привет, как дела?",
+    ]
+    assert model.predict(alien)[3] == [True] * len(alien)
+
+
+def test_cuts_are_taken_by_length(monkeypatch):
+    monkeypatch.setattr(L, "BAND_ROWS", 200)
+    monkeypatch.setattr(L, "ENOUGH_ROWS", 400)
+    cuts = L.Cuts(np.r_[np.full(200, 50.0), np.full(200, 500.0)], np.r_[np.linspace(0.3, 1, 200), np.linspace(0.7, 1, 200)])
+    assert [round(cuts.at(m), 6) for m in (5, 50, 499, 500, 9000)] == [0.24, 0.24, 0.24, 0.56, 0.56]
+    few = L.Cuts(np.full(10, 50.0), np.full(10, 0.8))
+    assert few.at(400) == 0.4 and round(few.at(40), 6) == 0.04
