@@ -39,9 +39,15 @@ def load(path: str):
     return sp, spaces_lead and identity
 
 
-def _begins(sp, data: bytes) -> list[int]:
-    """Byte offsets where the pieces of ``data`` begin."""
-    return [p.begin for p in sp.encode(data.decode(), return_type="proto").pieces]
+def _begins(sp, data: bytes, inner: bool = False) -> list[int]:
+    """Byte offsets where the pieces of ``data`` begin.
+
+    The library puts a space of its own before what it encodes. Where ``data`` stands inside a text
+    and leads with a space (``inner``), that one takes its place, so that it isn't there twice.
+    """
+    space = (len(SPACE) if data.startswith(SPACE) else len(LOWER_BLOCK)) if inner else 0
+    found = [p.begin + space for p in sp.encode(data[space:].decode(), return_type="proto").pieces]
+    return [0, *found[1:]] if inner else found
 
 
 def _snap(data: bytes, at: int) -> int:
@@ -67,7 +73,7 @@ def count_spliced(sp, text: str, chunk: int = CHUNK_BYTES, overlap: int = OVERLA
         right_end, width = _snap(data, min(n, end + chunk)), overlap
         while True:
             left = _snap(data, max(start, end - width))
-            right = _begins(sp, data[left:right_end])
+            right = _begins(sp, data[left:right_end], inner=left == start > 0)
             ours = {start + b for b in begins[bisect.bisect_left(begins, left - start) :]}
             shared = (left + b for b in reversed(right[: bisect.bisect_left(right, end - left)]))
             cut = next((at for at in shared if at > left and at in ours and _stable(data, at)), None)
