@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +27,28 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def release() -> None:
+    """Give back what a worker's allocators hold; for the end of a task, as workers are used again."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No cycle collection inside: for loops that make many small objects and no cycles among them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def map_texts(
     docs: DataFrame, fn: Callable[[list, list], dict], schema: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -34,8 +61,10 @@ def map_texts(
     out_schema = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches):
-            yield pa.RecordBatch.from_pydict(fn(ids, texts), schema=out_schema)
+        with without_gc():
+            for ids, texts in text_batches(batches):
+                yield pa.RecordBatch.from_pydict(fn(ids, texts), schema=out_schema)
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -24,33 +24,50 @@ def cut(text: str) -> list[str]:
     return [head, *[" " + piece for piece in rest]]
 
 
+class _Young(dict):
+    """Pieces to their values; a piece that it lacks is taken from the elder pieces, or noted as new with a value to be filled."""
+
+    def __init__(self, elder: dict, new: list[tuple[str, list]]):
+        self.elder, self.new = elder, new
+
+    def __missing__(self, piece: str) -> list:
+        value = self.elder.get(piece)
+        if value is None:
+            value = []
+            self.new.append((piece, value))
+        self[piece] = value
+        return value
+
+
 class PieceMemory:
     """Remembers what ``encode`` gives for a piece of at most 64 characters.
 
-    Two generations of at most ``limit`` pieces each: what the younger lacks is looked for in the
+    Two generations of at most ``limit`` pieces (and one call's) each: what the younger lacks is looked for in the
     elder and moves up; a full younger generation becomes the elder.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 350_000):
-        self.encode, self.limit, self.young, self.elder = encode, limit, {}, {}
-
-    def _remember(self, fresh: dict) -> None:
-        if len(self.young) + len(fresh) > self.limit:
-            self.young, self.elder = {}, self.young
-        self.young.update((p, v) for p, v in fresh.items() if len(p) <= 64)
+    def __init__(self, encode: Callable[[list[str]], list[tuple]], limit: int = 350_000):
+        self.encode, self.limit, self.new = encode, limit, []
+        self.young = _Young({}, self.new)
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces, in order."""
-        cuts = [cut(t) for t in texts]
-        get = self.young.get
-        found = [list(map(get, pieces)) for pieces in cuts]
-        missing = {p for pieces, values in zip(cuts, found) if None in values for p, v in zip(pieces, values) if v is None}
-        if missing:
-            fresh = {p: self.elder[p] for p in missing if p in self.elder}
-            new = [p for p in missing if p not in fresh]
-            fresh.update(zip(new, self.encode(new)))
-            for pieces, values in zip(cuts, found):
-                if None in values:
-                    values[:] = [fresh[p] if v is None else v for p, v in zip(pieces, values)]
-            self._remember(fresh)
+        if len(self.young) > self.limit:
+            self.young.elder = {}
+            self.young = _Young(dict(self.young), self.new)
+        get = self.young.__getitem__
+        found = [list(map(get, cut(t))) for t in texts]
+        if self.new:
+            pieces = [p for p, _ in self.new]
+            try:
+                for (_, value), got in zip(self.new, self.encode(pieces)):
+                    value.extend(got)
+            except BaseException:
+                self.young = _Young({}, self.new)  # values that were not filled must not stay
+                raise
+            finally:
+                self.new.clear()
+            for p in pieces:
+                if len(p) > 64:
+                    del self.young[p]
         return found

@@ -26,7 +26,7 @@ def test_ids_are_the_librarys(text):
 
 def test_long_words_and_runs():
     rng = random.Random(1)
-    for text in ["a" * 3000, " " * 900, "hello" * 100, "".join(rng.choice("ethanos") for _ in range(2000)), "x  \n "]:
+    for text in ["a" * 3000, " ".join("".join(rng.choices("ethanosé", k=rng.choice([5, 300, 900]))) for _ in range(60)), " " * 900, "hello" * 100, "".join(rng.choice("ethanos") for _ in range(2000)), "x  \n "]:
         assert ids(text) == LIBRARY.encode_ordinary(text)
     word = b"".join(rng.choice([b"th", b"e", b"an", b"\xc3\xa9"]) for _ in range(LONG_WORD // 3))
     assert BPE._encode_long(word) == BPE._encode_words([word])[0]
