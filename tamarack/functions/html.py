@@ -45,31 +45,38 @@ SERVICES = (
     "|fisioterapia|masaje|nutricion|asesoria|reformas?|obra nueva|alquiler|venta|tasacion|catering|banquete"
     "|menu degustacion|spa|tratamientos?|consulta|urgencias)"
 )
-MAX_HTML = 2_500_000
-MAX_TEXT = 20_000
+
+
+def bound(c: Column, fn) -> Column:
+    """``fn`` of a value that is evaluated once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
 def decode_entities(c: Column) -> Column:
     """The named entities that matter and numeric ones of printable ASCII; others stay as written."""
-    for pattern, to in (
-        ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'),
-        ("(?i)&#0?39;|&apos;", "'"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    # one regex pass tells the pages apart that hold a numeric entity at all; few do
-    parts = F.split(c, "(?=&#[0-9]{2,3};)")
-    one = lambda p: F.when(
-        p.rlike("^&#[0-9]{2,3};"),
-        F.concat(F.char(F.regexp_extract(p, "^&#([0-9]{2,3});", 1).cast("long")), F.regexp_replace(p, "^&#[0-9]{2,3};", "")),
-    ).otherwise(p)
-    return F.when(F.contains(c, F.lit("&#")), F.concat_ws("", F.transform(parts, one))).otherwise(c)
+
+    def decoded(c: Column) -> Column:
+        for pattern, to in (
+            ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'),
+            ("(?i)&#0?39;|&apos;", "'"),
+        ):
+            c = F.regexp_replace(c, pattern, to)
+        # one regex pass tells the pages apart that hold a numeric entity at all; few do
+        one = lambda p: F.when(
+            p.rlike("^&#[0-9]{2,3};"),
+            F.concat(F.char(F.regexp_extract(p, "^&#([0-9]{2,3});", 1).cast("long")), F.regexp_replace(p, "^&#[0-9]{2,3};", "")),
+        ).otherwise(p)
+        numeric = lambda c: F.concat_ws("", F.transform(F.split(c, "(?=&#[0-9]{2,3};)"), one))
+        return bound(c, lambda c: F.when(F.contains(c, F.lit("&#")), numeric(c)).otherwise(c))
+
+    return bound(c, lambda c: F.when(F.contains(c, F.lit("&")), decoded(c)).otherwise(c))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute of a start tag, in any of the three ways of quoting; null if it isn't there."""
-    pattern = rf"""(?is)(?:^<|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))"""
-    value = F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
-    return F.when(tag.rlike(pattern), F.trim(decode_entities(value)))
+    pattern = rf"""(?is)(?:^<|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+    inside = lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return bound(F.regexp_extract(tag, pattern, 1), lambda v: F.when(v != "", F.trim(decode_entities(inside(v)))))
 
 
 def strip_tags(c: Column) -> Column:
@@ -79,68 +86,130 @@ def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(decode_entities(c), r"\s+", " "))
 
 
+def resolved(value: Column, base: Column) -> Column:
+    """An http(s) address for a reference on the page ``base``; null for others. Dot segments are worked out."""
+    origin = F.regexp_extract(base, "(?i)^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(base, "(?i)^https?://[^/?#]+(/(?:[^?#]*/)?)", 1)
+    here = F.regexp_extract(base, "^([^?#]*)", 1)
+
+    def absolute(v: Column) -> Column:
+        return (
+            F.when(v.rlike("(?i)^https?://"), v)
+            .when(v.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+            .when(v.startswith("//"), F.concat(F.regexp_extract(base, "(?i)^(https?:)", 1), v))
+            .when(v.startswith("/"), F.concat(origin, v))
+            .when(v.startswith("#") | v.startswith("?") | (v == ""), F.concat(here, v))
+            .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), v))
+        )
+
+    def walked(path: Column) -> Column:
+        step = lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p)))
+        return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+
+    def tidy(u: Column) -> Column:
+        host, path, tail = (F.regexp_extract(u, "(?i)^(https?://[^/?#]+)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+        path = F.when(path == "", "/").when(path.rlike("/\\.{1,2}(/|$)"), walked(path)).otherwise(path)
+        return F.when(host != "", F.concat(F.lower(host), path, tail))
+
+    return bound(bound(value, absolute), tidy)
+
+
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def _meta(tags: Column, name: str) -> Column:
-    """Content of the last meta tag of a name (or property) that has one."""
-    named = F.filter(
-        tags,
-        lambda t: (F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"), F.lit(""))) == name)
-        & (F.coalesce(attribute(t, "content"), F.lit("")) != ""),
+def _last(items: Column, keep, field: str) -> Column:
+    return F.try_element_at(F.filter(items, keep), F.lit(-1))[field]
+
+
+def _some(v: Column) -> Column:
+    return F.coalesce(v, F.lit("")) != ""
+
+
+def page_parts(html: Column, most: int | None = None) -> Column:
+    """The tags of a page that signals come from, each read once: to be a column of its own, below :func:`page_signals`.
+
+    ``most`` characters are read, all if it is None.
+    """
+    html = F.coalesce(html, F.lit(""))
+    html = html if most is None else F.substring(html, 1, most)
+    tags = lambda pattern, *names: F.transform(
+        _all(html, pattern), lambda t: F.struct(*(attribute(t, n).alias(n) for n in names))
     )
-    return attribute(F.try_element_at(named, F.lit(-1)), "content")
-
-
-def page_signals(html: Column) -> dict[str, Column]:
-    """Named columns with the signals of one page. Pages beyond MAX_HTML characters are read to there."""
-    html = F.substring(F.coalesce(html, F.lit("")), 1, MAX_HTML)
-    metas, images = _all(html, r"(?i)<meta\b[^>]*>"), _all(html, r"(?i)<img\b[^>]*>")
-    links = _all(html, r"(?is)<a\b[^>]*>.*?</a>")
-    hrefs = F.filter(F.transform(links, lambda a: attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href")), lambda h: F.coalesce(h, F.lit("")) != "")
-    texts = F.transform(links, lambda a: F.substring(strip_tags(a), 1, 120))
-    like = lambda pattern: F.exists(hrefs, lambda h: h.rlike("(?i)" + pattern))
-    headings = _all(html, r"(?is)<h([1-6])\b[^>]*>.*?</h\1>", 1)
-    forms = _all(html, r"(?is)<form\b.*?</form>")
-    canonical = F.get(F.filter(_all(html, r"(?i)<link\b[^>]*>"), lambda t: F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))) == "canonical"), F.lit(0))
+    link = lambda a: F.struct(
+        *(attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), n).alias(n) for n in ("href", "rel")), F.substring(strip_tags(a), 1, 120).alias("text")
+    )
+    heading = lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), F.substring(strip_tags(h), 1, 200).alias("text"))
+    return F.struct(
+        html.alias("html"),
+        F.transform(tags(r"(?i)<meta\b[^>]*>", "name", "property", "content"), lambda t: F.struct(F.lower(F.coalesce(t["name"], t["property"], F.lit(""))).alias("name"), t["content"].alias("content"))).alias("metas"),
+        F.filter(F.transform(_all(html, r"(?is)<a\b[^>]*>.*?</a>"), link), lambda a: _some(a["href"])).alias("links"),
+        tags(r"(?i)<link\b[^>]*>", "rel", "href").alias("rels"),
+        tags(r"(?i)<img\b[^>]*>", "src", "data-src", "data-lazy-src", "alt").alias("images"),
+        F.transform(_all(html, r"(?is)<h([1-6])\b[^>]*>.*?</h\1>"), heading).alias("headings"),
+        F.transform(_all(html, r"(?is)<form\b.*?</form>"), F.lower).alias("forms"),
+        F.filter(F.transform(_all(html, r"(?i)<script\b[^>]*>"), lambda t: attribute(t, "src")), lambda u: u.isNotNull()).alias("scripts"),
+        F.filter(F.transform(_all(html, r"(?is)<button\b[^>]*>.*?</button>"), strip_tags), lambda t: t.rlike("(?i)" + CTA)).alias("buttons"),
+    )
+
+
+def page_signals(parts: Column, url: Column | None = None, text_kept: int | None = None) -> dict[str, Column]:
+    """Named columns with the signals of one page, over its :func:`page_parts`.
+
+    ``url`` is what references are resolved against (without it they stay null); ``text_kept`` cuts the column ``text``.
+    """
+    html, links = parts["html"], parts["links"]
+    url = F.lit(None).cast("string") if url is None else url
+    like = lambda pattern: F.exists(links, lambda a: a["href"].rlike("(?i)" + pattern))
+    first = lambda items, keep: F.get(F.filter(items, keep), F.lit(0))
+    rel = lambda t: F.lower(F.coalesce(t["rel"], F.lit("")))
+    sources = F.transform(parts["images"], lambda t: resolved(F.coalesce(t["src"], t["data-src"], t["data-lazy-src"]), url))
+    photo = lambda u: u.isNotNull() & ~u.rlike("(?i)" + JUNK_IMAGE) & ~F.lower(F.split(u, "\\?")[0]).endswith(".svg")
     title = strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    buttons = F.transform(_all(html, r"(?is)<button\b[^>]*>.*?</button>"), strip_tags)
     year = F.regexp_extract(html, "(?i)" + COPYRIGHT, 1)
+    booking = F.filter(links, lambda a: a["href"].rlike("(?i)" + BOOKING) | a["text"].rlike("(?i)" + BOOKING))
+    calls = F.filter(F.transform(links, lambda a: a["text"]), lambda t: t.rlike("(?i)" + CTA))
+    linked = lambda pattern: first(links, lambda a: a["href"].rlike("(?i)" + pattern))["href"]
+    social = F.array(*(F.struct(F.lit(n).alias("platform"), linked(p).alias("href")) for n, p in SOCIAL.items()))
+    named = lambda name: lambda m: (m["name"] == name) & _some(m["content"])
+    text = strip_tags(html)
     return {
-        "title": F.when(title != "", title),
-        "meta_description": _meta(metas, "description"),
-        "has_viewport": F.exists(metas, lambda t: F.lower(F.coalesce(attribute(t, "name"), F.lit(""))) == "viewport"),
-        "generator": _meta(metas, "generator"),
-        "canonical": attribute(canonical, "href"),
+        "title": bound(title, lambda t: F.when(t != "", t)),
+        "meta_description": _last(parts["metas"], named("description"), "content"),
+        "has_viewport": F.exists(parts["metas"], lambda m: m["name"] == "viewport"),
+        "viewport": _last(parts["metas"], lambda m: m["name"] == "viewport", "content"),
+        "generator": _last(parts["metas"], named("generator"), "content"),
+        "og_image": resolved(first(parts["metas"], lambda m: m["name"].isin("og:image", "twitter:image") & _some(m["content"]))["content"], url),
+        "icon": resolved(first(parts["rels"], lambda t: F.contains(rel(t), F.lit("apple-touch-icon")) | rel(t).isin("icon", "shortcut icon"))["href"], url),
+        "canonical": first(parts["rels"], lambda t: rel(t) == "canonical")["href"],
         "lang": attribute(F.regexp_extract(html, r"(?i)<html\b[^>]*>", 0), "lang"),
-        "heading_levels": F.transform(headings, lambda h: h.cast("int")),
-        "h1_count": F.size(F.filter(headings, lambda h: h == "1")),
-        "image_count": F.size(images),
-        "images_with_alt": F.size(F.filter(images, lambda t: F.coalesce(attribute(t, "alt"), F.lit("")) != "")),
-        "image_urls": F.slice(
-            F.array_distinct(
-                F.filter(
-                    F.transform(images, lambda t: F.coalesce(attribute(t, "src"), attribute(t, "data-src"), attribute(t, "data-lazy-src"))),
-                    lambda u: u.rlike("(?i)^(https?:)?/") & ~u.rlike("(?i)" + JUNK_IMAGE) & ~F.lower(F.split(u, "\\?")[0]).endswith(".svg"),
-                )
-            ), 1, 12,
-        ),
-        "links": hrefs,
+        "headings": parts["headings"],
+        "heading_levels": F.transform(parts["headings"], lambda h: h["level"]),
+        "h1_count": F.size(F.filter(parts["headings"], lambda h: h["level"] == 1)),
+        "image_count": F.size(parts["images"]),
+        "images_with_alt": F.size(F.filter(parts["images"], lambda t: _some(t["alt"]))),
+        "image_urls": F.slice(F.array_distinct(F.filter(sources, photo)), 1, 12),
+        "links": F.transform(links, lambda a: a["href"]),
+        "link_texts": F.transform(links, lambda a: a["text"]),
+        "link_rels": F.transform(links, lambda a: a["rel"]),
         "has_tel": like("^tel:"),
         "has_mailto": like("^mailto:"),
         "has_whatsapp": like(WHATSAPP),
-        "has_booking": F.exists(links, lambda a: F.coalesce(attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href"), F.lit("")).rlike("(?i)" + BOOKING) | strip_tags(a).rlike("(?i)" + BOOKING)),
-        "social_platforms": F.filter(F.array(*(F.when(like(p), F.lit(n)) for n, p in SOCIAL.items())), lambda p: p.isNotNull()),
-        "form_count": F.size(forms),
-        "has_contact_form": F.exists(forms, lambda f: F.lower(f).rlike("""type\\s*=\\s*["']?email|<textarea|(contacto|contact|mensaje|message|consulta)""")),
-        "script_count": F.size(F.filter(_all(html, r"(?i)<script\b[^>]*>"), lambda t: attribute(t, "src").isNotNull())),
+        "has_booking": F.size(booking) > 0,
+        "booking_links": F.transform(booking, lambda a: a["href"]),
+        "social_platforms": F.transform(F.filter(social, lambda s: s["href"].isNotNull()), lambda s: s["platform"]),
+        "social_urls": F.filter(F.transform(social, lambda s: resolved(s["href"], url)), lambda u: u.isNotNull()),
+        "form_count": F.size(parts["forms"]),
+        "has_contact_form": F.exists(parts["forms"], lambda f: f.rlike("""type\\s*=\\s*["']?email|<textarea|(contacto|contact|mensaje|message|consulta)""")),
+        "script_count": F.size(parts["scripts"]),
+        "script_sources": parts["scripts"],
         "has_analytics": html.rlike("(?i)" + ANALYTICS),
         "uses_legacy": html.rlike("(?i)" + LEGACY),
         "uses_fixed_width": html.rlike("(?i)" + FIXED_WIDTH) | html.rlike("(?i)" + FIXED_TABLE),
-        "copyright_year": F.when(year != "", year.cast("int")),
-        "cta_count": F.least(F.lit(10), F.size(F.filter(texts, lambda t: t.rlike("(?i)" + CTA)))) + F.least(F.lit(5), F.size(F.filter(buttons, lambda t: t.rlike("(?i)" + CTA)))),
-        "text": F.substring(strip_tags(html), 1, MAX_TEXT),
+        "copyright_year": bound(year, lambda y: F.when(y != "", y.cast("int"))),
+        "cta_texts": F.array_distinct(F.concat(F.slice(calls, 1, 10), F.slice(parts["buttons"], 1, 5))),
+        "cta_count": F.least(F.lit(10), F.size(calls)) + F.least(F.lit(5), F.size(parts["buttons"])),
+        "text": text if text_kept is None else F.substring(text, 1, text_kept),
         "has_app_root": html.rlike("""(?i)<div[^>]+id=["'](root|app|__next|__nuxt)["']"""),
     }
 

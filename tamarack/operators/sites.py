@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.contact import canonical_url, domain, host, is_free_builder, phone
-from tamarack.functions.html import needs_rendering, page_signals, page_type, service_hints
+from tamarack.functions.html import needs_rendering, page_parts, page_signals, page_type, service_hints
 from tamarack.functions.text import name_similarity, normalize_text, strip_diacritics
 
 # Codes, categories, severities and weights of findings.
@@ -36,13 +36,16 @@ def issue_table(spark: SparkSession) -> DataFrame:
 
 
 def pages_with_signals(pages: DataFrame) -> DataFrame:
-    """url, html (and http_status, response_time_ms where present) to the signals of each page."""
+    """url, html (and page_id, http_status, response_time_ms where present) to the signals of each page.
+
+    The tags of a page are read once, in a projection of their own; columns that nobody asks for cost nothing.
+    """
     extra = [c for c in ("page_id", "http_status", "response_time_ms") if c in pages.columns]
-    named = page_signals(F.col("html"))
+    parted = pages.select("url", *extra, "html", page_parts(F.col("html")).alias("parts"))
     path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
-    out = pages.select(
+    out = parted.select(
         "url", *extra, domain(F.col("url")).alias("site"), F.sha2("html", 256).alias("content_hash"),
-        *(c.alias(n) for n, c in named.items()),
+        *(c.alias(n) for n, c in page_signals(F.col("parts"), F.col("url")).items()),
     )
     return out.withColumns(
         {
@@ -201,7 +204,7 @@ def officialness(businesses: DataFrame, pages: DataFrame) -> DataFrame:
     """
     word = F.regexp_replace(normalize_text(F.split("site", "\\.")[0]), " ", "")
     name, glued = normalize_text(F.col("name")), F.regexp_replace(normalize_text(F.col("name")), " ", "")
-    hay = normalize_text(F.concat_ws(" ", F.col("title"), F.substring("text", 1, 4000)))
+    hay = normalize_text(F.concat_ws(" ", "title", "text"))
     tokens = F.filter(F.split(name, " "), lambda t: F.length(t) > 3)
     hits = F.size(F.filter(tokens, lambda t: F.contains(hay, t)))
     digits = F.regexp_replace(strip_diacritics(F.col("html")), "[^0-9]", "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,9 +62,11 @@ def drop(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(table: DataFrame, most_rows: int) -> DataFrame:
+def broadcast_if_small(table: DataFrame, most_rows: int, weight: Column | None = None) -> DataFrame:
     """A written table, marked for broadcast where it is counted to hold at most ``most_rows`` rows.
 
-    Beyond that it is left as it is, and its joins shuffle. Rows must be of a few hundred bytes at most.
+    Beyond that it is left as it is, and its joins shuffle. Rows must be of a few hundred bytes at most;
+    where they hold arrays, ``weight`` gives the size of a row in such units, one at least.
     """
-    return F.broadcast(table) if table.count() <= most_rows else table
+    rows = table.count() if weight is None else table.agg(F.sum(F.greatest(weight, F.lit(1)))).first()[0] or 0
+    return F.broadcast(table) if rows <= most_rows else table

@@ -111,7 +111,8 @@ DATED = """<html><body><center><font size=1><table width="980"><tr><td><marquee>
 
 def test_html(spark):
     df = spark.createDataFrame([(1, MODERN), (2, DATED), (3, None)], "id int, html string")
-    rows = {r.id: r for r in df.select("id", *(c.alias(n) for n, c in html.page_signals(F.col("html")).items())).collect()}
+    parted = df.select("id", html.page_parts(F.col("html")).alias("parts"))
+    rows = {r.id: r for r in parted.select("id", *(c.alias(n) for n, c in html.page_signals(F.col("parts")).items())).collect()}
     m, d, n = rows[1], rows[2], rows[3]
     assert m.title == "Clinica Dental Centro" and m.meta_description == "Dentistas" and m.has_viewport and m.lang == "es" and m.canonical == "https://x.es/"
     assert (m.image_count, m.images_with_alt, m.h1_count, m.heading_levels) == (2, 1, 1, [1, 2])
