@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import normalize_text
@@ -59,6 +59,28 @@ def scope_of(key: str) -> Scope:
     return SCOPES[wanted]
 
 
+def scope_table(spark: SparkSession, scopes: tuple[Scope, ...] = tuple(SCOPES.values())) -> DataFrame:
+    """A row for each scope: scope_key, province, postal_codes, least and greatest coordinates, centre, radius_km."""
+    rows = [(s.key, s.province, list(s.postal_codes), *map(float, s.box), *map(float, s.centre), float(s.radius_km)) for s in scopes]
+    return spark.createDataFrame(rows, "scope_key string, province string, postal_codes array<string>, lat0 double, lat1 double, lon0 double, lon1 double, lat_c double, lon_c double, radius_km double")
+
+
+def in_scopes(records: DataFrame, scopes: DataFrame, key: str = "scope_key", postal: str = "postal_code", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """records with in_box, in_radius, distance_km and postal_ok against the scope that each names; an unknown key is an error.
+
+    The table of scopes is joined by key; Spark broadcasts it where it is small.
+    """
+    met = records.join(scopes.withColumnRenamed("scope_key", key), key, "left")
+    unknown = F.concat(F.lit("unknown geographic scope "), F.coalesce(F.col(key), F.lit("null")))
+    known = F.when(F.col("radius_km").isNull(), F.raise_error(unknown).cast("double")).otherwise(F.col("radius_km"))
+    km = haversine_km(F.col("lat_c"), F.col("lon_c"), F.col(lat), F.col(lon))
+    return met.select(
+        *(records[c] for c in records.columns if c != key), key,
+        (F.col(lat).between(F.col("lat0"), F.col("lat1")) & F.col(lon).between(F.col("lon0"), F.col("lon1"))).alias("in_box"),
+        (km <= known).alias("in_radius"), km.alias("distance_km"), F.array_contains("postal_codes", F.col(postal)).alias("postal_ok"),
+    )
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)

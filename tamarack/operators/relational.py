@@ -72,6 +72,17 @@ def check_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.selectExpr(f"stack({len(rules)}, {pairs}) as (rule, violations)")
 
 
+def funnel(entities: DataFrame, audits: DataFrame, index: DataFrame, key: str = "business_id") -> DataFrame:
+    """(stage, n) of a dataset: active entities, those in scope, those with an audit, those in the index."""
+    active = entities.where("status = 'active'").agg(F.count("*").alias("a"), F.count_if("in_scope").alias("b"))
+    parts = (
+        active.selectExpr("stack(2, 'businesses', a, 'in_scope', b) AS (stage, n)"),
+        audits.agg(F.count_distinct(key).alias("n")).select(F.lit("audited").alias("stage"), "n"),
+        index.agg(F.count("*").alias("n")).select(F.lit("indexed").alias("stage"), "n"),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def rollup_with_zeroes(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """Counts by key for every known key, zero where there is none."""
     return known.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))

@@ -93,19 +93,36 @@ def decisions(records: DataFrame, entities: DataFrame) -> DataFrame:
 def merge_edges(records: DataFrame) -> DataFrame:
     """Pairs (src, dst) of records of one batch that the rules merge with each other."""
     sim = name_similarity(F.col("l.name_key"), F.col("r.name_key"))
-    pair = lambda cond: records.alias("l").join(records.alias("r"), cond & (F.col("l.id") < F.col("r.id")))
-    same = lambda k: F.col(f"l.{k}") == F.col(f"r.{k}")
-    out = lambda df: df.select(F.col("l.id").alias("src"), F.col("r.id").alias("dst"))
+
+    def named(*keys: str) -> tuple[DataFrame, DataFrame]:
+        """A row (the least id) for each different name of a key, and stars of the records whose names are equal.
+
+        A number or a street that very many listings share is one row to each different name.
+        """
+        own = records.where(" and ".join(f"{k} <> ''" for k in keys))
+        names = own.groupBy(*keys, "name_key").agg(F.min("id").alias("id"))
+        stars = own.where("name_key <> ''").join(names.withColumnRenamed("id", "dst"), [*keys, "name_key"]).where("id <> dst")
+        return names, stars.select(F.col("id").alias("src"), "dst")
+
+    def alike(*keys: str) -> DataFrame:
+        """Links of records of one key by names that are equal or alike."""
+        names, stars = named(*keys)
+        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+        links = names.alias("l").join(names.alias("r"), [*same, F.col("l.id") < F.col("r.id")]).where(sim >= STRONG)
+        return stars.unionByName(links.select(F.col("l.id").alias("src"), F.col("r.id").alias("dst")))
+
     # equal domains merge without a test of names: a star to the least id says as much as all pairs
     hub = records.where("domain is not null").groupBy("domain").agg(F.min("id").alias("dst"))
     by_domain = records.join(hub, "domain").where("id <> dst").select(F.col("id").alias("src"), "dst")
-    by_phone = out(pair(same("phone_key")).where(sim >= STRONG))
-    by_street = out(pair(same("postal_code") & same("street") & (F.col("l.street") != "")).where(sim >= STRONG))
-    near = trigram_pairs(records, records, "postal_code").where("l_id < r_id")
-    named = records.select("id", "name_key")
+    by_phone = alike("phone_key")
+    by_street = alike("postal_code", "street")
+    names, equal = named("postal_code")
+    near = trigram_pairs(names, names, "postal_code").where("l_id < r_id")
+    name_of = lambda i, c: names.select(F.col("id").alias(i), F.col("name_key").alias(c))
     fuzzy = (
-        near.join(named.withColumnsRenamed({"id": "l_id", "name_key": "a"}), "l_id").join(named.withColumnsRenamed({"id": "r_id", "name_key": "b"}), "r_id")
+        near.join(name_of("l_id", "a"), "l_id").join(name_of("r_id", "b"), "r_id")
         .where(name_similarity(F.col("a"), F.col("b")) >= VERY_STRONG).select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))
+        .unionByName(equal)
     )
     return by_domain.unionByName(by_phone).unionByName(by_street).unionByName(fuzzy)
 
@@ -161,6 +178,16 @@ def suppressed(records: DataFrame, suppression: DataFrame) -> DataFrame:
     return records.join(hit.select("id").distinct(), "id", "left_anti")
 
 
-def outcome_report(decided: DataFrame) -> DataFrame:
-    """(source, action) -> counts of records."""
-    return decided.groupBy("source", "action").agg(F.count("*").alias("n"))
+def outcome_report(validated: DataFrame, decided: DataFrame) -> DataFrame:
+    """(source, action, reason) -> counts of records, from what validation and the rules say of each.
+
+    validated: (id, source, reasons); decided: the result of :func:`decisions` for the records that were accepted. A record is
+    rejected for each of its reasons, merged or ambiguous as the rules decide (reason: the rule), else inserted.
+    """
+    accepted = validated.where(F.size("reasons") == 0).select("id", "source").join(decided.select("id", "rule", "action"), "id", "left")
+    taken = accepted.select(
+        "source", F.when(F.col("action").isNull(), "inserted").when(F.col("action") == "merge", "merged").otherwise(F.col("action")).alias("action"),
+        F.concat(F.lit("rule "), F.col("rule").cast("string")).alias("reason"),
+    )
+    refused = validated.select("source", F.lit("rejected").alias("action"), F.explode("reasons").alias("reason"))
+    return taken.unionByName(refused).groupBy("source", "action", "reason").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.numbers import clamp, round_half_up
+from tamarack.operators.sites import WEIGHTS as WEIGHT_OF
 from tamarack.operators.sites import issue_weight
 
 # Words of high-value services, neutral category value, weights, thresholds.
@@ -20,6 +21,9 @@ WEIGHTS = (0.35, 0.25, 0.40)
 MIN_QUALITY, MIN_VALUE, MIN_DIGITAL, MIN_TOTAL, MIN_EVIDENCE, MIN_LOCATION = 28, 35, 20, 45, 0.35, 0.7
 
 
+_REASONS = "array<struct<code: string, points: double, impact: string>>"
+
+
 def _reason(code: str, points: Column | float, when: Column) -> Column:
     points = points if isinstance(points, Column) else F.lit(float(points))
     impact = F.when(points < 0, "negative").otherwise("positive")
@@ -97,6 +101,28 @@ def digital_opportunity(has_website: Column, reachable: Column, http_status: Col
     )
 
 
+def digital_reasons(has_website: Column, reachable: Column, http_status: Column, audit_missing: Column, codes: Column, socials: Column) -> Column:
+    """What the score of digital_opportunity rests on; a site that didn't answer, or wasn't audited, gives no reason for or against."""
+    up, weight = F.coalesce(reachable, F.lit(False)), issue_weight(codes)
+    none = F.array().cast(_REASONS)
+    known = F.filter(codes, lambda x: issue_weight(F.array(x)) > 0)
+    heaviest = F.slice(F.array_sort(F.transform(known, lambda x, i: F.struct((-issue_weight(F.array(x))).alias("k"), i.alias("i"), x.alias("code")))), 1, 6)
+    found = F.transform(heaviest, lambda x: F.struct(x["code"].alias("code"), (-x["k"]).cast("double").alias("points"), F.lit("positive").alias("impact")))
+    small = _reasons(
+        _reason("site_already_strong", -20, F.size(known) == 0), _reason("minor_issues_only", -10, (F.size(known) > 0) & (weight < 15))
+    )
+    return (
+        F.when(~has_website, _reasons(_reason("no_website", WEIGHT_OF["no_website"], F.lit(True)), _reason("social_only_presence", WEIGHT_OF["social_only_presence"], socials > 0)))
+        .when(~up & http_status.isNotNull(), _reasons(_reason("website_unreachable", WEIGHT_OF["website_unreachable"], F.lit(True))))
+        .when(~up | audit_missing, none)
+        .otherwise(F.concat(found.cast(_REASONS), small))
+    )
+
+
+def location_reasons(in_scope: Column) -> Column:
+    return _reasons(_reason("location_verified", 0, in_scope))
+
+
 def opportunity(quality: Column, value: Column, digital: Column, weights: tuple[float, float, float] = WEIGHTS) -> Column:
     """Mean of the three by weights, which are scaled to sum 1; unusable weights fall back to the standard ones."""
     if any(w < 0 for w in weights) or sum(weights) <= 0:
@@ -144,16 +170,17 @@ def score_entities(facts: DataFrame, weights: tuple[float, float, float] = WEIGH
     q, q_reasons = business_quality(c("rating"), c("review_count"), c("evidence_score"), c("source_count"), c("has_phone"), c("has_address"), c("has_website"), c("social_count"))
     v, v_reasons = commercial_value(c("category_value").cast("double"), c("category_confidence"), c("review_count"), c("services"), c("has_booking"))
     d = digital_opportunity(c("has_website"), c("reachable"), c("http_status"), c("audit_missing"), c("issue_codes"), c("social_count"))
-    out = facts.withColumns({"quality": q, "commercial": v, "digital": d, "_q": q_reasons, "_v": v_reasons})
+    out = facts.withColumns({"quality": q, "commercial": v, "digital": d})
+    d_reasons = digital_reasons(c("has_website"), c("reachable"), c("http_status"), c("audit_missing"), c("issue_codes"), c("social_count"))
     out = out.withColumn("total", opportunity(c("quality"), c("commercial"), c("digital"), weights))
     return out.withColumns(
         {
             "failed": gate(c("is_duplicate"), c("in_scope"), c("location_confidence"), c("category_excluded"), c("evidence_score"), c("name_meaningful"), c("quality"), c("commercial"), c("digital"), c("total")),
             "opportunity": round_half_up(c("total")),
-            "reasons": ranked_reasons(c("_q"), c("_v")),
+            "reasons": ranked_reasons(location_reasons(c("in_scope")), q_reasons, v_reasons, d_reasons),
             "verdict": verdict(c("has_website"), c("reachable"), c("http_status"), c("audit_missing"), c("issue_codes"), c("social_count")),
         }
-    ).withColumn("qualified", F.size("failed") == 0).drop("_q", "_v", "total")
+    ).withColumn("qualified", F.size("failed") == 0).drop("total")
 
 
 def escalated(candidates: DataFrame, cap: int, least: float = MIN_TOTAL, sure: float = 70.0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +37,42 @@ def batch_search(queries: DataFrame, documents: DataFrame, k: int, min_score: fl
     reviews): the best ``k`` of each query by opportunity, relevance and reviews.
 
     A document matches if it holds all tokens of the query, or its name's trigrams overlap by 0.3, or the
-    category is equal. The three are equi-joins (tokens, trigrams, category), never a cross join; a
-    query without tokens matches by category or name alone.
+    category is equal. Queries meet documents on their rarest token, and on all but the commonest 0.3 of their
+    trigrams, whose counts are taken first; of a category its best ``k`` are read. A query without tokens matches by
+    category or name alone.
     """
     docs = documents.where(F.col("opportunity") >= min_score)
     q = queries.select("query_id", "category", tokens(F.col("query")).alias("q_tokens"), trigrams(normalize_text(F.col("query"))).alias("q_grams"))
 
-    def overlap(left: str, right: str) -> DataFrame:
-        a = q.select("query_id", F.size(left).alias("n_q"), F.explode(left).alias("t"))
-        b = docs.select("id", F.size(right).alias("n_d"), F.explode(right).alias("t"))
-        return a.join(b, "t").groupBy("query_id", "id", "n_q", "n_d").agg(F.count("*").alias("shared"))
-
-    by_token = overlap("q_tokens", "tokens").where("shared = n_q").select("query_id", "id", (F.col("n_q") / F.col("n_d")).alias("rank"))
-    by_name = overlap("q_grams", "grams").select("query_id", "id", (F.col("shared") / (F.col("n_q") + F.col("n_d") - F.col("shared"))).alias("rank")).where(F.col("rank") >= MIN_TRIGRAM)
-    by_category = q.where("category is not null").join(docs, "category").select("query_id", "id", F.lit(CATEGORY_RANK).alias("rank"))
+    def probed(left: str, right: str, probes: Column) -> DataFrame:
+        """Documents that share one of a query's ``probes`` rarest items, with both sides' items."""
+        asked = q.select("query_id", left, F.explode(left).alias("t"))
+        held = docs.select("id", right, F.explode(right).alias("t"))
+        counts = held.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+        rare = asked.join(counts, "t", "left").groupBy("query_id", left).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("o"))
+        keys = rare.select("query_id", left, F.explode(F.slice("o", F.lit(1), probes)).alias("k")).select("query_id", left, F.col("k.t").alias("t"))
+        return keys.join(held, "t").dropDuplicates(["query_id", "id"])
+
+    # a document with all tokens of a query holds its rarest one
+    by_token = (
+        probed("q_tokens", "tokens", F.lit(1)).where(F.size(F.array_except("q_tokens", "tokens")) == 0)
+        .select("query_id", "id", (F.size("q_tokens") / F.size("tokens")).alias("rank"))
+    )
+    # one with an overlap of 0.3 shares 0.3 of the query's trigrams at least, and so one of all but the rest
+    shared = F.size(F.array_intersect("q_grams", "grams"))
+    probes = (F.size("q_grams") - F.ceil(F.size("q_grams") * MIN_TRIGRAM) + 1).cast("int")
+    by_name = (
+        probed("q_grams", "grams", probes)
+        .select("query_id", "id", (shared / (F.size("q_grams") + F.size("grams") - shared)).alias("rank")).where(F.col("rank") >= MIN_TRIGRAM)
+    )
+    # of a category's documents the best k by the order of the result are all that can come into it
+    first = Window.partitionBy("category").orderBy(F.desc("opportunity"), F.desc_nulls_last("reviews"), "id")
+    of_category = docs.join(q.select("category").where("category is not null").distinct(), "category", "left_semi").withColumn("r", F.row_number().over(first))
+    other = by_token.unionByName(by_name).select("query_id", "id").distinct()
+    by_category = q.where("category is not null").join(of_category.where(F.col("r") <= k), "category").select("query_id", "id", F.lit(CATEGORY_RANK).alias("rank"))
+    # what came by tokens or name may be of the category, too
+    same = other.join(q.where("category is not null").select("query_id", "category"), "query_id").join(docs.select("id", "category"), ["id", "category"]).select("query_id", "id", F.lit(CATEGORY_RANK).alias("rank"))
+    by_category = by_category.unionByName(same)
     best = by_token.unionByName(by_name).unionByName(by_category).groupBy("query_id", "id").agg(F.max("rank").alias("relevance"))
     w = Window.partitionBy("query_id").orderBy(F.desc("opportunity"), F.desc("relevance"), F.desc_nulls_last("reviews"), "id")
     ranked = best.join(docs.select("id", "opportunity", "reviews"), "id").withColumn("rank", F.row_number().over(w))
@@ -60,6 +85,36 @@ def top_k(rows: DataFrame, k: int, least: int = 1, most: int = 25) -> DataFrame:
     return rows.orderBy(F.desc("opportunity"), F.desc("relevance"), F.desc_nulls_last("reviews"), "id").limit(k)
 
 
-def result_note(found: int, asked: int) -> str | None:
-    """A remark where the list is shorter than what was asked for."""
-    return None if found >= asked else f"{found} of {asked}: nothing else passes the gate"
+def request_limit(asked: float | None, default: int = 10, most: int = 25) -> int:
+    """How many results a request gets: the default where it names no number, else a whole number from 1 to ``most``."""
+    if asked is None or not math.isfinite(asked):
+        return default
+    return max(1, min(most, math.floor(asked)))
+
+
+def requested(rows: DataFrame, limit: float | None = None, category: str | None = None, least: int | None = None, most: int = 25) -> DataFrame:
+    """The shortlist of rows that a request asks for; a category that is no key, or a floor outside 0 to 100, is an error."""
+    if category is not None and not re.fullmatch("[a-z_]{2,40}", category.strip()):
+        raise ValueError("a category must be a key of the taxonomy")
+    if least is not None and not 0 <= least <= 100:
+        raise ValueError("the least score must lie in 0 to 100")
+    if category is not None:
+        rows = rows.where(F.col("category") == category.strip())
+    if least is not None:
+        rows = rows.where(F.col("opportunity") >= least)
+    return top_k(rows, request_limit(limit, most=most), most=most)
+
+
+def index_members(scored: DataFrame, least_location: float = 0.7) -> DataFrame:
+    """Scored entities that belong to the search index; a null in any of the four conditions keeps a row out."""
+    return scored.where(F.col("qualified") & F.col("in_scope") & (F.col("status") == "active") & (F.col("location_confidence") >= least_location))
+
+
+def result_note(found: Column, asked: Column, place: Column) -> Column:
+    """A remark where the list is shorter than what was asked for, else null."""
+    none = F.concat(F.lit("No "), place, F.lit(" businesses currently meet the quality threshold for this search."))
+    few = F.concat(
+        F.lit("Only "), found.cast("string"), F.lit(" "), place, F.when(found == 1, " business meets").otherwise(" businesses meet"),
+        F.lit(" the quality threshold, so the list is not padded."),
+    )
+    return F.when(found >= asked, F.lit(None)).when(found == 0, none).otherwise(few)

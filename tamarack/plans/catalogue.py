@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.plans import fields, records, reports, sites  # noqa: F401  (they register their queries)
+from tamarack.plans import extracts, fields, records, reports, sites  # noqa: F401  (they register their queries)
 from tamarack.plans.registry import QUERIES, SQL, Query
 
 

@@ -172,7 +172,7 @@ def checks(spark, sf):
     )
 
 
-PAIRS_SQL = f"""p AS (SELECT p_partkey AS id, p_brand, {NORM.format('p_name')} AS n FROM part WHERE p_size <= 6),
+PAIRS_SQL = f"""p AS (SELECT p_partkey AS id, p_brand, {NORM.format('p_name')} AS n FROM part),
   g AS (SELECT *, {GRAMS_SQL.format('n')} AS g FROM p),
   x AS (SELECT a.id AS l_id, b.id AS r_id, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE AS s
         FROM g a JOIN g b ON a.p_brand = b.p_brand)"""
@@ -180,17 +180,7 @@ PAIRS_SQL = f"""p AS (SELECT p_partkey AS id, p_brand, {NORM.format('p_name')} A
 
 @query("F14_G4_trigram_join", f"WITH {PAIRS_SQL} SELECT l_id, r_id, floor(s * 1e6 + 0.5) / 1e6 AS similarity FROM x WHERE s > 0.5")
 def trigram_join(spark, sf):
-    return _trigram_join(table(spark, sf, "part").where("p_size <= 6"))
-
-
-@query("F14_G4_trigram_join_whole")
-def trigram_join_whole(spark, sf):
-    """All of part; the query above is the share of it that its all-pairs SQL is fast enough for."""
-    return _trigram_join(table(spark, sf, "part"))
-
-
-def _trigram_join(part):
-    p = part.select(F.col("p_partkey").alias("id"), "p_brand", text.normalize_text(F.col("p_name")).alias("name_key"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", text.normalize_text(F.col("p_name")).alias("name_key"))
     return resolve.trigram_pairs(p, p, "p_brand").withColumn("similarity", F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6)
 
 
@@ -320,7 +310,31 @@ def scores(spark, sf):
     return scoring.score_entities(_facts(spark, sf)).select("id", "quality", "commercial", "digital", "opportunity", F.concat_ws("|", "failed").alias("failed"), "qualified")
 
 
-@query("J5_ranked_reasons")
+#: Reasons of each block with their points, in the order of the rules; a block's are ranked by falling points, equal ones in order.
+REASONS_SQL = f"""p AS (SELECT *, 0.55::DOUBLE * least(100.0::DOUBLE, 33.3::DOUBLE * log10(reviews + 1)) AS vol, 0.45::DOUBLE * greatest(0.0, least(100.0, (rating - 3) / 2 * 100)) AS qual,
+    reviews > 0 AND rating IS NOT NULL AS seen, base * sure + 45.0::DOUBLE * (1 - sure) AS cat FROM g),
+b AS (SELECT *, [
+    CASE WHEN seen AND reviews >= 400 THEN ('very_high_review_volume', {_R('vol')}) END, CASE WHEN seen AND reviews BETWEEN 100 AND 399 THEN ('high_review_volume', {_R('vol')}) END,
+    CASE WHEN seen AND reviews BETWEEN 25 AND 99 THEN ('meaningful_review_volume', {_R('vol')}) END, CASE WHEN seen AND reviews < 25 THEN ('low_review_volume', {_R('vol - 25')}) END,
+    CASE WHEN seen AND rating >= 4.7 THEN ('excellent_rating', {_R('qual')}) END, CASE WHEN seen AND rating >= 4.3 AND rating < 4.7 THEN ('strong_rating', {_R('qual')}) END,
+    CASE WHEN seen AND rating < 3.8 THEN ('weak_rating', {_R('qual - 30')}) END, CASE WHEN NOT seen THEN ('no_review_evidence', -20.0::DOUBLE) END,
+    CASE WHEN sources >= 2 THEN ('corroborated_by_multiple_sources', {_R('0.12::DOUBLE * (ev * 100)')}) END, CASE WHEN sources < 2 AND ev < 0.4 THEN ('thin_public_evidence', -12.0::DOUBLE) END,
+    CASE WHEN phone AND address THEN ('established_presence', {_R('0.15::DOUBLE * est')}) END] AS r1,
+  [CASE WHEN base >= 85 THEN ('high_value_category', {_R('0.8::DOUBLE * cat')}) END, CASE WHEN base >= 65 AND base < 85 THEN ('solid_value_category', {_R('0.8::DOUBLE * cat')}) END,
+    CASE WHEN base < 65 THEN ('low_value_category', {_R('0.8::DOUBLE * cat - 40')}) END, CASE WHEN sure < 0.5 THEN ('uncertain_category', -8.0::DOUBLE) END,
+    CASE WHEN reviews >= 500 THEN ('large_operation', 8.0::DOUBLE) END, CASE WHEN reviews BETWEEN 150 AND 499 THEN ('substantial_operation', 5.0::DOUBLE) END,
+    CASE WHEN srv THEN ('high_value_services', 8.0::DOUBLE) END, CASE WHEN booking THEN ('transactional_intent', 4.0::DOUBLE) END] AS r2,
+  CASE WHEN NOT site THEN [('no_website', 30.0::DOUBLE), CASE WHEN socials > 0 THEN ('social_only_presence', 15.0::DOUBLE) END] WHEN NOT up AND failed THEN [('website_unreachable', 34.0::DOUBLE)]
+    WHEN NOT up OR unaudited THEN [] WHEN even THEN [('no_https', 14.0::DOUBLE), ('weak_cta', 9.0::DOUBLE)] ELSE [('missing_h1', 5.0::DOUBLE), ('minor_issues_only', -10.0::DOUBLE)] END AS r3 FROM p),
+k AS (SELECT *, list_transform([r1, r2, r3], lambda r: list_transform(list_sort(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i] IS NOT NULL), lambda i: (-abs(r[i][2]), i))), lambda x: r[x[2]][1])) AS own FROM b)"""
+VERDICTS_SQL = """CASE WHEN NOT site AND socials > 0 THEN 'social profiles only' WHEN NOT site THEN 'no website' WHEN NOT up AND NOT failed THEN 'did not respond' WHEN NOT up THEN 'unreachable'
+  WHEN unaudited THEN 'not audited yet' ELSE 'minor issues' END"""
+
+
+@query(
+    "J5_ranked_reasons",
+    f"""WITH {SCORES_SQL}, {REASONS_SQL} SELECT id, array_to_string((CASE WHEN scoped THEN ['location_verified'] ELSE [] END || own[1] || own[2] || own[3])[1:6], '|') AS reasons, {VERDICTS_SQL} AS verdict FROM k""",
+)
 def reasons(spark, sf):
     return scoring.score_entities(_facts(spark, sf)).select("id", F.concat_ws("|", "reasons").alias("reasons"), "verdict")
 

@@ -205,9 +205,17 @@ def session_runs(spark, sf):
     return jobs.sessions(table(spark, sf, "events"), "user_id", gap="8 hours")
 
 
-@query("O5_budget_flags")
+@query(
+    "O5_budget_flags",
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, ts, event_id, k, true AS allowed, NULL::TIMESTAMP AS a, ts AS b FROM e WHERE k = 1
+      UNION ALL SELECT e.user_id, e.ts, e.event_id, e.k, x.ok, CASE WHEN x.ok THEN r.b ELSE r.a END, CASE WHEN x.ok THEN e.ts ELSE r.b END
+      FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1, LATERAL (SELECT r.a IS NULL OR r.a <= e.ts - INTERVAL 86400 SECOND AS ok) x)
+    SELECT user_id, ts, event_id, allowed FROM r""",
+)
 def budget(spark, sf):
-    return jobs.budget_flags(table(spark, sf, "events"), "user_id", "ts", "event_id", limit=2, window_seconds=86_400)
+    flags = jobs.budget_flags(table(spark, sf, "events"), "user_id", "ts", "event_id", limit=2, window_seconds=86_400)
+    return flags.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(

@@ -28,8 +28,27 @@ def export_rows(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    export_rows(df).write.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+#: The columns of an exported shortlist, in order.
+SHORTLIST = (
+    "name", "category", "opportunity", "business_quality", "commercial_value", "digital_opportunity", "phone", "email", "website", "website_verdict",
+    "rating", "review_count", "address", "postal_code", "city", "crm_status", "top_reasons", "prospect_id", "indexed_at",
+)
+MARK = "\ufeff"
+
+
+def shortlist_rows(df: DataFrame) -> DataFrame:
+    """The columns SHORTLIST of ``df`` as an export shows them; those that it lacks are empty. Ratings keep their decimals."""
+    kinds = dict(df.dtypes)
+    cells = [F.col(c).cast("string") if c == "rating" and c in kinds else F.col(c) if c in kinds else F.lit(None).cast("string") for c in SHORTLIST]
+    return export_rows(df.select(*(v.alias(c) for c, v in zip(SHORTLIST, cells))))
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """Rows as an export shows them, with a header, CRLF and, with ``mark``, a byte order mark at the head of each file."""
+    out = export_rows(df)
+    if mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], MARK + out.columns[0])
+    out.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def append_timeline(rows: DataFrame, path: str, day: str = "day") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -131,6 +131,12 @@ def stale_alerts(audits: DataFrame, days: int, delay: str = "1 hour") -> DataFra
     )
 
 
+def stale_now(audits: DataFrame, days: int, as_of: Column) -> DataFrame:
+    """Batch twin of stale_alerts at one time: (key, last_ms) of entities whose last audit is ``days`` old or more."""
+    last = audits.groupBy("key").agg(F.max(F.unix_millis(F.col("at").cast("timestamp"))).alias("last_ms"))
+    return last.where(F.col("last_ms") + days * 86_400_000 <= F.unix_millis(as_of))
+
+
 def ingest(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run ``apply(batch, batch_id)`` on each micro-batch; it writes to a place named by batch_id, so that a
     batch that comes again replaces its own result."""

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.functions import text
-from tamarack.operators import resolve, sites
+from tamarack.functions import geo, html, text
+from tamarack.operators import components, resolve, search, sites
 from tamarack.operators.components import connected_components
 from tamarack.sources import listings, sinks
 from tamarack.streaming import jobs
@@ -62,7 +62,9 @@ def test_export(spark, tmp_path):
     assert body.count(b"\r\n") == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_EDGES", small)
     rng = random.Random(4)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(140)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -76,6 +78,8 @@ def test_components(spark):
     loops = {n for e in edges for n in e} - set(got)
     assert all(label[n] == n for n in loops) and all(got[n] == label[n] for n in got)
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z"), ("x", "x"), (None, "a")], "src string, dst string")
+    assert {tuple(r) for r in connected_components(named).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "z"), ("é", "z")}
 
 
 def business(spark, rows):
@@ -187,3 +191,61 @@ def test_streams(spark, tmp_path, sf_dir):
 
     jobs.ingest(jobs.first_seen(spark.readStream.schema(records.schema).parquet(f"{tmp_path}/rec")), keep, f"{tmp_path}/cp2").awaitTermination(120)
     assert sum(seen.values(), []) == ["1", "2"]
+
+
+def test_stale_alerts(spark, tmp_path):
+    day = lambda d, h=0: datetime.datetime(2026, 1, d, h, tzinfo=datetime.timezone.utc)
+    batches = [[("a", day(1)), ("b", day(1)), ("c", day(1))], [("a", day(5)), ("b", day(3))], [("c", day(20))], [("x", day(21))]]
+    for i, rows in enumerate(batches):  # a file to a micro-batch, so that event time moves on between them
+        spark.createDataFrame(rows, "key string, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = []
+        q = (
+            jobs.stale_alerts(spark.readStream.schema("key string, at timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), 7)
+            .writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        )
+        q.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    ms = lambda d: int(day(d).timestamp() * 1000)
+    got = {(r.key, r.last_ms) for r in found}
+    assert ("a", ms(5)) in got and ("b", ms(3)) in got and not any(k == "x" for k, _ in got) and ("c", ms(20)) not in got
+    whole = spark.read.option("recursiveFileLookup", True).schema("key string, at timestamp").parquet(f"{tmp_path}/in")
+    now = {(r.key, r.last_ms) for r in jobs.stale_now(whole, 7, F.lit(day(20, 23))).collect()}
+    assert now == {("a", ms(5)), ("b", ms(3))}
+
+
+def test_export_file_bytes(spark, tmp_path):
+    df = spark.createDataFrame([("=1", None, 4.5, ["x"])], "name string, email string, rating double, top_reasons array<string>")
+    sinks.write_csv(sinks.shortlist_rows(df).coalesce(1), f"file://{tmp_path}/out", mark=True)
+    (file,) = (tmp_path / "out").glob("part-*.csv")
+    data = file.read_bytes()
+    assert data.startswith(b"\xef\xbb\xbfname,category,") and data.endswith(b"\r\n") and b"\r\n'=1,,,,,,,,,,4.5,,,,,,x,,\r\n" in data
+
+
+def test_requests_and_scopes(spark):
+    assert [search.request_limit(x) for x in (None, float("nan"), 0, 3.7, 99)] == [10, 10, 1, 3, 25]
+    rows = spark.createDataFrame([(1, "a_b", 50.0, 1.0, 1)], "id long, category string, opportunity double, relevance double, reviews int")
+    for bad in ({"category": "A"}, {"category": "x y"}, {"least": 101}):
+        with pytest.raises(ValueError):
+            search.requested(rows, **bad)
+    records = spark.createDataFrame([("nowhere", "1", 1.0, 1.0)], "scope_key string, postal_code string, latitude double, longitude double")
+    with pytest.raises(Exception, match="unknown geographic scope"):
+        geo.in_scopes(records, geo.scope_table(spark)).collect()
+
+
+def test_one_phone_and_one_gram_on_half_of_the_rows(spark):
+    """A number that many listings share is compared by different names, and gives the components that all pairs give."""
+    rows = [(i, f"name {i % 3}" if i % 2 else f"alpha dental {i % 5}", None, "p" if i % 2 else f"q{i}", "29001", "") for i in range(400)]
+    records = spark.createDataFrame(rows, "id long, name_key string, domain string, phone_key string, postal_code string, street string")
+    edges = resolve.merge_edges(records)
+    assert edges.count() < 2000
+    got = {r.id: r.component for r in resolve.resolve_batch(records).collect()}
+    assert all(got[i] == got[j] for i in range(1, 60) for j in range(1, 60) if rows[i][1] == rows[j][1] and i % 2 == j % 2)
+
+
+@pytest.mark.parametrize("value,want", [("b/c.jpg", "https://x.es/d/b/c.jpg"), ("../c", "https://x.es/c"), ("/a/./b/../c?q#z", "https://x.es/a/c?q#z"), ("//Y.es", "https://y.es/"), ("?p=1", "https://x.es/d/e?p=1"), ("mailto:a", None), ("http://Z.es", "http://z.es/")])
+def test_resolved_references(spark, value, want):
+    df = spark.createDataFrame([(value, "https://X.es/d/e?o=1#f".replace("X", "x"))], "v string, b string")
+    assert df.select(html.resolved(F.col("v"), F.col("b"))).first()[0] == want

@@ -38,18 +38,3 @@ def test_query(spark, con, sf_dir, name):
     assert sorted(names) == columns
     rows = cursor.fetchall()
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in rows), key=repr)
-
-
-def test_trigram_join_of_all_parts(spark, con, sf_dir):
-    from tamarack.plans.records import PAIRS_SQL
-
-    assert PAIRS_SQL.count(" WHERE p_size <= 6") == 1
-    pairs = PAIRS_SQL.replace(" WHERE p_size <= 6", "")
-    want = con.execute(f"WITH {pairs} SELECT l_id, r_id, floor(s * 1e6 + 0.5) / 1e6 FROM x WHERE s > 0.5").fetchall()
-    got = [tuple(r) for r in catalogue.queries()["F14_G4_trigram_join_whole"](spark, sf_dir).select("l_id", "r_id", "similarity").collect()]
-    assert sorted(map(plain_row, got)) == sorted(map(plain_row, want))
-    assert {r[0] for r in got} == {r[0] for r in con.execute("SELECT p_partkey FROM part").fetchall()}
-
-
-def plain_row(row):
-    return tuple(plain(v) for v in row)
