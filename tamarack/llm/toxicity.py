@@ -18,14 +18,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tamarack.llm.common import map_texts, table
-from tamarack.operators.storage import written
+from tamarack.llm.common import release, table, without_gc
+from tamarack.operators.storage import drop, written
 
 SAMPLE = 4_000
 LEXICON = 150
@@ -42,6 +42,7 @@ SECOND_PERSON = frozenset(
 LEET = str.maketrans("013457@$!|", "oieastasil")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _INSIDE = re.compile(r"[^\W\d_][\d@$!|*.#_-]+[^\W\d_]")
+_ASCII = re.compile("[\0-\x7f]+")
 FEATURES = (
     "log_tokens", "hit_density", "hits_log", "distinct_hits", "best_weight", "weight_sum", "hidden_hits",
     "near_second_person", "second_person", "capitals", "capital_tokens", "exclaim", "question", "symbols", "digits",
@@ -63,44 +64,61 @@ def word_features(token: str) -> set[str]:
 
 
 class Reader:
-    """Features of texts under one lexicon; remembers tokens."""
+    """Features of texts under one lexicon; remembers what it found of tokens, in two generations of ``limit`` each."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 60_000):
-        self.lexicon, self.limit, self.known = lexicon, limit, {}
+    def __init__(self, lexicon: dict[str, float], limit: int = 40_000):
+        self.lexicon, self.limit, self.young, self.elder = lexicon, limit, {}, {}
 
     def _hit(self, word: str) -> float:
         if len(word) < 3:
             return 0.0
-        keys = ["w:" + word, *("p:" + word[:k] for k in PREFIXES if len(word) >= k)]
-        return max((self.lexicon.get(k, 0.0) for k in keys), default=0.0)
-
-    def _token(self, token: str) -> tuple[float, bool, bool, bool]:
-        """Weight of a hit, whether it was hidden, second person, obfuscated."""
-        plain, behind = cores(token)
-        weight, hidden = self._hit(plain), False
-        if not weight and behind != plain:
-            weight = self._hit(behind)
-            hidden = weight > 0
-        return weight, hidden, plain in SECOND_PERSON, bool(_INSIDE.search(token))
+        get, found = self.lexicon.get, self.lexicon.get("w:" + word, 0.0)
+        for k in PREFIXES:
+            if k > len(word):
+                break
+            found = max(found, get("p:" + word[:k], 0.0))
+        return found
+
+    def _token(self, token: str) -> tuple[float, bool, bool, bool] | None:
+        """Weight of a hit, whether it was hidden, second person, obfuscated; None for a token with nothing of these."""
+        if token.isalpha():  # nothing to take away, nothing disguised
+            value = self._hit(token), False, token in SECOND_PERSON, False
+        else:
+            plain, behind = cores(token)
+            weight, hidden = self._hit(plain), False
+            if not weight and behind != plain:
+                weight = self._hit(behind)
+                hidden = weight > 0
+            value = weight, hidden, plain in SECOND_PERSON, bool(_INSIDE.search(token))
+        return value if any(value) else None
+
+    def _known(self, counts: Counter) -> Iterator[tuple[str, int, tuple[float, bool, bool, bool]]]:
+        """The tokens that count for something."""
+        young, elder, missing = self.young, self.elder, self
+        for token, times in counts.items():
+            value = young.get(token, missing)
+            if value is missing:
+                value = elder.get(token, missing)
+                if value is missing:
+                    value = self._token(token)
+                if len(token) <= 64:
+                    if len(young) >= self.limit:
+                        self.young, self.elder = young, elder = {}, young
+                    young[token] = value
+            if value is not None:
+                yield token, times, value
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
-        tokens = text.lower().split()
-        n = len(tokens)
+        words = text.split()
+        n = len(words)
         if not n:
             return [0.0] * len(FEATURES)
+        tokens = text.lower().split()
         counts = Counter(tokens)
-        known = self.known
         hits, persons, weights, hidden, obfuscated = set(), set(), 0.0, 0, 0
         best, n_hits = 0.0, 0
-        for token, times in counts.items():
-            value = known.get(token)
-            if value is None:
-                value = self._token(token)
-                if len(known) >= self.limit:
-                    known.clear()
-                if len(token) <= 64:
-                    known[token] = value
+        for token, times, value in self._known(counts):
             if value[0]:
                 hits.add(token)
                 n_hits += times
@@ -114,14 +132,15 @@ class Reader:
         near, spoken = 0, sum(counts[t] for t in persons)
         if hits and persons:
             where = np.array([i for i, t in enumerate(tokens) if t in persons])
-            for i in (i for i, t in enumerate(tokens) if t in hits):
-                near += bool(np.abs(where - i).min() <= NEAR_TOKENS)
+            at = np.array([i for i, t in enumerate(tokens) if t in hits])
+            behind = np.searchsorted(where, at - NEAR_TOKENS)
+            near = int((where[np.minimum(behind, len(where) - 1)] - at <= NEAR_TOKENS)[behind < len(where)].sum())
         data = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
         size = max(1, int(data.sum()))
-        upper = int(data[65:91].sum())
+        upper = int(data[65:91].sum()) + (0 if text.isascii() else sum(map(str.isupper, _ASCII.sub("", text))))
         return [
             float(np.log1p(n)), n_hits / n, float(np.log1p(n_hits)), float(len(hits)), best, weights / n, hidden / n,
-            near / n, spoken / n, upper / size, sum(t.isupper() for t in text.split()) / n if upper > size / 8 else 0.0,
+            near / n, spoken / n, upper / size, sum(map(str.isupper, words)) / n,
             data[33] / size, data[63] / size, int(data[[35, 36, 37, 38, 42, 64, 94, 124]].sum()) / size,
             int(data[48:58].sum()) / size, obfuscated / n, size / n, 1 - len(counts) / n,
         ]
@@ -183,17 +202,28 @@ def learn_lexicon(texts: DataFrame, size: int = LEXICON) -> dict[str, float]:
     return {r["f"]: r["odds"] for r in ranked.collect()}
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the columns FEATURES of every whole text. Null and empty texts are all zero."""
-    schema = "doc_id long, " + ", ".join(f"{name} double" for name in FEATURES)
+def featured(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns ``keep``) and vector (the numbers FEATURES of the whole text), narrow.
+
+    Null and empty texts are all zero.
+    """
     frozen = tuple(sorted(lexicon.items()))
+    source = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), docs[text_col].cast("string").alias("text"))
 
-    def run(ids: list, texts: list) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(frozen)
-        rows = np.array([reader.features(t) for t in texts], dtype=np.float64)
-        return {"doc_id": ids} | {name: rows[:, i] for i, name in enumerate(FEATURES)}
+        with without_gc():
+            for batch in batches:
+                for first in range(0, batch.num_rows, 1_000):
+                    part = batch.slice(first, 1_000)
+                    rows = np.array([reader.features(t.as_py()) for t in part.column(1)], dtype=np.float64).reshape(-1, len(FEATURES))
+                    offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)
+                    vector = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), vector], names=["row", "vector"])
+        release()
 
-    return map_texts(docs, run, schema, id_col, text_col)
+    schema = StructType([source.schema["row"], StructField("vector", ArrayType(DoubleType()))])
+    return source.mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=1)
@@ -201,29 +231,25 @@ def _reader(lexicon: tuple) -> Reader:
     return Reader(dict(lexicon))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = LEXICON, seed: int = 7) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7) for every row of ``docs``.
-
-    Labels are learned from rows outside the held-out fold alone. Null and empty texts get the score
-    of a text without any feature. Repeated rows and null ids give a row each. Without labels of both
-    kinds every score is 0. Other columns are ignored; an empty table gives none.
-    """
+def rated(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE, size: int = LEXICON, seed: int = 7) -> DataFrame:
+    """row (a struct of the columns ``keep``) and score of every row of ``docs``: one narrow pass after the fit."""
     drawn = draw(training_labels(labels), sample)
-    source = docs.select("doc_id", "text")
     # the drawn ids number 2 * sample at most, so that they may be broadcast
-    texts = source.join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic", "weight")
-    fitting = written(texts.dropDuplicates(["doc_id"]), "fitting")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    # of repeated ids the least text, null last
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("weight").alias("weight"))
+    fitting = written(once, "fitting")
     lexicon = learn_lexicon(fitting.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0), size)
-    marked = written(with_features(source, lexicon), "features").withColumn("held_out", held_out())
     kinds = {r["toxic"] for r in fitting.select("toxic").distinct().collect()}
+    marked = featured(docs, lexicon, keep).withColumn("vector", array_to_vector("vector"))
     if kinds != {0, 1}:
         flat = marked.withColumn("score", F.lit(0.0))
     else:
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-        rows = assembler.transform(with_features(fitting, lexicon).join(fitting.drop("text"), "doc_id")).withColumn(
-            "part", F.pmod(F.xxhash64("doc_id"), F.lit(4))
-        )
-        rows = written(rows.select("vector", F.col("toxic").cast("double").alias("label"), "weight", "part").repartition(4), "vectors")
+        known = featured(fitting, lexicon, ["doc_id", "toxic", "weight"]).select(
+            array_to_vector("vector").alias("vector"), F.col("row.toxic").cast("double").alias("label"), "row.weight",
+            F.pmod(F.xxhash64("row.doc_id"), F.lit(4)).alias("part"),
+        )
+        rows = written(known.repartition(4), "vectors")
         grow, calibrate = rows.where("part <> 0"), rows.where("part = 0")
         if min(grow.select("label").distinct().count(), calibrate.select("label").distinct().count()) < 2:
             grow = calibrate = rows
@@ -235,19 +261,35 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
         isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(
             raw(calibrate).select("raw", "label", "weight")
         )
-        flat = isotonic.transform(raw(assembler.transform(marked)))
+        drop(rows)
         # steps of the calibration are ties; a thousandth of the trees' own order breaks them
-        flat = flat.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("calibrated") + 0.001 * F.col("raw"))))
-    return flat.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        flat = isotonic.transform(raw(marked)).withColumn(
+            "score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("calibrated") + 0.001 * F.col("raw")))
+        )
+    drop(drawn)
+    drop(fitting)
+    return flat.select("row", "score")
+
+
+def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7) for every row of ``docs``.
+
+    Labels are learned from rows outside the held-out fold alone; of texts of one doc_id the least is learned from. Null
+    and empty texts get the score of a text without any feature. Repeated rows and null ids give a row each. Without
+    labels of both kinds every score is 0. Other columns are ignored; an empty table gives none. ``options`` are those
+    of :func:`rated`.
+    """
+    flat = rated(docs.select("doc_id", "text"), labels, ["doc_id"], **options).select("row.doc_id", "score")
+    return flat.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text isn't predicted toxic, with their columns.
+    """The rows of ``docs`` whose text isn't predicted toxic, with their columns, whatever their names.
 
-    A doc_id stays unless one of its rows is predicted toxic; rows with a null doc_id stay.
+    Each row goes or stays by its own text, also where doc_ids are null or repeated; null and empty texts stay
+    unless a text without any feature is predicted toxic. An empty table gives none. No text is shuffled.
     """
-    bad = score(docs, labels, **options).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return rated(docs, labels, docs.columns, **options).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
