@@ -13,6 +13,7 @@ reachability needs; distributed components join them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import map_texts, table
 from tamarack.operators.components import connected_components
-from tamarack.operators.storage import written
+from tamarack.operators.storage import broadcast_if_small, drop, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 HOT_NODE = 1024
 SEED = 42
+#: So many ids are broadcast (8 bytes each); more are joined by shuffles.
+SMALL_ROWS = 400_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -150,8 +153,6 @@ def _subtree_edges(keyed: DataFrame, bits: int, budget: int, partitions: int) ->
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-
-
 def near_links(distinct: DataFrame, budget: int = MAX_BITS, hot: int = HOT_NODE) -> DataFrame:
     """distinct: (fp long, node long), fp distinct -> star edges (src, dst) between nodes.
 
@@ -188,9 +189,11 @@ def near_links(distinct: DataFrame, budget: int = MAX_BITS, hot: int = HOT_NODE)
         F.col("s.rest").alias("rest"),
         "node",
     )
-    return written(
+    links = written(
         _subtree_edges(cool, 32, budget, partitions).unionByName(_subtree_edges(heated, 16, budget, partitions)), "links"
     )
+    drop(grown)
+    return links
 
 
 def near_duplicates(
@@ -212,6 +215,7 @@ def near_duplicates(
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     links = near_links(distinct.where("node is not null"), budget, hot)
     found = connected_components(links).withColumnsRenamed({"node": "n", "component": "c"})
+    drop(links)
     roots = distinct.join(found, distinct["node"] == found["n"], "left").select(
         "fp", F.coalesce("c", "node").alias("component_id")
     )
@@ -223,12 +227,27 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents of ``docs`` that stand for their group: one row each, the least doc_id's.
 
-    Rows with a null doc_id stay. Of repeated rows with one doc_id one stays.
+    Rows with a null doc_id stay. Of repeated rows with one doc_id the one of the least text hash (then the least as
+    JSON) stays. Columns may have any names. Only the ids that go, or that are repeated, are joined with the texts, and
+    these are broadcast where they are counted to be few.
     """
-    id_col = options.get("id_col", "doc_id")
-    keep = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    by_id = near_duplicates(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")
+    )
+    marked = written(by_id.where("n > 1 or not stays"), "marked")
+    mine = f"id_{uuid.uuid4().hex}"  # a name that no column of docs has
+    listed = broadcast_if_small(marked.select(F.col("doc_id").alias(mine)), SMALL_ROWS)
+    met = docs[id_col].cast("long") == F.col(mine)
+    single = docs.join(listed, met, "left_anti")
+    repeated = marked.where("stays").select(F.col("doc_id").alias(mine))
+    if repeated.isEmpty():
+        return single
+    row = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.join(broadcast_if_small(repeated, SMALL_ROWS), met).select(mine, row.alias("row"), F.xxhash64(docs[text_col]).alias("h"))
+    # as many rows of one id as there may be are combined before they are shuffled
+    first = rows.groupBy(mine).agg(F.min_by("row", F.struct("h", F.to_json("row"))).alias("row"))
+    return single.unionByName(first.select("row.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_cases(spark):
     assert sorted(v for k, v in got.items() if k[0] is None and v) == [7]
     assert near_duplicates(docs.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in deduplicate(docs).collect()) == ["3", "7", "8", "None", "None"]
+
+
+def test_deduplicate_repeats_ties_and_clashing_names(spark):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 1), (2, "a b c d", 2), (3, "p q r s", 3), (3, "other words here now", 4), (None, "a b c d", 5), (4, None, 6), (5, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumnsRenamed({"n": "stays"})
+    for name in ("fp", "node", "component_id"):
+        docs = docs.withColumn(name, docs["stays"])
+    first = deduplicate(docs).collect()
+    assert deduplicate(docs).columns == docs.columns
+    assert sorted(str(r.doc_id) for r in first) == ["1", "3", "4", "None"]
+    # the same row of a repeated id each time, however the rows lie
+    again = deduplicate(docs.repartition(3, "stays")).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
