@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm.bpe import PATTERN
-from tamarack.llm.common import pa_schema, table, text_batches, tokenizer_path
+from tamarack.llm.common import pa_schema, release, table, text_batches, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -56,10 +56,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.library, self.fast = path, None, None
         if ranks:
             import tiktoken
 
@@ -75,8 +72,14 @@ class Encoder:
                 rest.append(i)
             else:
                 out[i] = array("I", self.fast.encode_ordinary(text)).tobytes()
-        for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = array("I", e.ids).tobytes()
+        if rest and self.library is None:  # loaded by workers that meet such a text alone
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        for k in range(0, len(rest), 64):
+            part = rest[k : k + 64]
+            for i, e in zip(part, self.library.encode_batch([texts[i] for i in part], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
         return out
 
 
@@ -211,6 +214,7 @@ def pack(
             rows = []
         if rows := list(packer.finish()):
             yield columns(rows)
+        release()
 
     def columns(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out_schema)], schema=out_schema)
