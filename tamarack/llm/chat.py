@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import table
-from tamarack.operators.storage import written
+from tamarack.operators.storage import broadcast_if_small, written
+
+#: So many prefixes (four numbers each) are broadcast; more are joined by shuffles.
+SMALL_ROWS = 400_000
 
 TURN = "<|im_start|>{role}\n{text}<|im_end|>\n"
 
@@ -63,13 +66,13 @@ def collapse_and_render(turns: DataFrame, template: str = TURN, **columns) -> Da
     inner = (
         prefixes.join(whole.select("conv_id", "n_turns"), "conv_id").where("place < n_turns").select("conv_id", "p1", "p2", "place")
     )
-    maximal = whole.join(
-        inner.select("p1", "p2", F.col("place").alias("n_turns")).distinct(), ["p1", "p2", "n_turns"], "left_anti"
-    )
-    swallowed = (
-        inner.withColumnRenamed("place", "n_turns").join(whole.select("p1", "p2", "n_turns", "n_copies"), ["p1", "p2", "n_turns"])
-        .groupBy("conv_id").agg(F.sum("n_copies").alias("n_collapsed"))
-    )
+    inner, keys = inner.withColumnRenamed("place", "n_turns"), ["p1", "p2", "n_turns"]
+    # the conversations that are an inner prefix of another: prefixes are grouped first, so that a turn with which very
+    # many conversations begin is one row, and afterwards only the prefixes found are looked for in all of them
+    found = written(inner.select(*keys).distinct().join(whole.select(*keys, "n_copies"), keys), "found")
+    few = broadcast_if_small(found, SMALL_ROWS)
+    maximal = whole.join(few, keys, "left_anti")
+    swallowed = inner.join(few, keys).groupBy("conv_id").agg(F.sum("n_copies").alias("n_collapsed"))
     head, middle, tail = template.replace("{role}", "\0").replace("{text}", "\0").split("\0")
     rendered = (
         prefixes.join(maximal.select("conv_id"), "conv_id", "left_semi")

@@ -9,8 +9,8 @@ its language, M being fitted for each; what training rows have of that, each mea
 share in the centroid, bounds what is asked of texts of about their length.
 
 The classifier is fitted on about ``sample`` labelled documents of each language, drawn by hash of
-the id (the documented bound of the fit; at most ``MAX_LANGS`` languages). Every whole text is
-then scored in one narrow Arrow pass; what the pass carries is ``MAX_LANGS * k`` vectors at most.
+the id (the documented bound of the fit). Every whole text is then scored in one narrow Arrow pass; what
+the pass carries is k vectors of 16 KB for each language, and more than ``MAX_LANGS`` of these are an error.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import map_texts, table
+from tamarack.llm.common import map_texts, release, table
 from tamarack.operators.storage import written
 
 DIMENSIONS = 4096
 SAMPLE = 500
 CENTROIDS = 3
-MAX_LANGS = 200
+MAX_LANGS = 1_000
+#: A cluster of less than this share of its language's rows is odd texts, and joins its neighbours.
+LEAST_CLUSTER = 0.05
 FOLDS, HELD_OUT = 4, 2
 SHARPNESS = 25.0
 #: Training rows of about one length whose least a cut lies a fifth below (two bands at least, for rows that weren't drawn);
@@ -128,17 +130,26 @@ class Model:
 
 
 def _centroids(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, seeded by the furthest row each time."""
-    chosen = [rows.mean(axis=0)]
-    for _ in range(k - 1):
-        near = np.max(np.stack([rows @ c for c in chosen]), axis=0)
-        chosen.append(rows[int(near.argmin())])
-    centres = np.stack(chosen[-k:]) if len(rows) >= 4 * k else np.stack(chosen[:1])
-    for _ in range(rounds):
-        own = (rows @ centres.T).argmax(axis=1)
-        sums = np.stack([rows[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = sums / np.where(norms > 0, norms, 1)
+    """Spherical k-means, seeded by rows drawn in proportion to their distance from those drawn before; rows are in
+    a fixed order. Clusters of few rows are dissolved at the end."""
+    rng, order = np.random.default_rng(11), np.lexsort(rows[:, :4].T)
+    rows = rows[order]
+
+    def settled(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for _ in range(rounds):
+            own = (rows @ centres.T).argmax(axis=1)
+            sums = np.stack([rows[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
+            norms = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = sums / np.where(norms > 0, norms, 1)
+        return centres, np.bincount((rows @ centres.T).argmax(axis=1), minlength=len(centres))
+
+    chosen = [rows[int(rng.integers(len(rows)))]]
+    for _ in range(k - 1 if len(rows) >= 4 * k else 0):
+        far = np.maximum(0, 1 - np.max(np.stack([rows @ c for c in chosen]), axis=0)) ** 2
+        chosen.append(rows[int(rng.choice(len(rows), p=far / far.sum())) if far.sum() > 0 else 0])
+    centres, sizes = settled(np.stack(chosen))
+    if (large := sizes >= LEAST_CLUSTER * len(rows)).any() and not large.all():
+        centres, _ = settled(centres[large])
     return centres
 
 
@@ -154,14 +165,14 @@ def fit(
     usable = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("lang is not null and text is not null and id is not null")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = usable.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"there are more than {MAX_LANGS} languages; their centroids would not fit a worker")
     empty = Model([], np.zeros((0, DIMENSIONS)), np.zeros(0), Cuts(np.zeros(0), np.zeros(0)), np.ones(DIMENSIONS, dtype=np.float32))
     if not sizes:
         return empty
-    share = F.lit(0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1 << 20, -(-sample * (1 << 20) // row["count"])))).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < share)
+    parts = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], min(1 << 20, -(-sample * (1 << 20) // row["count"])))])
+    chosen = usable.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < F.element_at(parts, F.col("lang")))
 
     def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +182,8 @@ def fit(
                  "counts": pa.array([np.log1p(counts(r[0])).astype("<f4").tobytes() for r in rows], pa.binary())}
             )
 
-    drawn = written(chosen.select("text", "lang").mapInArrow(count_rows, "lang string, counts binary"), "language")
+    # about 8 MB for each language, whatever the number of tasks that read the corpus
+    drawn = written(chosen.select("text", "lang").mapInArrow(count_rows, "lang string, counts binary").repartition("lang"), "language")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
@@ -218,7 +230,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null texts and texts without a letter are ``und``, score 0, rejected; so is every text when the
     model has no language. Repeated rows and null ids give a row each; other columns are ignored.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS * CENTROIDS vectors
+    spread = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS * CENTROIDS vectors of 16 KB
 
     def run(ids: list, texts: list) -> dict:
         lang, score, cosine, rejected = spread.value.predict(texts)
@@ -238,7 +250,12 @@ def fit_and_identify(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS)
 
 
 def filter_languages(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns; narrow."""
+    """The rows of ``docs`` that are not rejected, with their columns, whatever their names; narrow.
+
+    Null and empty texts and texts without a letter go. Each row goes or stays by its own text, also where doc_ids are
+    null or repeated; a tie between languages goes to the first by name and rejects nothing. Without any labelled row all
+    rows go; an empty table gives none.
+    """
     model = fit(docs.where(~held_out()), sample, k)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -247,6 +264,7 @@ def filter_languages(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS)
         for batch in batches:
             rejected = spread.value.predict(batch.column(at).to_pylist())[3]
             yield batch.filter(pa.array([not r for r in rejected]))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,18 +1,24 @@
 """Near-duplicate vectors by a robust-pruned flat graph (operator 8).
 
 Equal unit vectors are one node. Nodes are dealt to overlapping shards, those of the centroids that
-are nearest (k-means on a bounded sample). Each shard builds a flat graph: candidate neighbours of
+are nearest (k-means on a bounded sample); a shard that has more than ``DEAL_AGAIN`` nodes is dealt again, by
+centroids of its own, so that tables of any size end in small ones. Each shard builds a flat graph: candidate neighbours of
 a node are robustly pruned, and links go both ways. The shards' adjacency lists are united, and each
 shard then runs a search for each of its nodes over the united lists: greedily from the medoid and
 from the node itself, and, from whatever lies in range, on to all neighbours until nothing new is
 in range. Links are verified by the cosine in double precision. A pair that shares several shards
 is counted in the first alone, so links are counted without a row for each pair.
 
-A shard with more than ``MAX_SHARD`` nodes isn't searched but compared exactly, in pairs of blocks
-of bounded size, each its own task. An audit compares drawn vectors, without their equal copies,
+A shard that still has more than ``MAX_SHARD`` nodes isn't searched but compared exactly, in pairs of blocks of
+bounded size, each its own task; there are more than ``DEAL_AGAIN`` in it only where dealing can't part its vectors. An audit compares drawn vectors, without their equal copies,
 with all others until ``LINKED`` vectors that have a link are seen; while their mean recall is below
 the target, the shards overlap more, and where that would cost more than to compare all vectors with
 each other, these are compared, in block pairs. Where the draw ends first, a warning gives its figures.
+
+Memory: the driver holds the sample of the first centroids (``SAMPLE_BYTES``) and these (``MAX_CENTROIDS``
+vectors, 2 MB for 64 dimensions), and an audit's block; similarities are worked out for ``ROWS`` vectors at a
+time (32 MB for ``MAX_CENTROIDS``), by the driver and by workers; a shard's search holds n * n similarities
+of at most ``MAX_SHARD`` nodes (32 MB, and 8 MB of flags).
 """
 
 from __future__ import annotations
@@ -28,13 +34,19 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import table
 from tamarack.operators.components import connected_components
-from tamarack.operators.storage import written
+from tamarack.operators.storage import drop, written
 
 THRESHOLD = 0.95
 SHARD = 800
 MAX_SHARD = 2_048
 MAX_CENTROIDS = 4_096
 SAMPLE_PER_CENTROID = 24
+SAMPLE_BYTES = 64 << 20
+ROWS = 1_024
+#: A shard of more nodes than this is dealt again, at most so often; so many of its rows meet its centroids in one task.
+DEAL_AGAIN, LEVELS, SALT_ROWS = 8_192, 4, 200_000
+#: Parts of such a shard at most; no more than MAX_CENTROIDS.
+PARTS = 1_024
 OVERLAP = 2
 CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
 BEAM = 4
@@ -67,44 +79,148 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(u, dtype="<f8") for u in column])
 
 
-def centroids(nodes: DataFrame, count: int, rounds: int = 8) -> np.ndarray:
-    """k-means centres from at most SAMPLE_PER_CENTROID vectors for each, the least hashes."""
-    k = max(1, min(MAX_CENTROIDS, -(-count // SHARD)))
-    sample = nodes.orderBy(F.xxhash64("node", F.lit("centroids")), "node").limit(k * SAMPLE_PER_CENTROID).select("unit").collect()
-    rows = _matrix([r["unit"] for r in sample])
+def _nearest(rows: np.ndarray, centres: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest centres of each row, ascending numbers."""
+    out = np.empty((len(rows), m), dtype=np.int64)
+    for a in range(0, len(rows), ROWS):
+        sims = rows[a : a + ROWS] @ centres.T
+        out[a : a + ROWS] = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < len(centres) else np.arange(m)
+    out.sort(axis=1)
+    return out
+
+
+def _means(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """k-means centres of unit rows, of which the first k are the seeds."""
     centres = rows[:k].copy()
     for _ in range(rounds):
-        own = (rows @ centres.T).argmax(axis=1)
-        for j in range(len(centres)):
-            if (own == j).any():
-                c = rows[own == j].sum(axis=0)
-                centres[j] = c / max(np.linalg.norm(c), 1e-12)
+        own = _nearest(rows, centres, 1)[:, 0]
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+        sums = np.add.reduceat(rows[order], at)
+        centres[own[order][at]] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres
 
 
+def centroids(nodes: DataFrame, count: int) -> np.ndarray:
+    """k-means centres from at most SAMPLE_PER_CENTROID vectors for each and SAMPLE_BYTES in all, the least hashes."""
+    k = max(1, min(MAX_CENTROIDS, -(-count // SHARD)))
+    width = len(nodes.select("unit").first()["unit"])
+    most = max(k, min(k * SAMPLE_PER_CENTROID, SAMPLE_BYTES // width))
+    sample = nodes.orderBy(F.xxhash64("node", F.lit("centroids")), "node").limit(most).select("unit").collect()
+    return _means(_matrix([r["unit"] for r in sample]), k)
+
+
+_MEMBER = "shard long, node long, copies long, unit binary"
+
+
 def deal(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     """A row for each node and shard: shard, shards (all of the node), node, copies, unit."""
     spread = nodes.sparkSession.sparkContext.broadcast(centres)  # MAX_CENTROIDS vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = _matrix(batch.column(0).to_pylist()) @ spread.value.T
-            m = min(overlap, sims.shape[1])
-            near = np.sort(np.argpartition(-sims, m - 1, axis=1)[:, :m], axis=1)
-            at = pa.array(np.repeat(np.arange(len(near)), m))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(near.reshape(-1).astype(np.int32)),
-                    pa.array([row for row in near.tolist() for _ in range(m)], pa.list_(pa.int32())),
-                    *(batch.column(i).take(at) for i in (1, 2, 0)),
-                ],
-                names=["shard", "shards", "node", "copies", "unit"],
-            )
-
-    source = nodes.select("unit", "node", "copies")
-    return source.mapInArrow(run, "shard int, shards array<int>, node long, copies long, unit binary")
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                near = _nearest(_matrix(part.column(0).to_pylist()), spread.value, min(overlap, len(spread.value)))
+                out = _members(near, *(part.column(i) for i in (1, 2, 0)))
+                every = pa.array(np.repeat(near, near.shape[1], axis=0).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*out.columns, every], names=[*out.schema.names, "shards"])
+
+    return nodes.select("unit", "node", "copies").mapInArrow(run, _MEMBER + ", shards array<long>")
+
+
+def _members(shards: np.ndarray, node, copies, unit) -> pa.RecordBatch:
+    at = pa.array(np.repeat(np.arange(len(shards)), shards.shape[1]))
+    return pa.RecordBatch.from_arrays([pa.array(shards.reshape(-1)), node.take(at), copies.take(at), unit.take(at)], names=["shard", "node", "copies", "unit"])
+
+
+def deal_again(members: DataFrame, large: DataFrame, overlap: int) -> DataFrame:
+    """Members of shards (shard, n) that are too large, dealt by centroids of each shard's own.
+
+    A shard's centroids come from a bounded sample of its rows, by their hashes. Rows meet them in tasks of about
+    ``SALT_ROWS`` rows, which read the centroids first and then a batch after the other.
+    """
+    parts = F.least(F.lit(PARTS), F.ceil(F.col("n") / SHARD)).cast("int")
+    sized = members.join(large.select("shard", "n", parts.alias("k"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "shard")
+    share = F.least(F.lit(1.0), F.col("k") * SAMPLE_PER_CENTROID / F.col("n"))
+    sampled = sized.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) < share * (1 << 30)).select("shard", "k", "salts", "node", "unit")
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.iloc[np.argsort(group["node"].to_numpy())]
+        rows = _matrix(group["unit"])
+        k = min(int(group["k"].iloc[0]), len(rows))
+        seeds = np.random.default_rng(5).permutation(len(rows))
+        first = group.iloc[:1]
+        return pd.DataFrame({"shard": first["shard"], "salts": first["salts"], "centres": [_means(rows[seeds], k).tobytes()]})
+
+    fitted = sampled.groupBy("shard").applyInPandas(fit, "shard long, salts int, centres binary")
+    centres = fitted.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), F.col("centres").alias("unit"), F.lit(0).alias("kind"))
+    rows = sized.select("shard", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "copies", "unit", F.lit(1).alias("kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (None, None)  # the shard that is being read, and its centroids
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(5).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (kind[1:] == 0)])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(shard)]):
+                own = int(shard[a])
+                if kind[a] == 0:
+                    held, a = (own, np.frombuffer(batch.column(4)[int(a)].as_py(), dtype="<f8")), a + 1
+                for first in range(a, b, ROWS):
+                    part = batch.slice(first, min(ROWS, b - first))
+                    rows = _matrix(part.column(4).to_pylist())
+                    if held[0] == own:
+                        centres = held[1].reshape(-1, rows.shape[1])
+                        near = _nearest(rows, centres, min(overlap, len(centres)))
+                    else:  # none of its rows was drawn: it stays one part
+                        near = np.zeros((len(rows), 1), dtype=np.int64)
+                    yield _members((own + 1) * MAX_CENTROIDS + near, *(part.column(i) for i in (2, 3, 4)))
+
+    dealt = rows.unionByName(centres).select("shard", "salt", "node", "copies", "unit", "kind")
+    return dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, _MEMBER)
+
+
+def _dealt(nodes: DataFrame, count: int, overlap: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Members of shards (shard, shards of the node, node, copies, unit), and the shards (shard, n) that stay too large."""
+    now = written(deal(nodes, centroids(nodes, 1 if exact else count), 1 if exact else overlap), "members")
+    for _ in range(0 if exact else LEVELS):
+        large = written(now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > DEAL_AGAIN), "large")
+        if large.isEmpty():
+            drop(large)
+            break
+        parts_of = written(deal_again(now, large, overlap), "members")
+        again = parts_of.withColumn("parent", F.floor(F.col("shard") / MAX_CENTROIDS) - 1)
+        # a shard of which one part has nearly all stays as it is
+        parts = again.groupBy("parent", "shard").agg(F.count("*").alias("m")).join(large.withColumnRenamed("shard", "parent"), "parent")
+        stuck = written(parts.where("m > 0.9 * n").select("parent").distinct(), "stuck")
+        split = written(large.join(stuck, large["shard"] == stuck["parent"], "left_anti").select("shard"), "split")
+        kept = now.select("shard", "node", "copies", "unit").join(split, "shard", "left_anti")
+        fresh = again.join(stuck, "parent", "left_anti").select("shard", "node", "copies", "unit")
+        parted = written(kept.unionByName(fresh), "members")
+        done = split.isEmpty()
+        for df in (large, stuck, split, parts_of, now):
+            drop(df)
+        every = parted.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
+        now = written(parted.join(every, "node"), "members")
+        drop(parted)
+        if done:
+            break
+    sizes = written(now.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
+    return now, sizes if exact else sizes.where(F.col("n") > MAX_SHARD)
+
+
+def _lists(column) -> np.ndarray:
+    """Shards of each row, -1 where it has fewer than others."""
+    rows = [np.asarray(s, dtype=np.int64) for s in column]
+    out = np.full((len(rows), max(map(len, rows))), -1, dtype=np.int64)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def _first_common(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    common = ((mine[:, :, None] == other[:, None, :]) & (mine >= 0)[:, :, None]).any(axis=2)
+    return np.where(common, mine, np.iinfo(np.int64).max).min(axis=1) if len(mine) else np.empty(0)
 
 
 def prune(x: np.ndarray) -> list[np.ndarray]:
@@ -217,9 +333,8 @@ def search(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     a, b = links // len(nodes), links % len(nodes)
     starts = np.r_[0, np.cumsum(np.bincount(a, minlength=len(nodes)))]
     q, node = range_search(_matrix(group["unit"]), starts, b, threshold)
-    shards = np.stack([np.asarray(s) for s in group["shards"]])
-    common = (shards[q][:, :, None] == shards[node][:, None, :]).any(axis=2)
-    first = np.where(common, shards[q], np.iinfo(np.int32).max).min(axis=1) if len(q) else np.empty(0)
+    shards = _lists(group["shards"])
+    first = _first_common(shards[q], shards[node])
     return _counted(nodes, group["copies"].to_numpy(), q, node, first == shard)
 
 
@@ -235,12 +350,10 @@ def compare_blocks(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         q, node = q[q != node], node[q != node]
     else:
         q, node = np.r_[q, node], np.r_[node, q]
-    shards = np.stack([np.asarray(s) for s in group["shards"]])
+    shards = _lists(group["shards"])
     first = np.empty(len(q), dtype=np.int64)
     for a in range(0, len(q), 500_000):
-        s, t = shards[q[a : a + 500_000]], shards[node[a : a + 500_000]]
-        common = (s[:, :, None] == t[:, None, :]).any(axis=2)
-        first[a : a + 500_000] = np.where(common, s, np.iinfo(np.int32).max).min(axis=1)
+        first[a : a + 500_000] = _first_common(shards[q[a : a + 500_000]], shards[node[a : a + 500_000]])
     return _counted(group["node"].to_numpy(), group["copies"].to_numpy(), q, node, first == shard)
 
 
@@ -249,25 +362,27 @@ def linked(nodes: DataFrame, count: int, threshold: float = THRESHOLD, overlap:
 
     ``exact`` compares all nodes with each other, as one crowded shard.
     """
-    members = written(deal(nodes, centroids(nodes, 1 if exact else count), overlap), "members")
-    sizes = {r["shard"]: r["count"] for r in members.groupBy("shard").count().collect()}  # MAX_CENTROIDS rows at most
-    crowded = {s: -(-c // (MAX_SHARD // 2)) for s, c in sizes.items() if exact or c > MAX_SHARD}
-    calm = members.where(~F.col("shard").isin(*crowded)) if crowded else members
+    members, crowded = _dealt(nodes, count, overlap, exact)
+    calm, some = members, not crowded.isEmpty()
+    blocks = F.ceil(F.col("n") / (MAX_SHARD // 2)).cast("int")
+    if some:
+        calm = members.join(crowded, "shard", "left_anti")
     near = calm.groupBy("shard").applyInPandas(build, "node long, near array<long>")
     united = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = calm.join(united, "node").groupBy("shard").applyInPandas(lambda g: search(g, threshold), _PART)
-    if crowded:
-        blocks = F.element_at(F.create_map(*[F.lit(x) for kv in crowded.items() for x in kv]), F.col("shard"))
+    if some:
         dense = (
-            members.where(F.col("shard").isin(*crowded))
+            members.join(crowded, "shard")
             .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+            .withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("n")
         )
         found = found.unionByName(
             dense.groupBy("shard", "left", "right").applyInPandas(lambda g: compare_blocks(g, threshold), _PART)
         )
-    return written(found, "linked")
+    out = written(found, "linked")
+    drop(members)
+    return out
 
 
 def audit(nodes: DataFrame, count: int, totals: DataFrame, threshold: float = THRESHOLD) -> tuple[float | None, int, int]:
@@ -325,7 +440,8 @@ def near_duplicates(
     has no links and a null component, and isn't kept. Other columns are ignored; an empty table
     gives none. All vectors must have one length.
 
-    Unless all vectors were compared, an audit has shown ``target`` on ``LINKED`` linked vectors or on
+    The column ``recall`` repeats what the audit found, 1 where all vectors were compared, null where no vector drawn has a
+    link. Unless all vectors were compared, an audit has shown ``target`` on ``LINKED`` linked vectors or on
     all there are; a RuntimeWarning says so where it saw fewer among the ``MAX_AUDITED`` it may draw.
     """
     rows = written(units(vectors, id_col, vector_col), "units")
@@ -336,7 +452,7 @@ def near_duplicates(
     )
     count = nodes.count()
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    shards, exact = min(MAX_CENTROIDS, -(-count // SHARD)), False
+    shards, exact, recall = -(-count // SHARD), False, 1.0
     while count:
         parts = linked(nodes, count, threshold, overlap, exact)
         totals = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -344,7 +460,7 @@ def near_duplicates(
             recall, seen, drawn = audit(nodes, count, totals, threshold)
             if recall is not None and recall < target:
                 overlap *= 2
-                exact = overlap * overlap > shards  # crowded shards would cost more than all pairs
+                exact, recall = overlap * overlap > shards, 1.0  # crowded shards would cost more than all pairs
                 continue
             if seen < LINKED and drawn < count:
                 warnings.warn(f"recall rests on {seen} linked vectors among {drawn} drawn of {count}: {recall}", RuntimeWarning, stacklevel=2)
@@ -360,7 +476,9 @@ def near_duplicates(
         break
     else:
         out = none
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumns(
+        {"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(recall).cast("double")}
+    )
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
