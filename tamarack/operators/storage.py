@@ -66,7 +66,7 @@ def broadcast_if_small(table: DataFrame, most_rows: int, weight: Column | None =
     """A written table, marked for broadcast where it is counted to hold at most ``most_rows`` rows.
 
     Beyond that it is left as it is, and its joins shuffle. Rows must be of a few hundred bytes at most;
-    where they hold arrays, ``weight`` gives the size of a row in such units, one at least.
+    where they hold arrays, ``weight`` gives the size of these in such units, which is added.
     """
-    rows = table.count() if weight is None else table.agg(F.sum(F.greatest(weight, F.lit(1)))).first()[0] or 0
+    rows = table.count() if weight is None else table.agg(F.sum(weight + 1)).first()[0] or 0
     return F.broadcast(table) if rows <= most_rows else table

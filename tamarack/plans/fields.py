@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import contact, geo, hashing, numbers, text
@@ -66,7 +67,7 @@ GRAMS_SQL = (
     f"""WITH p AS (SELECT p_partkey AS id, p_brand, p_size, {NORM.format('p_name')} AS n FROM part),
     pairs AS (SELECT a.id AS l_id, b.id AS r_id, a.n AS a, b.n AS b, {TOKENS_SQL.format('a.n')} AS ta, {TOKENS_SQL.format('b.n')} AS tb,
                      {GRAMS_SQL.format('a.n')} AS ga, {GRAMS_SQL.format('b.n')} AS gb
-              FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id),
+              FROM (SELECT *, lead(id) OVER w AS next FROM p WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY id)) a JOIN p b ON b.id = a.next),
     s AS (SELECT l_id, r_id,
             len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE AS token_overlap,
             1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS edit,
@@ -76,9 +77,10 @@ GRAMS_SQL = (
            floor(greatest(token_overlap, 0.95 * edit) * 1e6 + 0.5) / 1e6 AS name_similarity, floor(trigram * 1e6 + 0.5) / 1e6 AS trigram FROM s""",
 )
 def c5(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", text.normalize_text(F.col("p_name")).alias("n"))
-    a, b = p.withColumnsRenamed({"id": "l_id", "n": "a"}), p.withColumnsRenamed({"id": "r_id", "n": "b"})
-    pairs = a.join(b, ["p_brand", "p_size"]).where("l_id < r_id")
+    """Each part against the next of its brand and size."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_id"), "p_brand", "p_size", text.normalize_text(F.col("p_name")).alias("a"))
+    w = Window.partitionBy("p_brand", "p_size").orderBy("l_id")
+    pairs = p.withColumns({"r_id": F.lead("l_id").over(w), "b": F.lead("a").over(w)}).where("r_id is not null")
     x, y = F.col("a"), F.col("b")
     six = lambda c: numbers.round_half_up(c, 6)
     return pairs.select(
