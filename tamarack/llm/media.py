@@ -146,6 +146,24 @@ class ByteRange(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+class _Archive:
+    """One handle on an archive, opened when it is needed."""
+
+    def __init__(self, where: fs.FileSystem, path: str):
+        self.where, self.path, self.source = where, path, None
+
+    def read(self, at: int, size: int) -> bytes:
+        if self.source is None:
+            self.source = self.where.open_input_file(self.path)
+        self.source.seek(at)
+        return self.source.read(size)
+
+    def close(self) -> None:
+        if self.source is not None:
+            source, self.source = self.source, None
+            source.close()
+
+
 class ArchiveReader(DataSourceReader):
     """Members of archives, a partition for each byte range of each archive."""
 
@@ -171,30 +189,32 @@ class ArchiveReader(DataSourceReader):
             index = pa.ipc.open_file(source).read_all()
         at = index.column("at").to_numpy()
         first, last = np.searchsorted(at, [partition.begin, partition.end])
-        rows, held = [], 0
-        for member in index.slice(int(first), int(last - first)).to_pylist():
-            media, error = self._member(where, partition.path, member)
-            rows.append((member["doc_id"], member["n_bytes"], media, error))
-            held += len(media or b"")
-            if held >= BATCH_BYTES:
+        rows, held, archive = [], 0, _Archive(where, partition.path)
+        try:
+            for member in index.slice(int(first), int(last - first)).to_pylist():
+                media, error = self._member(archive, member)
+                rows.append((member["doc_id"], member["n_bytes"], media, error))
+                held += len(media or b"")
+                if held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self._batch(rows)
+        finally:
+            archive.close()
 
-    def _member(self, where: fs.FileSystem, path: str, member: dict) -> tuple[bytes | None, str | None]:
-        """One member, read from its offset up to ``tries`` times until its checksum holds."""
+    def _member(self, archive: _Archive, member: dict) -> tuple[bytes | None, str | None]:
+        """One member, read from its offset up to ``tries`` times until its checksum holds, again through a new handle."""
         error = None
         for _ in range(self.tries):
             try:
-                with where.open_input_file(path) as source:
-                    source.seek(member["at"])
-                    media = source.read(member["size"])
+                media = archive.read(member["at"], member["size"])
                 if zlib.crc32(media) == member["crc"]:
                     return media, None
                 error = "checksum differs"
             except OSError as e:
                 error = f"{type(e).__name__}: {e}"[:200]
+            archive.close()
         return None, error
 
     @staticmethod
