@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import normalize_text, trigrams
+from tamarack.operators.storage import written
 
 MIN_TRIGRAM, EMPTY_RANK, CATEGORY_RANK = 0.3, 0.35, 0.6
 # Frequent words of Spanish and English that a query needn't find.
@@ -43,6 +44,7 @@ def batch_search(queries: DataFrame, documents: DataFrame, k: int, min_score: fl
     """
     docs = documents.where(F.col("opportunity") >= min_score)
     q = queries.select("query_id", "category", tokens(F.col("query")).alias("q_tokens"), trigrams(normalize_text(F.col("query"))).alias("q_grams"))
+    q = written(q, "queries")  # read by each of the ways to match
 
     def probed(left: str, right: str, probes: Column) -> DataFrame:
         """Documents that share one of a query's ``probes`` rarest items, with both sides' items."""

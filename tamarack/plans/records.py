@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text
 from tamarack.operators import classify, relational, resolve, scoring, search
-from tamarack.operators.storage import new_path
+from tamarack.operators.storage import new_path, written
 from tamarack.plans.fields import GRAMS_SQL, NORM, TOKENS_SQL
 from tamarack.plans.registry import query, table
 from tamarack.sources import listings, sinks
@@ -379,7 +379,8 @@ def batch(spark, sf):
     parts = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_type", F.col("p_brand").alias("category"), (F.floor(F.col("p_retailprice") * 10 + 0.5) / 10).alias("opportunity"), F.col("p_size").alias("reviews")
     )
-    docs = search.search_documents(parts, F.concat_ws(" ", "name", "p_type"))
+    # the index: a table at rest, of which searches read what they need
+    docs = written(search.search_documents(parts, F.concat_ws(" ", "name", "p_type")), "search")
     queries = spark.createDataFrame([(1, "blue bolt", None), (2, "Red", None), (3, "", "Brand#3"), (4, "stel rings", None)], "query_id int, query string, category string")
     return search.batch_search(queries, docs, 10).select("query_id", "id", "opportunity", F.col("rank").cast("int").alias("rank"))
 
