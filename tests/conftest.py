@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-sys.path[:0] = [os.path.dirname(HERE), os.path.join(HERE, "llm")]
+sys.path.insert(0, os.path.dirname(HERE))
 os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
