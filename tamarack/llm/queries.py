@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm.bpe import op4_byte_bpe
 from tamarack.llm.chat import OP1_SQL, op1_chat_snapshots
+from tamarack.llm.decontamination import OP11_SQL, op11_decontamination
 from tamarack.llm.language import op10_language_id
 from tamarack.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tamarack.llm.media import op6_media
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_decontamination": op11_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op2_line_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_decontamination": OP11_SQL}
