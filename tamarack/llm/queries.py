@@ -17,6 +17,7 @@ from tamarack.llm.simhash import op3_simhash
 from tamarack.llm.token_counts import op9_token_counts
 from tamarack.llm.toxicity import op7_toxicity
 from tamarack.llm.vectors import op8_vectors
+from tamarack.llm.whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_snapshots": op1_chat_snapshots,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_decontamination": OP11_SQL}
