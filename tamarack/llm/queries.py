@@ -13,6 +13,7 @@ from tamarack.llm.language import op10_language_id
 from tamarack.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tamarack.llm.media import op6_media
 from tamarack.llm.packing import op5_packing
+from tamarack.llm.ranked_search import OP13_SQL, op13_ranked_search
 from tamarack.llm.simhash import op3_simhash
 from tamarack.llm.token_counts import op9_token_counts
 from tamarack.llm.toxicity import op7_toxicity
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_decontamination": op11_decontamination,
     "op12_whitening": op12_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_decontamination": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_decontamination": OP11_SQL, "op13_ranked_search": OP13_SQL}
