@@ -83,12 +83,12 @@ def host(c: Column) -> Column:
 
 
 def domain(c: Column) -> Column:
-    """Registrable domain: the last two labels of the host, three under a suffix of two."""
+    """Registrable domain: the last two labels of the host, three under a suffix of two; null if there is no host."""
     h = host(c)
     labels = F.split(h, "\\.")
     two = F.concat_ws(".", F.slice(labels, -2, 2))
     three = F.concat_ws(".", F.slice(labels, -3, 3))
-    return F.when(F.size(labels) <= 2, h).when(two.isin(*MULTI_LABEL_SUFFIXES), three).otherwise(two)
+    return F.when(h.isNull() | (F.size(labels) <= 2), h).when(two.isin(*MULTI_LABEL_SUFFIXES), three).otherwise(two)
 
 
 def canonical_url(c: Column) -> Column:

@@ -50,7 +50,8 @@ def _local(edges: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 parent[max(a, b)] = min(a, b)
         nodes = list(parent)
-        yield pd.DataFrame({"node": nodes, "component": [root(n) for n in nodes]})
+        plain = "int64" if kind == "bigint" else object  # strings as they are, whatever pandas has for them
+        yield pd.DataFrame({"node": pd.Series(nodes, dtype=plain), "component": pd.Series([root(n) for n in nodes], dtype=plain)})
 
     return edges.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 

@@ -61,8 +61,12 @@ MERGE_RULES = {
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str], seq: str = "seq") -> DataFrame:
     """Rows of both by key, each column by its rule (see MERGE_RULES); ``seq`` orders arrivals, the old are first."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(*(MERGE_RULES[rule](c, seq).alias(c) for c, rule in rules.items()), F.max(seq).alias(seq))
+    return merged(old.unionByName(new, allowMissingColumns=True), keys, rules, seq)
+
+
+def merged(rows: DataFrame, keys: list[str], rules: dict[str, str], seq: str = "seq") -> DataFrame:
+    """One row a key, each column by its rule; ``seq`` orders the rows of a key."""
+    return rows.groupBy(*keys).agg(*(MERGE_RULES[rule](c, seq).alias(c) for c, rule in rules.items()), F.max(seq).alias(seq))
 
 
 def check_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.functions.contact import domain, email, phone
+from tamarack.functions.contact import domain, email, is_non_official, phone
 from tamarack.functions.text import name_similarity, normalize_name, street_key, trigrams
 from tamarack.operators.components import connected_components
 
@@ -14,11 +14,14 @@ KEYS = ("name_key", "domain", "phone_key", "postal_code", "street")
 
 
 def with_keys(records: DataFrame) -> DataFrame:
-    """records (id, name, website, phone, address, postal_code, ...) with the keys that rules block on."""
+    """records (id, name, website, phone, address, postal_code, ...) with the keys that rules block on.
+
+    A page on a site that many share (a social network, a directory) is no website of the record's own.
+    """
     return records.withColumns(
         {
             "name_key": normalize_name(F.col("name")),
-            "domain": domain(F.col("website")),
+            "domain": F.when(~is_non_official(F.col("website")), domain(F.col("website"))),
             "phone_key": phone(F.col("phone"))["e164"],
             "street": street_key(F.col("address")),
         }
@@ -127,6 +130,29 @@ def merge_edges(records: DataFrame) -> DataFrame:
     return by_domain.unionByName(by_phone).unionByName(by_street).unionByName(fuzzy)
 
 
+def cross_edges(fresh: DataFrame, old: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of a record of ``fresh`` and one of ``old`` that the rules merge with each other.
+
+    Both have id, name_key and the blocking keys, null or empty where a row has none of a kind; no id is in both. Links
+    within a side are left out: each side's records of one name and key are met by the least of them alone.
+    """
+
+    def names(df: DataFrame, keys: tuple[str, ...], side: str) -> DataFrame:
+        own = df.where(" and ".join(f"{k} <> ''" for k in keys) + " and name_key <> ''")
+        return own.groupBy(*keys, F.col("name_key").alias(f"{side}_name")).agg(F.min("id").alias(f"{side}_id"))
+
+    pair = (F.col("l_id").alias("src"), F.col("r_id").alias("dst"))
+    sim = name_similarity(F.col("l_name"), F.col("r_name"))
+    hub = lambda df, side: df.where("domain <> ''").groupBy("domain").agg(F.min("id").alias(f"{side}_id"))
+    out = hub(fresh, "l").join(hub(old, "r"), "domain").select(*pair)
+    for keys in (("phone_key",), ("postal_code", "street")):
+        out = out.unionByName(names(fresh, keys, "l").join(names(old, keys, "r"), list(keys)).where(sim >= STRONG).select(*pair))
+    left, right = names(fresh, ("postal_code",), "l"), names(old, ("postal_code",), "r")
+    sides = (df.withColumnsRenamed({f"{s}_id": "id", f"{s}_name": "name_key"}) for df, s in ((left, "l"), (right, "r")))
+    near = trigram_pairs(*sides, "postal_code").join(left.select("l_id", "l_name"), "l_id").join(right.select("r_id", "r_name"), "r_id")
+    return out.unionByName(near.where(sim >= VERY_STRONG).select(*pair)).distinct()
+
+
 def resolve_batch(records: DataFrame) -> DataFrame:
     """records with ``component``: the least id of those that merge with it, directly or through others."""
     found = connected_components(merge_edges(records)).withColumnsRenamed({"node": "id"})

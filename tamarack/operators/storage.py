@@ -7,7 +7,10 @@ setting is absent (tests, a laptop) is a temporary folder used.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +39,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Spark then removes the shuffle files of a query when it ends; what it wrote is all that is needed.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """The setting is on from the first writer's begin to the last one's end, whichever threads they run in."""
+    with _lock:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(_CLEANUP, _writers["before"])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there."""
-    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    path = new_path(df.sparkSession, name)
+    with _cleaned_up(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tamarack_path = path
     return out

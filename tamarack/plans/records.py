@@ -10,6 +10,7 @@ from tamarack.operators.storage import new_path, written
 from tamarack.plans.fields import GRAMS_SQL, NORM, TOKENS_SQL
 from tamarack.plans.registry import query, table
 from tamarack.sources import listings, sinks
+from tamarack.sources.snapshots import Keyed, Snapshots
 
 AT = "timestamp '2024-02-01 00:00:00'"
 NAME = "concat(CASE c_custkey % 5 WHEN 0 THEN 'Clinica ' WHEN 1 THEN 'Bar ' WHEN 2 THEN 'Bufete ' WHEN 3 THEN 'Taller ' ELSE 'X' END, CASE WHEN c_custkey % 5 = 4 THEN '' ELSE cast(c_custkey // 3 as varchar) END)"
@@ -81,6 +82,37 @@ def upsert(spark, sf):
     return relational.upsert(old, new, ["id"], {"balance": "greatest", "segment": "coalesce_old"})
 
 
+def _balances(spark, sf):
+    """The table of B1 as a versioned one, with the upsert of B1 as its second version."""
+    store = Snapshots(spark, new_path(spark, "balances"), {"balances": Keyed("id long, balance double, segment string, seq int", ("id",), 16)})
+    old = table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_acctbal AS balance", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment", "0 AS seq")
+    store.replace("balances", old)
+    new = table(spark, sf, "orders").where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("balance"), F.min("o_orderpriority").alias("segment")).withColumn("seq", F.lit(1))
+    batch = ("orders", 0)
+    for _ in range(2):  # the batch comes twice and is taken in once
+        store.upsert("balances", new, {"balance": "greatest", "segment": "coalesce_old"}, batch=batch)
+    return store
+
+
+BALANCES_SQL = """o AS (SELECT c_custkey AS id, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer),
+    n AS (SELECT o_custkey AS id, max(o_totalprice) AS balance, min(o_orderpriority) AS segment FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1),
+    b AS (SELECT coalesce(o.id, n.id) AS id, greatest(o.balance, n.balance) AS balance, coalesce(o.segment, n.segment) AS segment, CAST(CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS seq FROM o FULL JOIN n ON o.id = n.id)"""
+
+
+@query("B1_B5_snapshot_upsert", f"WITH {BALANCES_SQL} SELECT 1 AS version, id, balance, segment, 0 AS seq FROM o UNION ALL SELECT 2, id, balance, segment, seq FROM b")
+def snapshot_upsert(spark, sf):
+    store = _balances(spark, sf)
+    return store.read("balances", version=1).select(F.lit(1).alias("version"), "*").unionByName(store.read("balances").select(F.lit(2).alias("version"), "*"))
+
+
+@query("B2_snapshot_refresh", f"WITH {BALANCES_SQL} SELECT id, balance > 300000 AS kept FROM b")
+def snapshot_refresh(spark, sf):
+    """Rows that still qualify are a third version; what went is told by comparing the two."""
+    store = _balances(spark, sf)
+    store.replace("balances", store.read("balances").where("balance > 300000"))
+    return store.read("balances").select("id", F.lit(True).alias("kept")).unionByName(store.removed("balances", 2, 3).withColumn("kept", F.lit(False)))
+
+
 @query("B2_F8_M3_pruned", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def pruned(spark, sf):
     kept = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tamarack.functions import hashing, text
 from tamarack.operators import cache, relational
 from tamarack.operators.storage import new_path
+from tamarack.plans import fields as text_sql
 from tamarack.plans.registry import query, table
-from tamarack.streaming import jobs
+from tamarack.streaming import jobs, resolution
 
 AS_OF = "timestamp '1998-06-01 00:00:00'"
 
@@ -236,3 +237,38 @@ def ingest(spark, sf):
         jobs.first_seen(stream, delay="20000 days"), lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), new_path(spark, "ingest-cp")
     ).awaitTermination()
     return spark.read.parquet(out).select("source_id", F.col("retrieved_at").cast("timestamp_ntz").alias("retrieved_at"))
+
+
+#: Customers as records whose telephone numbers, streets, domains and names collide.
+RECORDS = {
+    "id": "lpad(cast(c_custkey as string), 9, '0')", "source": "cast(c_custkey % 3 as string)", "retrieved_at": "timestamp '2024-01-01 00:00:00'",
+    "name": "concat(element_at(array('alpha dental', 'alfa dental', 'beta law'), cast(c_custkey % 3 + 1 as int)), ' ', c_custkey % 20)",
+    "website": "CASE WHEN c_custkey % 10 = 0 THEN concat('http://d', c_custkey % 700, '.es') END", "phone": "CASE WHEN c_custkey % 7 = 1 THEN concat('6', lpad(cast(c_custkey % 400 as string), 8, '0')) END",
+    "email": "cast(null as string)", "address": "CASE WHEN c_custkey % 3 = 0 THEN concat('mayor ', c_custkey % 90) END", "postal_code": "cast(29000 + c_nationkey * 40 + c_custkey % 40 as string)",
+}
+
+
+@query(
+    "O1_G6_incremental_resolution",
+    f"""WITH RECURSIVE r AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, CASE c_custkey % 3 WHEN 0 THEN 'alpha dental' WHEN 1 THEN 'alfa dental' ELSE 'beta law' END || ' ' || (c_custkey % 20) AS n,
+      CASE WHEN c_custkey % 10 = 0 THEN c_custkey % 700 END AS d, CASE WHEN c_custkey % 7 = 1 THEN c_custkey % 400 END AS p, c_nationkey * 40 + c_custkey % 40 AS po, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 90 END AS st FROM customer),
+    x AS (SELECT a.id AS l, b.id AS r, a.n AS a, b.n AS b, a.d = b.d AS dom, a.p = b.p AS ph, a.po = b.po AS po, a.st = b.st AS st,
+            {text_sql.TOKENS_SQL.format('a.n')} AS ta, {text_sql.TOKENS_SQL.format('b.n')} AS tb, {text_sql.GRAMS_SQL.format('a.n')} AS ga, {text_sql.GRAMS_SQL.format('b.n')} AS gb
+          FROM r a JOIN r b ON a.id <> b.id AND (a.d = b.d OR a.p = b.p OR a.po = b.po)),
+    s AS (SELECT *, greatest(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE, 0.95 * (1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE)) AS sim,
+            len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))::DOUBLE AS tri FROM x),
+    e AS (SELECT l, r FROM s WHERE dom OR (ph AND sim >= 0.82) OR (po AND st AND sim >= 0.82) OR (po AND tri > 0.5 AND sim >= 0.93)),
+    reach(id, root) AS (SELECT id, id FROM r UNION SELECT e.r, reach.root FROM reach JOIN e ON e.l = reach.id),
+    c AS (SELECT id, min(root) AS component FROM reach GROUP BY id)
+    SELECT component, count(*) AS n_records, arg_min(n, (-length(n), (CAST(id AS BIGINT) % 3), id)) AS name FROM c JOIN r USING (id) GROUP BY component""",
+)
+def incremental_resolution(spark, sf):
+    """A stream of three micro-batches of records, the first of which comes again, resolved into a versioned snapshot."""
+    source = new_path(spark, "records-in")
+    records = table(spark, sf, "customer").selectExpr(*(f"{sql} AS {c}" for c, sql in RECORDS.items()), "c_custkey % 3 AS part")
+    for i in (0, 1, 2, 0):
+        records.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
+    resolver = resolution.Resolver(spark, new_path(spark, "resolver"), buckets=16)
+    stream = spark.readStream.schema(resolution.RECORD).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.ingest(stream, resolver, new_path(spark, "resolver-cp")).awaitTermination()
+    return resolver.entities().select("component", "n_records", "name")
