@@ -1,16 +1,13 @@
-"""Search documents and ranked search over them, one query or a table of them."""
+"""What searches share: stems, requests and their limits, members of the index, notes. See ``postings`` for the index."""
 
 from __future__ import annotations
 
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import normalize_text, trigrams
-from tamarack.operators.storage import written
-
 MIN_TRIGRAM, EMPTY_RANK, CATEGORY_RANK = 0.3, 0.35, 0.6
 # Frequent words of Spanish and English that a query needn't find.
 STOP_WORDS = ("de", "la", "el", "los", "las", "en", "y", "a", "que", "un", "una", "the", "of", "and", "in", "to")
@@ -22,63 +19,9 @@ def stem(word: Column) -> Column:
     return F.when(F.length(plural) > 4, F.regexp_replace(plural, "[aeo]$", "")).otherwise(plural)
 
 
-def tokens(text: Column) -> Column:
-    """Distinct stems of a text without stop words."""
-    words = F.filter(F.split(normalize_text(text), " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(words, stem))
-
-
-def search_documents(entities: DataFrame, text: Column, name: str = "name") -> DataFrame:
-    """Entities with ``tokens`` (of all their text) and ``grams`` (trigrams of the name)."""
-    return entities.withColumns({"tokens": tokens(text), "grams": trigrams(normalize_text(F.col(name)))})
-
-
-def batch_search(queries: DataFrame, documents: DataFrame, k: int, min_score: float = 45.0) -> DataFrame:
-    """queries (query_id, query, category) against search_documents (id, tokens, grams, category, opportunity,
-    reviews): the best ``k`` of each query by opportunity, relevance and reviews.
-
-    A document matches if it holds all tokens of the query, or its name's trigrams overlap by 0.3, or the
-    category is equal. Queries meet documents on their rarest token, and on all but the commonest 0.3 of their
-    trigrams, whose counts are taken first; of a category its best ``k`` are read. A query without tokens matches by
-    category or name alone.
-    """
-    docs = documents.where(F.col("opportunity") >= min_score)
-    q = queries.select("query_id", "category", tokens(F.col("query")).alias("q_tokens"), trigrams(normalize_text(F.col("query"))).alias("q_grams"))
-    q = written(q, "queries")  # read by each of the ways to match
-
-    def probed(left: str, right: str, probes: Column) -> DataFrame:
-        """Documents that share one of a query's ``probes`` rarest items, with both sides' items."""
-        asked = q.select("query_id", left, F.explode(left).alias("t"))
-        held = docs.select("id", right, F.explode(right).alias("t"))
-        counts = held.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
-        rare = asked.join(counts, "t", "left").groupBy("query_id", left).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("o"))
-        keys = rare.select("query_id", left, F.explode(F.slice("o", F.lit(1), probes)).alias("k")).select("query_id", left, F.col("k.t").alias("t"))
-        return keys.join(held, "t").dropDuplicates(["query_id", "id"])
-
-    # a document with all tokens of a query holds its rarest one
-    by_token = (
-        probed("q_tokens", "tokens", F.lit(1)).where(F.size(F.array_except("q_tokens", "tokens")) == 0)
-        .select("query_id", "id", (F.size("q_tokens") / F.size("tokens")).alias("rank"))
-    )
-    # one with an overlap of 0.3 shares 0.3 of the query's trigrams at least, and so one of all but the rest
-    shared = F.size(F.array_intersect("q_grams", "grams"))
-    probes = (F.size("q_grams") - F.ceil(F.size("q_grams") * MIN_TRIGRAM) + 1).cast("int")
-    by_name = (
-        probed("q_grams", "grams", probes)
-        .select("query_id", "id", (shared / (F.size("q_grams") + F.size("grams") - shared)).alias("rank")).where(F.col("rank") >= MIN_TRIGRAM)
-    )
-    # of a category's documents the best k by the order of the result are all that can come into it
-    first = Window.partitionBy("category").orderBy(F.desc("opportunity"), F.desc_nulls_last("reviews"), "id")
-    of_category = docs.join(q.select("category").where("category is not null").distinct(), "category", "left_semi").withColumn("r", F.row_number().over(first))
-    other = by_token.unionByName(by_name).select("query_id", "id").distinct()
-    by_category = q.where("category is not null").join(of_category.where(F.col("r") <= k), "category").select("query_id", "id", F.lit(CATEGORY_RANK).alias("rank"))
-    # what came by tokens or name may be of the category, too
-    same = other.join(q.where("category is not null").select("query_id", "category"), "query_id").join(docs.select("id", "category"), ["id", "category"]).select("query_id", "id", F.lit(CATEGORY_RANK).alias("rank"))
-    by_category = by_category.unionByName(same)
-    best = by_token.unionByName(by_name).unionByName(by_category).groupBy("query_id", "id").agg(F.max("rank").alias("relevance"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("opportunity"), F.desc("relevance"), F.desc_nulls_last("reviews"), "id")
-    ranked = best.join(docs.select("id", "opportunity", "reviews"), "id").withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k)
+def light_stems(words: Column) -> Column:
+    """:func:`stem` of each word of an array."""
+    return F.transform(words, stem)
 
 
 def top_k(rows: DataFrame, k: int, least: int = 1, most: int = 25) -> DataFrame:

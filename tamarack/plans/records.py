@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
-from tamarack.operators import classify, relational, resolve, scoring, search
-from tamarack.operators.storage import new_path, written
+from tamarack.operators import classify, postings, relational, resolve, scoring, search
+from tamarack.operators.storage import new_path
 from tamarack.plans.fields import GRAMS_SQL, NORM, TOKENS_SQL
 from tamarack.plans.registry import query, table
 from tamarack.sources import listings, sinks
@@ -392,29 +392,50 @@ def evidence(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", s.alias("score"))
 
 
+#: Queries of every kind: both rules at once, one word, no text with and without a category, a misspelling, stop words only, blanks.
+SEARCHES = [
+    (1, "blue bolt", None), (2, "Red", None), (3, "", "Brand#3"), (4, "stel rings", None), (5, "", None), (6, " - ", "none"), (7, "de la", None), (8, "the", "Brand#7"), (9, "Hot gear economy", "Brand#3"),
+    (10, "small", None), (11, "ringe  SMALL widgets", None),
+]
+LIGHT_SQL = "CASE WHEN length({0}) > 4 THEN regexp_replace({0}, '(es|s)$', '') ELSE {0} END"
+STEM_SQL = f"CASE WHEN length({LIGHT_SQL.format('w')}) > 4 THEN regexp_replace({LIGHT_SQL.format('w')}, '[aeo]$', '') ELSE {LIGHT_SQL.format('w')} END"
+STOPS_SQL = "(" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ")"
+SEARCH_SQL = f"""WITH d AS (SELECT p_partkey AS id, p_brand AS category, {NORM.format("p_name || ' ' || p_type || ' ' || p_name")} AS t, {NORM.format('p_name')} AS n,
+      floor(p_retailprice * 10 + 0.5) / 10 AS opportunity, CASE WHEN p_size % 7 > 0 THEN p_size END AS reviews FROM part WHERE p_retailprice >= 45 AND (p_size % 6 + 5) / 10.0 >= 0.7),
+    q AS (SELECT query_id, {NORM.format('query')} AS q, category FROM (VALUES {", ".join(f"({i}, '{t}', {'NULL' if c is None else repr(c)})" for i, t, c in SEARCHES)}) q(query_id, query, category)),
+    words AS (SELECT id, w, p FROM (SELECT id, unnest(string_split(t, ' ')) AS w, unnest(range(1, len(string_split(t, ' ')) + 1)) AS p FROM d) WHERE w <> '' AND w NOT IN {STOPS_SQL}),
+    lexemes AS (SELECT id, {STEM_SQL} AS s, p FROM words),
+    asked AS (SELECT DISTINCT query_id, {STEM_SQL} AS s FROM (SELECT query_id, unnest(string_split(q, ' ')) AS w FROM q) WHERE w <> '' AND w NOT IN {STOPS_SQL}),
+    places AS (SELECT query_id, s, id, p FROM asked JOIN lexemes USING (s)),
+    sizes AS (SELECT query_id, count(*) AS size FROM asked GROUP BY 1),
+    whole AS (SELECT query_id, id, count(DISTINCT s) AS n FROM places JOIN sizes USING (query_id) GROUP BY query_id, id, size HAVING count(DISTINCT s) = size),
+    one AS (SELECT query_id, id, sum(0.1::DOUBLE / (j * j)) / 1.64493406685::DOUBLE AS rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id, id, s) AS j FROM places) GROUP BY ALL),
+    more AS (SELECT a.query_id, a.id, 1 - exp(sum(ln(1 - 0.1::DOUBLE * sqrt(CASE WHEN abs(a.p - b.p) > 100 THEN 1e-30 ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.p - b.p) / 1.5::DOUBLE - 2)) END)))) AS rank
+      FROM places a JOIN places b ON a.query_id = b.query_id AND a.id = b.id AND a.s < b.s AND a.p <> b.p GROUP BY ALL),
+    texts AS (SELECT query_id, id, CASE WHEN n = 1 THEN one.rank ELSE more.rank END AS rank FROM whole LEFT JOIN one USING (query_id, id) LEFT JOIN more USING (query_id, id)),
+    x AS (SELECT query_id, id, opportunity, reviews, q = '' AS empty, q.category = d.category AS same, {GRAMS_SQL.format('q')} AS gq, {GRAMS_SQL.format('n')} AS gd, rank FROM q CROSS JOIN d LEFT JOIN texts USING (query_id, id)),
+    r AS (SELECT query_id, id, opportunity, reviews, greatest(rank, CASE WHEN empty THEN 0.35 END, CASE WHEN same THEN 0.6 END,
+            CASE WHEN len(gq) > 0 AND len(list_intersect(gq, gd)) / len(list_distinct(list_concat(gq, gd)))::DOUBLE >= 0.3 THEN len(list_intersect(gq, gd)) / len(list_distinct(list_concat(gq, gd)))::DOUBLE END) AS rel FROM x)"""
+
+
+def _index(spark, sf):
+    """Parts as a search index at rest."""
+    parts = table(spark, sf, "part").selectExpr(
+        "p_partkey AS id", "p_name AS name", "p_type", "p_brand AS category", "floor(p_retailprice * 10 + 0.5) / 10 AS opportunity", "CASE WHEN p_size % 7 > 0 THEN p_size END AS reviews",
+        "CAST((p_size % 6 + 5) / 10D AS DOUBLE) AS location_confidence",
+    )
+    return postings.build_index(parts, F.concat_ws(" ", "name", "p_type", "name"), new_path(spark, "search-index"))
+
+
 @query(
     "L1_L6_batch_search",
-    f"""WITH d AS (SELECT p_partkey AS id, p_brand AS category, {NORM.format("p_name || ' ' || p_type")} AS t, {NORM.format('p_name')} AS n, floor(p_retailprice * 10 + 0.5) / 10 AS opportunity, p_size AS reviews FROM part WHERE p_retailprice >= 45),
-    q AS (SELECT * FROM (VALUES (1, 'blue bolt', NULL), (2, 'Red', NULL), (3, '', 'Brand#3'), (4, 'stel rings', NULL)) q(query_id, query, category)),
-    x AS (SELECT query_id, id, opportunity, reviews, q.category = d.category AS same, {GRAMS_SQL.format('lower(query)')} AS gq, {GRAMS_SQL.format('n')} AS gd,
-            list_distinct(list_transform(list_filter(string_split(lower(query), ' '), lambda w: w <> ''), lambda w: STEM(w))) AS tq, list_distinct(list_transform(string_split(t, ' '), lambda w: STEM(w))) AS td FROM q, d),
-    r AS (SELECT query_id, id, opportunity, reviews, greatest(CASE WHEN len(tq) > 0 AND list_has_all(td, tq) THEN len(tq) / len(td)::DOUBLE END,
-            CASE WHEN len(gq) > 0 AND len(list_intersect(gq, gd)) / len(list_distinct(list_concat(gq, gd)))::DOUBLE >= 0.3 THEN len(list_intersect(gq, gd)) / len(list_distinct(list_concat(gq, gd)))::DOUBLE END,
-            CASE WHEN same THEN 0.6 END) AS rel FROM x)
-    SELECT CAST(query_id AS INTEGER) AS query_id, id, opportunity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY opportunity DESC, rel DESC, reviews DESC NULLS LAST, id) AS INTEGER) AS rank
-    FROM r WHERE rel IS NOT NULL QUALIFY rank <= 10""".replace(
-        "STEM(w)",
-        "CASE WHEN length(CASE WHEN length(w) > 4 THEN regexp_replace(w, '(es|s)$', '') ELSE w END) > 4 THEN regexp_replace(CASE WHEN length(w) > 4 THEN regexp_replace(w, '(es|s)$', '') ELSE w END, '[aeo]$', '') ELSE CASE WHEN length(w) > 4 THEN regexp_replace(w, '(es|s)$', '') ELSE w END END",
-    ),
+    f"""{SEARCH_SQL} SELECT CAST(query_id AS INTEGER) AS query_id, id, opportunity, floor(rel * 1e6 + 0.5) / 1e6 AS relevance,
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY opportunity DESC, rel DESC, reviews DESC NULLS LAST, id) AS INTEGER) AS rank
+    FROM r WHERE rel IS NOT NULL QUALIFY rank <= 10""",
 )
 def batch(spark, sf):
-    parts = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_type", F.col("p_brand").alias("category"), (F.floor(F.col("p_retailprice") * 10 + 0.5) / 10).alias("opportunity"), F.col("p_size").alias("reviews")
-    )
-    # the index: a table at rest, of which searches read what they need
-    docs = written(search.search_documents(parts, F.concat_ws(" ", "name", "p_type")), "search")
-    queries = spark.createDataFrame([(1, "blue bolt", None), (2, "Red", None), (3, "", "Brand#3"), (4, "stel rings", None)], "query_id int, query string, category string")
-    return search.batch_search(queries, docs, 10).select("query_id", "id", "opportunity", F.col("rank").cast("int").alias("rank"))
+    found = postings.search(spark.createDataFrame(SEARCHES, "query_id int, query string, category string"), _index(spark, sf), 10)
+    return found.select("query_id", "id", "opportunity", (F.floor(F.col("relevance") * 1e6 + 0.5) / 1e6).alias("relevance"), F.col("rank").cast("int").alias("rank"))
 
 
 @query(
