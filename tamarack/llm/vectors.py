@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph (operator 8).
 
 Equal unit vectors are one node. Nodes are dealt to overlapping shards, those of the centroids that
-are nearest (k-means on a bounded sample); a shard that has more than ``DEAL_AGAIN`` nodes is dealt again, by
+are nearest (k-means on a bounded sample); a shard that has more than ``MAX_SHARD`` nodes is dealt again, by
 centroids of its own, so that tables of any size end in small ones. Each shard builds a flat graph: candidate neighbours of
 a node are robustly pruned, and links go both ways. The shards' adjacency lists are united, and each
 shard then runs a search for each of its nodes over the united lists: greedily from the medoid and
@@ -9,11 +9,11 @@ from the node itself, and, from whatever lies in range, on to all neighbours unt
 in range. Links are verified by the cosine in double precision. A pair that shares several shards
 is counted in the first alone, so links are counted without a row for each pair.
 
-A shard that still has more than ``MAX_SHARD`` nodes isn't searched but compared exactly, in pairs of blocks of
-bounded size, each its own task; there are more than ``DEAL_AGAIN`` in it only where dealing can't part its vectors. An audit compares drawn vectors, without their equal copies,
-with all others until ``LINKED`` vectors that have a link are seen; while their mean recall is below
-the target, the shards overlap more, and where that would cost more than to compare all vectors with
-each other, these are compared, in block pairs. Where the draw ends first, a warning gives its figures.
+Only where dealing can't part a shard's vectors is it compared exactly, in pairs of blocks of bounded size, each its own
+task. An audit compares drawn vectors, without their equal copies, with all others until ``LINKED`` vectors that have a
+link are seen, or all vectors are drawn; while their mean recall is below the target, the shards overlap more, and where
+that would cost more than to compare all vectors with each other, these are compared, in block pairs. Where a draw of
+``MAX_AUDITED`` ends first, the recall is unproven: an error, unless the caller allows it.
 
 Memory: the driver holds the sample of the first centroids (``SAMPLE_BYTES``) and these (``MAX_CENTROIDS``
 vectors, 2 MB for 64 dimensions), and an audit's block; similarities are worked out for ``ROWS`` vectors at a
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import table
@@ -43,15 +43,17 @@ MAX_CENTROIDS = 4_096
 SAMPLE_PER_CENTROID = 24
 SAMPLE_BYTES = 64 << 20
 ROWS = 1_024
-#: A shard of more nodes than this is dealt again, at most so often; so many of its rows meet its centroids in one task.
-DEAL_AGAIN, LEVELS, SALT_ROWS = 8_192, 4, 200_000
+#: A shard of more than MAX_SHARD nodes is dealt again, at most so often; so many of its rows meet its centroids in one task.
+LEVELS, SALT_ROWS = 6, 200_000
 #: Parts of such a shard at most; no more than MAX_CENTROIDS.
 PARTS = 1_024
 OVERLAP = 2
 CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
 BEAM = 4
 #: An audit draws about BLOCK vectors at a time until LINKED linked ones are seen, about MAX_AUDITED at most.
-BLOCK, LINKED, MAX_AUDITED, TARGET = 4_096, 200, 32_768, 0.95
+BLOCK, LINKED, MAX_AUDITED, TARGET = 4_096, 200, 65_536, 0.95
+#: Different lengths of vectors in one table.
+MOST_LENGTHS = 64
 _PART = "node long, n long, m long, root long"
 
 
@@ -140,7 +142,8 @@ def deal_again(members: DataFrame, large: DataFrame, overlap: int) -> DataFrame:
     A shard's centroids come from a bounded sample of its rows, by their hashes. Rows meet them in tasks of about
     ``SALT_ROWS`` rows, which read the centroids first and then a batch after the other.
     """
-    parts = F.least(F.lit(PARTS), F.ceil(F.col("n") / SHARD)).cast("int")
+    # twice as many as would fill shards: with few centroids one of them draws nearly all of a dense shard
+    parts = F.least(F.lit(PARTS), F.ceil(2 * F.col("n") / SHARD)).cast("int")
     sized = members.join(large.select("shard", "n", parts.alias("k"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "shard")
     share = F.least(F.lit(1.0), F.col("k") * SAMPLE_PER_CENTROID / F.col("n"))
     sampled = sized.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) < share * (1 << 30)).select("shard", "k", "salts", "node", "unit")
@@ -184,7 +187,7 @@ def _dealt(nodes: DataFrame, count: int, overlap: int, exact: bool) -> tuple[Dat
     """Members of shards (shard, shards of the node, node, copies, unit), and the shards (shard, n) that stay too large."""
     now = written(deal(nodes, centroids(nodes, 1 if exact else count), 1 if exact else overlap), "members")
     for _ in range(0 if exact else LEVELS):
-        large = written(now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > DEAL_AGAIN), "large")
+        large = written(now.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > MAX_SHARD), "large")
         if large.isEmpty():
             drop(large)
             break
@@ -389,7 +392,7 @@ def audit(nodes: DataFrame, count: int, totals: DataFrame, threshold: float = TH
     """Mean recall over linked vectors, counted against all nodes; how many of these were seen, and how many were drawn.
 
     Vectors are drawn by hash of the node, a block at a time. ``totals`` has (node, m) for the nodes
-    linked, equal copies apart. Recall is None when no vector drawn has a link.
+    linked, equal copies apart. Recall is None when no vector drawn has a link, and 1 when that were all.
     """
     every, drawn, recalls, first = 1 << 40, 0, [], 0
     step = -(-every * BLOCK // max(count, BLOCK))
@@ -422,7 +425,7 @@ def audit(nodes: DataFrame, count: int, totals: DataFrame, threshold: float = TH
         got = {r["node"]: r["m"] for r in totals.where(within).select("node", "m").collect()}
         recalls += [min(got.get(r["node"], 0), r["m"]) / r["m"] for r in counted.collect()]
         spread.destroy()
-    return float(np.mean(recalls)) if recalls else None, len(recalls), drawn
+    return float(np.mean(recalls)) if recalls else 1.0 if drawn >= count else None, len(recalls), drawn
 
 
 def near_duplicates(
@@ -432,53 +435,92 @@ def near_duplicates(
     target: float = TARGET,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    allow_unproven: bool = False,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
-    are their own component. Repeated rows are rows that link with each other. A row with a null id
-    has no links and a null component, and isn't kept. Other columns are ignored; an empty table
-    gives none. All vectors must have one length.
-
-    The column ``recall`` repeats what the audit found, 1 where all vectors were compared, null where no vector drawn has a
-    link. Unless all vectors were compared, an audit has shown ``target`` on ``LINKED`` linked vectors or on
-    all there are; a RuntimeWarning says so where it saw fewer among the ``MAX_AUDITED`` it may draw.
+    are their own component. Vectors link with those of their own length alone. Repeated rows are rows that link with
+    each other; rows of one vec_id and different vectors are rows of their own, each with its links. A row with a null id
+    has no links and a null component, and isn't kept. Other columns are ignored; an empty table gives none.
+
+    The column ``recall`` repeats what the audit found (of several lengths the least), 1 where all vectors were compared.
+    An audit has shown ``target`` on ``LINKED`` linked vectors or on all there are. Where it saw fewer among the
+    ``MAX_AUDITED`` it may draw, RuntimeError gives the figures; with ``allow_unproven`` it is a warning, and recall is null
+    where no vector drawn has a link.
     """
     rows = written(units(vectors, id_col, vector_col), "units")
-    nodes = written(
+    every = written(
         rows.where("unit is not null and vec_id is not null")
         .groupBy("unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")),
         "nodes",
     )
+    # ids that several different vectors share would be one node: these get a number of their own
+    apart, own = _told_apart(every)
+    lengths = sorted(r[0] for r in every.select(F.length("unit")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    out = rows.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    recalls: list[float | None] = [1.0]
+    for length in lengths:
+        nodes = apart if len(lengths) == 1 else written(apart.where(F.length("unit") == length), "nodes")
+        of_node, recall = _of_length(nodes, threshold, overlap, target, allow_unproven)
+        named = rows.where("vec_id is not null").join(of_node, "unit")
+        if own is not None:  # back to the ids: the least of a component's
+            named = named.join(own.withColumnsRenamed({"node": "component_id", "vec_id": "least"}), "component_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+        out = out.unionByName(named.select("vec_id", "n_links", "component_id"))
+        recalls.append(recall)
+    known = [r for r in recalls if r is not None]
+    worst = min(known) if len(known) == len(recalls) else None
+    return out.withColumns(
+        {"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(worst).cast("double")}
+    )
+
+
+def _told_apart(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``nodes`` with a number of its own for each vector, and (node, vec_id), where an id has several vectors; else as they are.
+
+    Numbers keep the order of ids, so that the least number of a component is of its least id.
+    """
+    shared = nodes.groupBy("node").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+    if (shared or 1) == 1:
+        return nodes, None
+    # ids in ranges, each counted; a row's number is its place in its range behind those before
+    parts = written(nodes.repartitionByRange("node", "unit").sortWithinPartitions("node", "unit").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = {r["part"]: r["c"] for r in parts.groupBy("part").agg(F.count("*").alias("c")).collect()}
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    starts = F.create_map(*[F.lit(x).cast("long") for p in before.items() for x in p])
+    place = F.row_number().over(Window.partitionBy("part").orderBy("node", "unit"))
+    numbered = written(parts.withColumn("number", F.element_at(starts, F.col("part").cast("long")) + place - 1), "numbered")
+    return numbered.select("unit", F.col("number").alias("node"), "copies"), numbered.select(F.col("number").alias("node"), F.col("node").alias("vec_id"))
+
+
+def _of_length(nodes: DataFrame, threshold: float, overlap: int, target: float, allow_unproven: bool) -> tuple[DataFrame, float | None]:
+    """(unit, n_links, component_id) of nodes (unit, node, copies) whose vectors have one length, and the recall."""
     count = nodes.count()
-    none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     shards, exact, recall = -(-count // SHARD), False, 1.0
-    while count:
+    while True:
         parts = linked(nodes, count, threshold, overlap, exact)
         totals = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        if not exact:
-            recall, seen, drawn = audit(nodes, count, totals, threshold)
-            if recall is not None and recall < target:
-                overlap *= 2
-                exact, recall = overlap * overlap > shards, 1.0  # crowded shards would cost more than all pairs
-                continue
+        if exact:
+            break
+        recall, seen, drawn = audit(nodes, count, totals, threshold)
+        if recall is None or recall >= target:
             if seen < LINKED and drawn < count:
-                warnings.warn(f"recall rests on {seen} linked vectors among {drawn} drawn of {count}: {recall}", RuntimeWarning, stacklevel=2)
-        component = connected_components(parts.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
-        of_node = (
-            nodes.join(totals, "node").join(component, "node", "left")
-            .select("unit", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-        )
-        named = rows.where("unit is not null and vec_id is not null").join(of_node, "unit").select("vec_id", "n_links", "component_id")
-        out = named.unionByName(
-            rows.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        )
-        break
-    else:
-        out = none
-    return out.withColumns(
-        {"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(recall).cast("double")}
-    )
+                what = f"recall rests on {seen} linked vectors among {drawn} drawn of {count}: {recall}"
+                if not allow_unproven:
+                    raise RuntimeError(f"{what}; allow_unproven=True takes it so")
+                warnings.warn(what, RuntimeWarning, stacklevel=3)
+            break
+        overlap *= 2
+        exact, recall = overlap * overlap > shards, 1.0  # crowded shards would cost more than all pairs
+    component = connected_components(parts.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    return (
+        nodes.join(totals, "node").join(component, "node", "left")
+        .select("unit", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    ), recall
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

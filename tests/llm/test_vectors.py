@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tamarack.llm import vectors as V
 from tamarack.llm.common import table
@@ -59,7 +60,6 @@ def test_large_shards_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(V, "PARTS", 4)
     monkeypatch.setattr(V, "SHARD", 60)
     monkeypatch.setattr(V, "MAX_SHARD", 150)
-    monkeypatch.setattr(V, "DEAL_AGAIN", 150)
     monkeypatch.setattr(V, "SALT_ROWS", 100)
     monkeypatch.setattr(V, "ROWS", 37)
     dealt = []
@@ -75,7 +75,6 @@ def test_shards_that_cannot_be_parted_are_compared_exactly(spark, monkeypatch):
     monkeypatch.setattr(V, "PARTS", 4)
     monkeypatch.setattr(V, "SHARD", 40)
     monkeypatch.setattr(V, "MAX_SHARD", 64)
-    monkeypatch.setattr(V, "DEAL_AGAIN", 64)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1, 12)) + rng.normal(size=(400, 12)) * 0.02  # all within reach of each other
     recall, same, _ = compare(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
@@ -114,11 +113,40 @@ def test_audit_draws_until_links_are_seen(spark, monkeypatch):
     recall, seen, drawn = V.audit(nodes, len(x), totals)
     assert recall == 1 and 10 <= seen <= 40 and drawn < len(x)
     assert V.audit(nodes, len(x), totals.where("m < 0"))[0] == 0
-    assert V.audit(nodes, len(x), totals, 1.1) == (None, 0, len(x))
+    assert V.audit(nodes, len(x), totals, 1.1) == (1.0, 0, len(x))  # all drawn: there are no links
     monkeypatch.setattr(V, "MAX_AUDITED", 40)
     monkeypatch.setattr(V, "LINKED", 1000)
-    with np.testing.assert_warns(RuntimeWarning):
+    assert V.audit(nodes, len(x), totals, 1.1)[0] is None
+    with pytest.raises(RuntimeError, match="allow_unproven"):
         compare(spark, sparse_links())
+    with np.testing.assert_warns(RuntimeWarning):
+        compare(spark, sparse_links(), allow_unproven=True)
+
+
+def test_skewed_clusters_go_through_the_graph(spark):
+    """12,000 vectors in clusters of very unequal sizes: shards are dealt until their graphs are searched."""
+    rng = np.random.default_rng(12)
+    sizes = 1 / np.arange(1, 61)
+    own = rng.choice(60, size=12_000, p=sizes / sizes.sum())
+    x = rng.normal(size=(60, 32))[own] + rng.normal(size=(12_000, 32)) * 0.6
+    x[1::40] = x[::40] + rng.normal(size=(300, 32)) * 0.03
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.astype("<f8").tobytes(), 1) for i, v in enumerate(x)], "node long, unit binary, copies long")
+    members, crowded = V._dealt(nodes, len(x), V.OVERLAP, False)
+    inside = members.join(crowded.select("shard"), "shard", "left_semi").count()
+    assert members.groupBy("shard").count().agg({"count": "max"}).first()[0] <= V.MAX_SHARD or inside < 0.05 * members.count()
+    assert inside < 0.05 * members.count()
+    recall, same, got = compare(spark, x)
+    assert recall >= 0.95 and same > 0.97 and {r.recall for r in got.values()}.pop() >= 0.95
+
+
+def test_vectors_of_several_lengths_and_ids_of_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.01]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.01]), (4, [0.0, 1.0]), (6, [1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:4] for r in V.near_duplicates(docs).collect())
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 4, True), (5, 1, 4, False), (4, 0, 4, True), (6, 0, 6, True)])
+    with pytest.raises(ValueError):
+        V.near_duplicates(spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(70)], docs.schema))
 
 
 def test_query(spark, sf_dir):
@@ -132,7 +160,7 @@ def test_cases(spark):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, n int")
     rows = V.near_duplicates(docs).collect()
     got = sorted((tuple(r)[:4] for r in rows), key=str)
-    assert {r.recall for r in rows} == {None}  # one distinct pair of directions, without a link between them
+    assert {r.recall for r in rows} == {1.0}  # one distinct pair of directions, without a link between them, both drawn
     assert got == sorted(
         [(5, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (9, 3, 3, False), (7, 0, 7, True), (None, 0, None, False)]
         + [(i, 0, i, True) for i in (1, 2, 4, 6, 8)],
