@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamarack.functions import contact, geo, hashing, numbers, text
+from tamarack.operators import resolve
+from tamarack.operators.storage import written
 from tamarack.plans.registry import query, table
 
 NORM = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
@@ -64,29 +65,35 @@ GRAMS_SQL = (
 
 @query(
     "C5_C8_name_similarity",
-    f"""WITH p AS (SELECT p_partkey AS id, p_brand, p_size, {NORM.format('p_name')} AS n FROM part),
-    pairs AS (SELECT a.id AS l_id, b.id AS r_id, a.n AS a, b.n AS b, {TOKENS_SQL.format('a.n')} AS ta, {TOKENS_SQL.format('b.n')} AS tb,
-                     {GRAMS_SQL.format('a.n')} AS ga, {GRAMS_SQL.format('b.n')} AS gb
-              FROM (SELECT *, lead(id) OVER w AS next FROM p WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY id)) a JOIN p b ON b.id = a.next),
-    s AS (SELECT l_id, r_id,
-            len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE AS token_overlap,
+    f"""WITH p AS (SELECT p_brand, p_size, {NORM.format('p_name')} AS n, count(*) AS k FROM part GROUP BY ALL),
+    g AS (SELECT *, {TOKENS_SQL.format('n')} AS t, {GRAMS_SQL.format('n')} AS g FROM p),
+    pairs AS (SELECT a.p_brand, a.p_size, a.n AS a, b.n AS b, a.t AS ta, b.t AS tb, a.g AS ga, b.g AS gb, CASE WHEN a.n = b.n THEN a.k * (a.k - 1) // 2 ELSE a.k * b.k END AS pairs
+              FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.n <= b.n WHERE a.n < b.n OR a.k > 1),
+    s AS (SELECT *, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE AS token_overlap,
             1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS edit,
             len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))::DOUBLE AS trigram
           FROM pairs)
-    SELECT l_id, r_id, floor(token_overlap * 1e6 + 0.5) / 1e6 AS token_overlap, floor(edit * 1e6 + 0.5) / 1e6 AS edit,
-           floor(greatest(token_overlap, 0.95 * edit) * 1e6 + 0.5) / 1e6 AS name_similarity, floor(trigram * 1e6 + 0.5) / 1e6 AS trigram FROM s""",
+    SELECT p_brand, p_size, a, b, CAST(pairs AS BIGINT) AS pairs, floor(token_overlap * 1e6 + 0.5) / 1e6 AS token_overlap, floor(edit * 1e6 + 0.5) / 1e6 AS edit,
+           floor(greatest(token_overlap, 0.95 * edit) * 1e6 + 0.5) / 1e6 AS name_similarity, floor(trigram * 1e6 + 0.5) / 1e6 AS trigram FROM s WHERE trigram > 0.3""",
 )
 def c5(spark, sf):
-    """Each part against the next of its brand and size."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_id"), "p_brand", "p_size", text.normalize_text(F.col("p_name")).alias("a"))
-    w = Window.partitionBy("p_brand", "p_size").orderBy("l_id")
-    pairs = p.withColumns({"r_id": F.lead("l_id").over(w), "b": F.lead("a").over(w)}).where("r_id is not null")
-    x, y = F.col("a"), F.col("b")
+    """All pairs of parts of one brand and size by their names: each two different names with how many pairs have them.
+
+    Names that are equal are one; those whose trigrams overlap by more than 0.3 are compared by all four measures.
+    """
+    name = text.normalize_text(F.col("p_name")).alias("name_key")
+    p = table(spark, sf, "part").groupBy("p_brand", "p_size", name).agg(F.min("p_partkey").alias("id"), F.count("*").alias("k"))
+    p = written(p.withColumn("block", F.concat_ws("|", "p_brand", "p_size")), "names")
+    near = resolve.trigram_pairs(p, p, "block", 0.3).where("l_id <= r_id")
+    of = lambda i, n, k: p.select(F.col("id").alias(i), F.col("name_key").alias(n), F.col("k").alias(k))
+    pairs = near.join(p.select(F.col("id").alias("l_id"), "p_brand", "p_size", F.col("name_key").alias("l"), F.col("k").alias("l_k")), "l_id").join(of("r_id", "r", "r_k"), "r_id")
+    same = F.col("l_id") == F.col("r_id")
+    x, y = F.least("l", "r"), F.greatest("l", "r")
     six = lambda c: numbers.round_half_up(c, 6)
-    return pairs.select(
-        "l_id", "r_id", six(text.jaccard(text.name_tokens(x), text.name_tokens(y))).alias("token_overlap"),
-        six(text.edit_similarity(x, y)).alias("edit"), six(text.name_similarity(x, y)).alias("name_similarity"),
-        six(text.trigram_similarity(x, y)).alias("trigram"),
+    return pairs.where(~same | (F.col("l_k") > 1)).select(
+        "p_brand", "p_size", x.alias("a"), y.alias("b"), F.when(same, F.expr("l_k * (l_k - 1) div 2")).otherwise(F.col("l_k") * F.col("r_k")).alias("pairs"),
+        six(text.jaccard(text.name_tokens(x), text.name_tokens(y))).alias("token_overlap"),
+        six(text.edit_similarity(x, y)).alias("edit"), six(text.name_similarity(x, y)).alias("name_similarity"), six(F.col("similarity")).alias("trigram"),
     )
 
 
