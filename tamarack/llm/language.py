@@ -6,7 +6,7 @@ spherical k-means over its training vectors; a text takes the language of the ce
 greatest cosine, and is rejected where that centroid is further than texts of the language are that
 show as many different trigrams. A text of m trigrams is at a cosine of about sqrt(m / (m + M)) from
 its language, M being fitted for each; what training rows have of that, each measured without its own
-share in the centroid, bounds what is asked of texts of about their length.
+share in the centroid, bounds what is asked of texts of about their length. No row of the held-out fold has a part in that.
 
 The classifier is fitted on about ``sample`` labelled documents of each language, drawn by hash of
 the id (the documented bound of the fit). Every whole text is then scored in one narrow Arrow pass; what
@@ -35,9 +35,10 @@ MAX_LANGS = 1_000
 LEAST_CLUSTER = 0.05
 FOLDS, HELD_OUT = 4, 2
 SHARPNESS = 25.0
-#: Training rows of about one length whose least a cut lies a fifth below (two bands at least, for rows that weren't drawn);
-#: with fewer than ENOUGH_ROWS in all it lies lower, and with fewer than FEW_ROWS it is half the least and grows with the text up to ENOUGH_TRIGRAMS.
-BAND_ROWS, ENOUGH_ROWS, FEW_ROWS, ENOUGH_TRIGRAMS = 1_000, 1_500, 200, 400
+#: Training rows of about one length, from whose tail a cut is taken: one that RATE of a language's texts fall below, if the
+#: tail beyond the lowest TAIL of rows goes on as it is (two bands at least). With fewer than FEW_ROWS in all a cut is half
+#: the least and grows with the text up to ENOUGH_TRIGRAMS.
+BAND_ROWS, TAIL, RATE, FEW_ROWS, ENOUGH_TRIGRAMS = 1_000, 0.05, 1e-6, 200, 400
 UNDETERMINED = "und"
 #: ASCII that is no letter becomes a space; bytes of other characters stay.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -89,8 +90,18 @@ class Cuts:
         self.few = len(order) < FEW_ROWS
         bands = [order] if self.few else np.array_split(order, max(2, len(order) // BAND_ROWS))
         self.starts = np.array([distinct[b[0]] for b in bands if len(b)])
-        low = np.array([min(1.0, max(0.0, share[b].min())) for b in bands if len(b)])
-        self.least = 0.5 * low if self.few else 0.8 * low ** max(1.0, ENOUGH_ROWS / len(order))
+        if self.few:
+            self.least = np.array([0.5 * min(1.0, max(0.0, share[b].min())) for b in bands if len(b)])
+        else:
+            self.least = np.array([self.tail(share[b]) for b in bands if len(b)])
+
+    @staticmethod
+    def tail(share: np.ndarray) -> float:
+        """Where the logarithm's tail, exponential beyond its TAIL quantile, has RATE left."""
+        low = -np.log(np.clip(share, 1e-6, 1.0))
+        begin = np.quantile(low, 1 - TAIL)
+        over = low[low > begin] - begin
+        return float(np.exp(-(begin + (over.mean() if len(over) else 0.0) * np.log(TAIL / RATE))))
 
     def at(self, distinct: int) -> float:
         least = self.least[max(0, np.searchsorted(self.starts, distinct, side="right") - 1)]
@@ -228,7 +239,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, held_out, lang_pred, score, cosine, rejected for every row.
 
     Null texts and texts without a letter are ``und``, score 0, rejected; so is every text when the
-    model has no language. Repeated rows and null ids give a row each; other columns are ignored.
+    model has no language. A tie between languages goes to the first by name. Repeated rows and null ids give a row each;
+    an empty table gives none; texts of any length are read whole; other columns are ignored.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS * CENTROIDS vectors of 16 KB
 
