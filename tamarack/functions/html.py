@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What links, texts and sources are recognised by.
@@ -52,8 +52,15 @@ def bound(c: Column, fn) -> Column:
     return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
+def code_point(digits: Column) -> Column:
+    """The character of a decimal number; the replacement character for what is none (zero, surrogates, beyond U+10FFFF)."""
+    n = digits.try_cast("long")
+    good = n.isNotNull() & (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
 def decode_entities(c: Column) -> Column:
-    """The named entities that matter and numeric ones of printable ASCII; others stay as written."""
+    """The named entities that matter and decimal ones; others stay as written."""
 
     def decoded(c: Column) -> Column:
         for pattern, to in (
@@ -62,11 +69,8 @@ def decode_entities(c: Column) -> Column:
         ):
             c = F.regexp_replace(c, pattern, to)
         # one regex pass tells the pages apart that hold a numeric entity at all; few do
-        one = lambda p: F.when(
-            p.rlike("^&#[0-9]{2,3};"),
-            F.concat(F.char(F.regexp_extract(p, "^&#([0-9]{2,3});", 1).cast("long")), F.regexp_replace(p, "^&#[0-9]{2,3};", "")),
-        ).otherwise(p)
-        numeric = lambda c: F.concat_ws("", F.transform(F.split(c, "(?=&#[0-9]{2,3};)"), one))
+        one = lambda p: F.when(p.rlike("^&#[0-9]+;"), F.concat(code_point(F.regexp_extract(p, "^&#([0-9]+);", 1)), F.regexp_replace(p, "^&#[0-9]+;", ""))).otherwise(p)
+        numeric = lambda c: F.concat_ws("", F.transform(F.split(c, "(?=&#[0-9]+;)"), one))
         return bound(c, lambda c: F.when(F.contains(c, F.lit("&#")), numeric(c)).otherwise(c))
 
     return bound(c, lambda c: F.when(F.contains(c, F.lit("&")), decoded(c)).otherwise(c))
@@ -126,10 +130,11 @@ def _some(v: Column) -> Column:
     return F.coalesce(v, F.lit("")) != ""
 
 
-def page_parts(html: Column, most: int | None = None) -> Column:
-    """The tags of a page that signals come from, each read once: to be a column of its own, below :func:`page_signals`.
+def page_parts(html: Column, most: int | None = None) -> dict[str, Column]:
+    """The tags of a page that signals come from, by family: to be columns below :func:`page_signals`.
 
-    ``most`` characters are read, all if it is None.
+    Each is a column of its own, so that families of which no signal is asked for aren't looked for. ``most`` characters
+    are read, all if it is None.
     """
     html = F.coalesce(html, F.lit(""))
     html = html if most is None else F.substring(html, 1, most)
@@ -139,31 +144,40 @@ def page_parts(html: Column, most: int | None = None) -> Column:
     link = lambda a: F.struct(
         *(attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), n).alias(n) for n in ("href", "rel")), F.substring(strip_tags(a), 1, 120).alias("text")
     )
-    heading = lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), F.substring(strip_tags(h), 1, 200).alias("text"))
-    return F.struct(
-        html.alias("html"),
-        F.transform(tags(r"(?i)<meta\b[^>]*>", "name", "property", "content"), lambda t: F.struct(F.lower(F.coalesce(t["name"], t["property"], F.lit(""))).alias("name"), t["content"].alias("content"))).alias("metas"),
-        F.filter(F.transform(_all(html, r"(?is)<a\b[^>]*>.*?</a>"), link), lambda a: _some(a["href"])).alias("links"),
-        tags(r"(?i)<link\b[^>]*>", "rel", "href").alias("rels"),
-        tags(r"(?i)<img\b[^>]*>", "src", "data-src", "data-lazy-src", "alt").alias("images"),
-        F.transform(_all(html, r"(?is)<h([1-6])\b[^>]*>.*?</h\1>"), heading).alias("headings"),
-        F.transform(_all(html, r"(?is)<form\b.*?</form>"), F.lower).alias("forms"),
-        F.filter(F.transform(_all(html, r"(?i)<script\b[^>]*>"), lambda t: attribute(t, "src")), lambda u: u.isNotNull()).alias("scripts"),
-        F.filter(F.transform(_all(html, r"(?is)<button\b[^>]*>.*?</button>"), strip_tags), lambda t: t.rlike("(?i)" + CTA)).alias("buttons"),
-    )
+    return {
+        "_html": html,
+        "_metas": F.transform(tags(r"(?i)<meta\b[^>]*>", "name", "property", "content"), lambda t: F.struct(F.lower(F.coalesce(t["name"], t["property"], F.lit(""))).alias("name"), t["content"].alias("content"))),
+        "_links": F.filter(F.transform(_all(html, r"(?is)<a\b[^>]*>.*?</a>"), link), lambda a: _some(a["href"])),
+        "_rels": tags(r"(?i)<link\b[^>]*>", "rel", "href"),
+        "_images": _all(html, r"(?i)<img\b[^>]*>"),
+        "_headings": _all(html, r"(?is)<h([1-6])\b[^>]*>.*?</h\1>"),
+        "_forms": F.transform(_all(html, r"(?is)<form\b.*?</form>"), F.lower),
+        "_scripts": F.filter(F.transform(_all(html, r"(?i)<script\b[^>]*>"), lambda t: attribute(t, "src")), lambda u: u.isNotNull()),
+        "_buttons": F.filter(F.transform(_all(html, r"(?is)<button\b[^>]*>.*?</button>"), strip_tags), lambda t: t.rlike("(?i)" + CTA)),
+        "_text": strip_tags(html),
+    }
+
 
+PARTS = ("html", "links", "metas", "rels", "images", "headings", "forms", "scripts", "buttons", "text")
 
-def page_signals(parts: Column, url: Column | None = None, text_kept: int | None = None) -> dict[str, Column]:
-    """Named columns with the signals of one page, over its :func:`page_parts`.
+
+def with_parts(pages: DataFrame, html: str = "html", most: int | None = None) -> DataFrame:
+    """``pages`` with the columns of :func:`page_parts`, in a projection of their own."""
+    return pages.select("*", *(c.alias(n) for n, c in page_parts(F.col(html), most).items()))
+
+
+def page_signals(url: Column | None = None, text_kept: int | None = None) -> dict[str, Column]:
+    """Named columns with the signals of one page, over the columns of :func:`with_parts`.
 
     ``url`` is what references are resolved against (without it they stay null); ``text_kept`` cuts the column ``text``.
     """
-    html, links = parts["html"], parts["links"]
+    html, links, metas, rels, images, headings, forms, scripts, buttons, text = (F.col(f"_{n}") for n in PARTS)
     url = F.lit(None).cast("string") if url is None else url
     like = lambda pattern: F.exists(links, lambda a: a["href"].rlike("(?i)" + pattern))
     first = lambda items, keep: F.get(F.filter(items, keep), F.lit(0))
     rel = lambda t: F.lower(F.coalesce(t["rel"], F.lit("")))
-    sources = F.transform(parts["images"], lambda t: resolved(F.coalesce(t["src"], t["data-src"], t["data-lazy-src"]), url))
+    sources = F.transform(images, lambda t: resolved(F.coalesce(*(attribute(t, n) for n in ("src", "data-src", "data-lazy-src"))), url))
+    level = lambda h: F.substring(h, 3, 1).cast("int")
     photo = lambda u: u.isNotNull() & ~u.rlike("(?i)" + JUNK_IMAGE) & ~F.lower(F.split(u, "\\?")[0]).endswith(".svg")
     title = strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     year = F.regexp_extract(html, "(?i)" + COPYRIGHT, 1)
@@ -172,22 +186,21 @@ def page_signals(parts: Column, url: Column | None = None, text_kept: int | None
     linked = lambda pattern: first(links, lambda a: a["href"].rlike("(?i)" + pattern))["href"]
     social = F.array(*(F.struct(F.lit(n).alias("platform"), linked(p).alias("href")) for n, p in SOCIAL.items()))
     named = lambda name: lambda m: (m["name"] == name) & _some(m["content"])
-    text = strip_tags(html)
     return {
         "title": bound(title, lambda t: F.when(t != "", t)),
-        "meta_description": _last(parts["metas"], named("description"), "content"),
-        "has_viewport": F.exists(parts["metas"], lambda m: m["name"] == "viewport"),
-        "viewport": _last(parts["metas"], lambda m: m["name"] == "viewport", "content"),
-        "generator": _last(parts["metas"], named("generator"), "content"),
-        "og_image": resolved(first(parts["metas"], lambda m: m["name"].isin("og:image", "twitter:image") & _some(m["content"]))["content"], url),
-        "icon": resolved(first(parts["rels"], lambda t: F.contains(rel(t), F.lit("apple-touch-icon")) | rel(t).isin("icon", "shortcut icon"))["href"], url),
-        "canonical": first(parts["rels"], lambda t: rel(t) == "canonical")["href"],
+        "meta_description": _last(metas, named("description"), "content"),
+        "has_viewport": F.exists(metas, lambda m: m["name"] == "viewport"),
+        "viewport": _last(metas, lambda m: m["name"] == "viewport", "content"),
+        "generator": _last(metas, named("generator"), "content"),
+        "og_image": resolved(first(metas, lambda m: m["name"].isin("og:image", "twitter:image") & _some(m["content"]))["content"], url),
+        "icon": resolved(first(rels, lambda t: F.contains(rel(t), F.lit("apple-touch-icon")) | rel(t).isin("icon", "shortcut icon"))["href"], url),
+        "canonical": first(rels, lambda t: rel(t) == "canonical")["href"],
         "lang": attribute(F.regexp_extract(html, r"(?i)<html\b[^>]*>", 0), "lang"),
-        "headings": parts["headings"],
-        "heading_levels": F.transform(parts["headings"], lambda h: h["level"]),
-        "h1_count": F.size(F.filter(parts["headings"], lambda h: h["level"] == 1)),
-        "image_count": F.size(parts["images"]),
-        "images_with_alt": F.size(F.filter(parts["images"], lambda t: _some(t["alt"]))),
+        "headings": F.transform(headings, lambda h: F.struct(level(h).alias("level"), F.substring(strip_tags(h), 1, 200).alias("text"))),
+        "heading_levels": F.transform(headings, level),
+        "h1_count": F.size(F.filter(headings, lambda h: level(h) == 1)),
+        "image_count": F.size(images),
+        "images_with_alt": F.size(F.filter(images, lambda t: _some(attribute(t, "alt")))),
         "image_urls": F.slice(F.array_distinct(F.filter(sources, photo)), 1, 12),
         "links": F.transform(links, lambda a: a["href"]),
         "link_texts": F.transform(links, lambda a: a["text"]),
@@ -199,16 +212,16 @@ def page_signals(parts: Column, url: Column | None = None, text_kept: int | None
         "booking_links": F.transform(booking, lambda a: a["href"]),
         "social_platforms": F.transform(F.filter(social, lambda s: s["href"].isNotNull()), lambda s: s["platform"]),
         "social_urls": F.filter(F.transform(social, lambda s: resolved(s["href"], url)), lambda u: u.isNotNull()),
-        "form_count": F.size(parts["forms"]),
-        "has_contact_form": F.exists(parts["forms"], lambda f: f.rlike("""type\\s*=\\s*["']?email|<textarea|(contacto|contact|mensaje|message|consulta)""")),
-        "script_count": F.size(parts["scripts"]),
-        "script_sources": parts["scripts"],
+        "form_count": F.size(forms),
+        "has_contact_form": F.exists(forms, lambda f: f.rlike("""type\\s*=\\s*["']?email|<textarea|(contacto|contact|mensaje|message|consulta)""")),
+        "script_count": F.size(scripts),
+        "script_sources": scripts,
         "has_analytics": html.rlike("(?i)" + ANALYTICS),
         "uses_legacy": html.rlike("(?i)" + LEGACY),
         "uses_fixed_width": html.rlike("(?i)" + FIXED_WIDTH) | html.rlike("(?i)" + FIXED_TABLE),
         "copyright_year": bound(year, lambda y: F.when(y != "", y.cast("int"))),
-        "cta_texts": F.array_distinct(F.concat(F.slice(calls, 1, 10), F.slice(parts["buttons"], 1, 5))),
-        "cta_count": F.least(F.lit(10), F.size(calls)) + F.least(F.lit(5), F.size(parts["buttons"])),
+        "cta_texts": F.array_distinct(F.concat(F.slice(calls, 1, 10), F.slice(buttons, 1, 5))),
+        "cta_count": F.least(F.lit(10), F.size(calls)) + F.least(F.lit(5), F.size(buttons)),
         "text": text if text_kept is None else F.substring(text, 1, text_kept),
         "has_app_root": html.rlike("""(?i)<div[^>]+id=["'](root|app|__next|__nuxt)["']"""),
     }
@@ -226,5 +239,9 @@ def page_type(path_and_text: Column) -> Column:
     return out
 
 
+#: The values that service_hints can give, in order.
+SERVICE_WORDS = tuple(sorted(w for p in SERVICES.strip("()").split("|") for w in ((p[:-1], p[:-2]) if p.endswith("?") else (p,))))
+
+
 def service_hints(text: Column) -> Column:
     return F.array_distinct(F.transform(_all(text, "(?i)" + SERVICES, 1), F.lower))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.contact import canonical_url, domain, host, is_free_builder, phone
-from tamarack.functions.html import needs_rendering, page_parts, page_signals, page_type, service_hints
+from tamarack.functions.html import SERVICE_WORDS, needs_rendering, page_signals, page_type, service_hints, with_parts
 from tamarack.functions.text import name_similarity, normalize_text, strip_diacritics
 
 # Codes, categories, severities and weights of findings.
@@ -38,14 +38,14 @@ def issue_table(spark: SparkSession) -> DataFrame:
 def pages_with_signals(pages: DataFrame) -> DataFrame:
     """url, html (and page_id, http_status, response_time_ms where present) to the signals of each page.
 
-    The tags of a page are read once, in a projection of their own; columns that nobody asks for cost nothing.
+    The tags of a page are read once, by family in a projection of their own; columns that nobody asks for cost nothing.
     """
     extra = [c for c in ("page_id", "http_status", "response_time_ms") if c in pages.columns]
-    parted = pages.select("url", *extra, "html", page_parts(F.col("html")).alias("parts"))
+    parted = with_parts(pages.select("url", *extra, "html"))
     path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
     out = parted.select(
         "url", *extra, domain(F.col("url")).alias("site"), F.sha2("html", 256).alias("content_hash"),
-        *(c.alias(n) for n, c in page_signals(F.col("parts"), F.col("url")).items()),
+        *(c.alias(n) for n, c in page_signals(F.col("url")).items()),
     )
     return out.withColumns(
         {
@@ -63,6 +63,8 @@ def site_rollup(signals: DataFrame) -> DataFrame:
     home = F.struct((F.col("page_type") != "home").alias("k"), F.col("url").alias("u"))
     of_home = lambda c: F.min_by(c, home).alias(c)
     any_page = lambda c: F.bool_or(c).alias(c)
+    words = F.array(*(F.lit(w) for w in SERVICE_WORDS))
+    bits = F.create_map(*(F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for i, w in enumerate(SERVICE_WORDS) for x in (w, 1 << i)))
     return signals.where("site is not null").groupBy("site").agg(
         F.count("*").alias("n_pages"),
         *(of_home(c) for c in (
@@ -74,8 +76,9 @@ def site_rollup(signals: DataFrame) -> DataFrame:
         F.bool_or(F.col("page_type") == "contact").alias("has_contact_page"),
         F.max("cta_count").alias("cta_count"),
         F.array_distinct(F.flatten(F.collect_set("social_platforms"))).alias("social_platforms"),
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set("services")))), 1, 25).alias("services"),
-    )
+        # a bit for each word that there is: 8 bytes, however many pages a site has
+        F.bit_or(F.aggregate("services", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.coalesce(F.element_at(bits, w), F.lit(0).cast("long"))))).alias("services"),
+    ).withColumn("services", F.slice(F.filter(words, lambda w: F.element_at(bits, w).bitwiseAND(F.col("services")) != 0), 1, 25))
 
 
 def issue_codes(columns: list[str], as_of_year: int) -> Column:

@@ -321,9 +321,8 @@ def summary(spark, sf):
     return _issues(spark, sf).select("site", sites.summary(F.col("issue_codes"), F.col("n_pages"), F.lit(None).cast("int")).alias("summary"))
 
 
-#: Some pages are cut to a shell: what stands before their first text, with an app root and a script or without.
-SHELL = """CASE page_id % 4 WHEN 0 THEN concat('<html><div id="app"></div><script src=a.js></script><h1>', substr(url, 1, 20), '</h1>') WHEN 1 THEN concat('<html><script src=a.js></script><p>', url, '</p>')
-  WHEN 2 THEN concat('<html><div id="app"></div><p>', url, '</p>') ELSE concat('<div id="app"></div><script src="b.js"></script>', html) END"""
+#: Whole pages; those of two in three are shells, whose own text is behind a script, with an app root or without.
+SHELL = """CASE page_id % 3 WHEN 0 THEN concat('<div id="app"></div><script src="b.js"></script><script>', html, '</script>') WHEN 1 THEN concat('<script src=a.js></script><style>', html, '</style><p>', url, '</p>') ELSE concat('<div id="app"></div><script src="b.js"></script>', html) END"""
 
 
 @query(
@@ -334,8 +333,8 @@ SHELL = """CASE page_id % 4 WHEN 0 THEN concat('<html><div id="app"></div><scrip
 )
 def shells(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.expr(SHELL).alias("html"))
-    parted = rows.select("page_id", html.page_parts(F.col("html")).alias("parts"))
-    named = html.page_signals(F.col("parts"))
+    parted = html.with_parts(rows)
+    named = html.page_signals()
     wanted = ("text", "script_count", "has_app_root", "heading_levels")
     return parted.select("page_id", *(named[n].alias(n) for n in wanted)).select("page_id", html.needs_rendering().alias("shell"))
 

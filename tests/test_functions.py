@@ -16,7 +16,7 @@ def of(spark):
 
 @pytest.mark.parametrize(
     "value,want",
-    [("Clínica Dental Málaga S.L.", "clinica dental malaga"), ("Hotel Puerto, S.A.", "hotel puerto"), ("Grupo Sala", "grupo sala"),
+    [("Óptica Ñandú del Río S.L.", "optica nandu del rio"), ("Fonda Roble, S.A.", "fonda roble"), ("Tejidos Alba", "tejidos alba"),
      (None, ""), ("X Sociedad Limitada", "x"), ("S.L.", "s l")],
 )
 def test_names(of, value, want):
@@ -39,8 +39,8 @@ def test_trigram_similarity(spark):
 
 @pytest.mark.parametrize(
     "value,want",
-    [("952 12 34 56", "+34952123456"), ("+34 952123456", "+34952123456"), ("0034952123456", "+34952123456"), ("34952123456", "+34952123456"),
-     ("+44 952123456", None), ("123", None), ("152123456", None), (None, None)],
+    [("95 140 77 12", "+34951407712"), ("+34 951407712", "+34951407712"), ("0034951407712", "+34951407712"), ("34951407712", "+34951407712"),
+     ("+44 951407712", None), ("123", None), ("151407712", None), (None, None)],
 )
 def test_phone(of, value, want):
     got = of(contact.phone, value)
@@ -49,15 +49,15 @@ def test_phone(of, value, want):
 
 @pytest.mark.parametrize(
     "value,want",
-    [("http://www.example.com/page/?utm_source=x&id=3#top", "https://example.com/page?id=3"), ("example.com", "https://example.com/"),
-     ("nodot", None), ("", None), (None, None), ("https://A.example.co.uk:8080//", "https://a.example.co.uk:8080/")],
+    [("http://www.roble.test/carta/vinos/?fbclid=z&mesa=7#tinto", "https://roble.test/carta/vinos?mesa=7"), ("alba.test", "https://alba.test/"),
+     ("nodot", None), ("", None), (None, None), ("https://T.alba.co.uk:8080//", "https://t.alba.co.uk:8080/")],
 )
 def test_canonical(of, value, want):
     assert of(contact.canonical_url, value) == want
 
 
 def test_hosts(of):
-    assert of(contact.domain, "http://a.b.example.com.es/x") == "example.com.es"
+    assert of(contact.domain, "http://a.b.alba.com.es/x") == "alba.com.es"
     assert of(contact.is_non_official, "m.facebook.com/x") and not of(contact.is_non_official, None)
     assert of(contact.is_free_builder, "x.wixsite.com") and not of(contact.is_free_builder, "x.blogspot.com")
     assert of(lambda c: contact.is_free_builder(c, anchored=False), "x.blogspot.com")
@@ -100,28 +100,43 @@ def test_unknown_scope():
         geo.scope_of("atlantis")
 
 
-MODERN = """<!doctype html><html lang="es"><head><title>Clinica Dental Centro</title><meta name=viewport content='width=device-width'>
-<meta content="Dentistas" name="description"><link rel='canonical' href=https://x.es/></head><body><h1>Uno</h1><h2>Dos</h2>
-<img src="/a.jpg" alt="a"><img src=b.png alt=''><a href="tel:+34952">Llamar</a><a href='mailto:a@x.es'>m</a><a href="https://wa.me/34">w</a>
-<a href="/reserva">Reservar cita</a><a href="https://facebook.com/x">f</a><form><input type="email"></form><script src="https://www.googletagmanager.com/x"></script>
-<p>&copy; 2026 implantes &amp; ortodoncia &#39;hoy&#39; &#65;</p></body></html>"""
-DATED = """<html><body><center><font size=1><table width="980"><tr><td><marquee>Hola</marquee></td></tr></table></font></center><h1>a</h1><h3>b</h3>
-<img src=1.gif><img src=2.gif><img src=3.gif><img src=4.gif> Copyright 2011</body></html>"""
+TIDY = """<!doctype html><HTML lang='ca'><head><title> Fonda &amp; Roble </title><meta content=width=device-width name="viewport">
+<meta name='description' content="Cuina de mercat"><link href="https://roble.test/ca" rel=canonical></head><body><h1>Benvinguts</h1><h2>Carta</h2><h2>Vins</h2>
+<img alt="sala" src=sala.webp><img src='cuina.webp'><img src=pati.webp alt="pati"><a href='tel:+34951407712'>Truca</a><a href=mailto:taula@roble.test>correu</a>
+<a href="https://api.whatsapp.com/send?phone=34951407712">xat</a><a href=/reservas>Pedir cita</a><a href="https://www.instagram.com/roble">fotos</a>
+<form action=/x><textarea name=t></textarea></form><script src='https://www.google-analytics.com/ga.js'></script><footer>Copyright 2025 catering i banquete &#8211; &#39;nit&#39;</footer></body></HTML>"""
+OLD = """<html><body bgcolor=white><blink>Oferta</blink><center><font color=red>Tejidos</font></center><table width=960><tr><td>x</td></tr></table><h2>Telas</h2><h4>Lino</h4>
+<img src=a.gif alt="tela"><img src=b.gif><p>&copy; 2009</p></body></html>"""
 
 
 def test_html(spark):
-    df = spark.createDataFrame([(1, MODERN), (2, DATED), (3, None)], "id int, html string")
-    parted = df.select("id", html.page_parts(F.col("html")).alias("parts"))
-    rows = {r.id: r for r in parted.select("id", *(c.alias(n) for n, c in html.page_signals(F.col("parts")).items())).collect()}
+    df = spark.createDataFrame([(1, TIDY), (2, OLD), (3, None)], "id int, html string")
+    rows = {r.id: r for r in html.with_parts(df).select("id", *(c.alias(n) for n, c in html.page_signals().items())).collect()}
     m, d, n = rows[1], rows[2], rows[3]
-    assert m.title == "Clinica Dental Centro" and m.meta_description == "Dentistas" and m.has_viewport and m.lang == "es" and m.canonical == "https://x.es/"
-    assert (m.image_count, m.images_with_alt, m.h1_count, m.heading_levels) == (2, 1, 1, [1, 2])
-    assert m.has_tel and m.has_mailto and m.has_whatsapp and m.has_booking and m.has_contact_form and m.has_analytics and m.social_platforms == ["facebook"]
-    assert m.copyright_year == 2026 and m.cta_count == 2 and not m.uses_legacy and "implantes & ortodoncia 'hoy' A" in m.text
-    assert d.uses_legacy and d.uses_fixed_width and d.copyright_year == 2011 and d.heading_levels == [1, 3] and not d.has_viewport and d.title is None
+    assert m.title == "Fonda & Roble" and m.meta_description == "Cuina de mercat" and m.has_viewport and m.lang == "ca" and m.canonical == "https://roble.test/ca"
+    assert (m.image_count, m.images_with_alt, m.h1_count, m.heading_levels) == (3, 2, 1, [1, 2, 2])
+    assert m.has_tel and m.has_mailto and m.has_whatsapp and m.has_booking and m.has_contact_form and m.has_analytics and m.social_platforms == ["instagram"]
+    assert m.copyright_year == 2025 and not m.uses_legacy and "catering i banquete \u2013 'nit'" in m.text
+    assert d.uses_legacy and d.uses_fixed_width and d.copyright_year == 2009 and d.heading_levels == [2, 4] and not d.has_viewport and d.title is None
+    assert (d.image_count, d.images_with_alt, d.h1_count) == (2, 1, 0)
     assert n.text == "" and n.image_count == 0
 
 
+def test_families_that_nobody_asks_for_are_not_read(spark):
+    """A signal of headings reads headings alone: no other family's pattern is in the plan."""
+    df = spark.createDataFrame([(1, TIDY)], "id int, html string")
+    plan = html.with_parts(df).select(html.page_signals()["h1_count"].alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "<h([1-6])" in plan and not any(tag in plan for tag in ("<meta", "<img", "<form", "<button", "<script", "<style"))
+
+
+def test_decimal_entities(spark, of):
+    said = of(html.decode_entities, "a &#300; &#8217;x&#128512;&#0;&#55357;&#1114112;&#00000000065;&#99999999999999999999; &#7; &#x41; &#39; &amp;#66;")
+    assert said == "a \u012c \u2019x\U0001f600\ufffd\ufffd\ufffdA\ufffd \x07 &#x41; ' B"
+    points = spark.range(1, 0x110000, 1, 4).where("id NOT BETWEEN 55296 AND 57343").select("id", html.decode_entities(F.concat(F.lit("&#"), F.col("id").cast("string"), F.lit(";"))).alias("c"))
+    plain = points.select(F.col("id"), F.hex(F.encode("c", "UTF-32")).alias("h"))
+    assert plain.where(F.conv("h", 16, 10).cast("long") != F.col("id")).count() == 0  # every code point there is
+
+
 @pytest.mark.parametrize("tag,want", [('<a href="x y">', "x y"), ("<a href='x'>", "x"), ("<a href=x>", "x"), ('<a data-href="no" href = "yes">', "yes"), ("<a data-href=no>", None)])
 def test_attribute(of, tag, want):
     assert of(lambda c: html.attribute(c, "href"), tag) == want
