@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.functions import contact, geo, hashing, numbers, text
-from tamarack.operators import resolve
+from tamarack.operators import dictionary, resolve
 from tamarack.operators.storage import written
 from tamarack.plans.registry import query, table
 
@@ -97,6 +97,24 @@ def c5(spark, sf):
     )
 
 
+BENCH_WORDS = r"(SELECT DISTINCT unnest(string_split({0}, ' ')) AS term FROM benchmark)".format(NORM.format("text"))
+
+
+@query(
+    "H1_D2_dictionary",
+    f"""WITH terms AS (SELECT term FROM {BENCH_WORDS} WHERE length(term) > 3),
+    words AS (SELECT doc_id, unnest(string_split({NORM.format('text')}, ' ')) AS term FROM documents)
+    SELECT d.doc_id, arg_min(w.term, (-length(w.term), w.term)) AS term FROM documents d LEFT JOIN (SELECT words.doc_id, term FROM words JOIN terms USING (term)) w ON w.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
+def many_terms(spark, sf):
+    """The longest of all words of the benchmark that each document holds."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(text.normalize_text(F.col("text")), " ")).alias("term")).where(F.length("term") > 3).distinct()
+    # the order of terms is by what they are: their first letters as a number
+    terms = words.select(F.conv(F.substring(F.rpad(F.hex("term"), 32, "0"), 1, 15), 16, 10).cast("long").alias("place"), "term", F.lit(None).cast("string").alias("category"))
+    docs = table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return dictionary.longest_matches(docs, ["text"], terms).select("doc_id", F.get("matches", F.lit(0))["term"].alias("term"))
+
+
 PHONE = """CASE c_custkey % 6 WHEN 0 THEN '+34 ' || n WHEN 1 THEN '0034-' || n WHEN 2 THEN '34' || n WHEN 3 THEN n
            WHEN 4 THEN '+44 ' || n ELSE '(' || substr(n, 1, 3) || ') ' || substr(n, 4) END"""
 NUMBER = "CAST(600000000 + (c_custkey * 7919000 + 123457) % 400000000 AS VARCHAR(12))"

@@ -9,7 +9,7 @@ from tamarack.operators import classify, postings, relational, resolve, scoring,
 from tamarack.operators.storage import new_path
 from tamarack.plans.fields import GRAMS_SQL, NORM, TOKENS_SQL
 from tamarack.plans.registry import query, table
-from tamarack.sources import listings, sinks
+from tamarack.sources import listings, sinks, splittable
 from tamarack.sources.snapshots import Keyed, Snapshots
 
 AT = "timestamp '2024-02-01 00:00:00'"
@@ -468,6 +468,32 @@ def json_source(spark, sf):
     return listings.map_fields(listings.read_json(spark, path, ["id", "nombre", "resenas"], lines=True), "manual", 0.9, F.expr(AT)).select("source_id", "name", "review_count", "confidence")
 
 
+BROKEN_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS id, 'A \"' || c_name || '\";' || chr(10) || c_mktsegment || chr(10) AS nombre, CAST(c_custkey % 700 AS VARCHAR) AS resenas FROM customer"
+
+
+def _broken(spark, sf):
+    """Rows whose names hold quotes, separators and line breaks."""
+    return table(spark, sf, "customer").selectExpr("cast(c_custkey as string) AS id", "concat('A \"', c_name, '\";\n', c_mktsegment, '\n') AS nombre", "cast(c_custkey % 700 as string) AS resenas")
+
+
+@query("A1_splittable_csv", f"SELECT id, trim(nombre, ' ' || chr(10)) AS nombre, resenas FROM ({BROKEN_SQL})")
+def csv_by_blocks(spark, sf):
+    """One file, read by blocks."""
+    path = new_path(spark, "listing-csv")
+    _broken(spark, sf).coalesce(1).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return splittable.read_csv(spark, path, ";").withColumn("nombre", F.expr("trim(BOTH ' \n' FROM nombre)"))
+
+
+@query("A2_splittable_json", BROKEN_SQL)
+def json_by_blocks(spark, sf):
+    """One array in one file, an object to some lines, read by blocks."""
+    path = new_path(spark, "listing-json")
+    rows = _broken(spark, sf).select(F.concat(F.to_json(F.struct("id", "nombre")).substr(F.lit(1), F.length(F.to_json(F.struct("id", "nombre"))) - 1), F.lit(',\n"resenas": "'), "resenas", F.lit('"},')).alias("value"))
+    ends = lambda text: spark.createDataFrame([(text,)], "value string")
+    ends("[").unionByName(rows).unionByName(ends('{"id": null}\n]')).coalesce(1).write.text(path)
+    return splittable.read_json_array(spark, path, ["id", "nombre", "resenas"]).where("id IS NOT NULL")
+
+
 @query("B4_B5_timeline", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def timeline(spark, sf):
     path = new_path(spark, "timeline")
