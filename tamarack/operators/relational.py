@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,27 @@ def with_children(parent: DataFrame, key: str, *children: DataFrame) -> DataFram
     return parent
 
 
-def entity_view(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Each parent row with a sorted array of structs of each child."""
+def entity_view(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str]]], most: int = 100) -> DataFrame:
+    """Each parent row with a sorted array of the first ``most`` structs of each child, and how many there are (``n_`` and
+    the child's name). What an array leaves out is in :func:`entity_rows`.
+
+    A task keeps ``most`` rows of a key before the shuffle, so that a key with very many children is no unbounded group.
+    """
     for name, (child, columns) in children.items():
-        rolled = child.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-        parent = parent.join(rolled, key, "left").withColumn(name, F.coalesce(name, F.array()))
+        w = Window.partitionBy(key).orderBy(*columns)
+        first = child.select(key, *columns).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most)
+        rolled = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+        counted = child.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+        parent = with_children(parent, key, rolled, counted).withColumns({name: F.coalesce(name, F.array()), f"n_{name}": F.coalesce(f"n_{name}", F.lit(0))})
     return parent
 
 
+def entity_rows(key: str, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """The children of all entities, whole, in long form: key, child, row (as JSON)."""
+    parts = [child.select(key, F.lit(name).alias("child"), F.to_json(F.struct(*columns)).alias("row")) for name, (child, columns) in children.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stale(entities: DataFrame, audits: DataFrame, key: str, at: str, as_of: Column, days: int | None) -> DataFrame:
     """Entities without an audit in the last ``days`` before ``as_of``; all of them if days is None."""
     if days is None:

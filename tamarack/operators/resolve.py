@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.contact import domain, email, is_non_official, phone
@@ -57,40 +59,76 @@ def trigram_pairs(left: DataFrame, right: DataFrame, block: str, threshold: floa
     )
 
 
+def _candidates(records: DataFrame, entities: DataFrame, near: DataFrame | None, *keys: str) -> DataFrame:
+    """For each key and name of ``records`` the names of ``entities`` with that key: keys, r_name, e_name, entity_id (the least
+    that has it), similarity. A number or a street that very many share is a row to each two different names."""
+    present = " and ".join(f"{k} <> ''" for k in keys)
+    r = records.where(present).select(*keys, F.col("name_key").alias("r_name")).distinct()
+    e = entities.where(present).groupBy(*keys, F.col("name_key").alias("e_name")).agg(F.min("id").alias("entity_id"))
+    met = r.join(e, list(keys)) if near is None else near.join(e, [*keys, "e_name"])
+    return met.withColumn("similarity", name_similarity(F.col("r_name"), F.col("e_name")))
+
+
+def _near_names(records: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(key, r_name, e_name) of names of one key whose trigrams overlap by more than 0.5."""
+    side = lambda df: df.where(f"{key} <> ''").groupBy(key, "name_key").agg(F.min("id").alias("id"))
+    a, b = side(records), side(entities)
+    name = lambda df, i, n: df.select(F.col("id").alias(i), F.col("name_key").alias(n))
+    # an id has one name in a key, so that it stands for both
+    met = trigram_pairs(a, b, key).join(a.select(F.col("id").alias("l_id"), key, F.col("name_key").alias("r_name")), "l_id")
+    return met.join(name(b, "r_id", "e_name"), "r_id").select(key, "r_name", "e_name")
+
+
 def decisions(records: DataFrame, entities: DataFrame) -> DataFrame:
-    """The first rule that decides for each record: id, entity_id, rule, action (merge or ambiguous), confidence.
+    """The first rule that decides for each record: id, entity_id, rule, action (merge or ambiguous), confidence, similarity.
 
     1 domain, 2 phone, 3 postal code and street, 4 fuzzy name within the postal code. A record that a
     rule finds ambiguous is decided: later rules aren't asked. Records that no rule decides are absent.
-    Both inputs come from with_keys; ties go to the least entity id.
+    Both inputs come from with_keys; ties go to the least entity id. Records of one key and name are decided alike, once.
+    """
+    strong, certain = F.col("similarity") >= STRONG, F.col("similarity") >= VERY_STRONG
+    order = F.struct((F.col("action") != "merge").alias("a"), (-F.col("similarity")).alias("s"), "entity_id")
+
+    def decided(pairs: DataFrame, rule: int, action: Column, confidence: Column, *keys: str) -> DataFrame:
+        """The best entity for each key and name, given to the records that have them."""
+        told = pairs.withColumns({"action": action, "confidence": confidence})
+        best = told.groupBy(*keys, "r_name").agg(F.min_by(F.struct("entity_id", "action", "confidence", "similarity"), order).alias("x"))
+        own = records.select("id", *keys, F.col("name_key").alias("r_name")).join(best, [*keys, "r_name"])
+        return own.select("id", F.lit(rule).alias("rule"), "x.*")
+
+    sizes = entities.where("domain <> ''").groupBy("domain").agg(F.count("*").alias("n"))
+    one = F.col("n") == 1
+    same_site = _candidates(records, entities, None, "domain").join(sizes, "domain").where(one | strong)
+    merge = F.lit("merge")
+    every = [
+        decided(same_site, 1, merge, F.when(one, 0.98).otherwise(0.90), "domain"),
+        decided(_candidates(records, entities, None, "phone_key"), 2, F.when(strong, "merge").otherwise("ambiguous"), F.when(strong, 0.94).otherwise(0.5), "phone_key"),
+        decided(_candidates(records, entities, None, "postal_code", "street").where(F.col("similarity") >= WEAK), 3, F.when(strong, "merge").otherwise("ambiguous"), F.when(strong, 0.90).otherwise(0.55), "postal_code", "street"),
+        decided(_candidates(records, entities, _near_names(records, entities, "postal_code"), "postal_code").where(strong), 4, F.when(certain, "merge").otherwise("ambiguous"), F.when(certain, 0.72).otherwise(0.5), "postal_code"),
+    ]
+    first = F.struct("rule", order.alias("o"))
+    return reduce(DataFrame.unionByName, every).groupBy("id").agg(F.min_by(F.struct("entity_id", "rule", "action", "confidence", "similarity"), first).alias("x")).select("id", "x.*")
+
+
+#: Why a pair is not merged by itself, by rule.
+REVIEW_REASONS = {2: "one phone number, names differ", 3: "one street, names differ somewhat", 4: "one postal code, names nearly alike"}
+
+
+def review_table(decided: DataFrame) -> DataFrame:
+    """Ambiguous records for a person to look at: id, entity_id, rule, confidence, similarity, reason."""
+    reason = F.create_map(*(F.lit(x) for r in REVIEW_REASONS.items() for x in r))
+    open_ = decided.where("action = 'ambiguous'")
+    return open_.select("id", "entity_id", "rule", "confidence", "similarity", F.element_at(reason, F.col("rule")).alias("reason"))
+
+
+def carried_duplicates(reviewed: DataFrame, merged: DataFrame) -> DataFrame:
+    """(id, duplicate_of): what a review confirmed, along the chains of later merges.
+
+    reviewed: (id, entity_id) pairs found to be one; merged: (id, component) of records that rules merged. All that hang
+    together are one; its least id stays, the others are its duplicates.
     """
-    r = records.select(F.col("id"), *(F.col(k).alias(f"r_{k}") for k in KEYS))
-    e = entities.select(F.col("id").alias("entity_id"), *(F.col(k).alias(f"e_{k}") for k in KEYS))
-    sim = name_similarity(F.col("r_name_key"), F.col("e_name_key"))
-    cols = ("id", "entity_id", "rule", "action", "confidence", "similarity")
-    verdict = lambda rule, action, conf: (F.lit(rule).alias("rule"), action.alias("action"), conf.alias("confidence"))
-
-    d = r.join(e, F.col("r_domain") == F.col("e_domain")).withColumn("similarity", sim)
-    hits = d.groupBy("id").agg(F.count("*").alias("n"))  # counted apart, so that a block isn't held by one task
-    d = d.join(hits, "id").where((F.col("n") == 1) | (F.col("similarity") >= STRONG))
-    rule1 = d.select("id", "entity_id", *verdict(1, F.lit("merge"), F.when(F.col("n") == 1, 0.98).otherwise(0.90)), "similarity")
-
-    p = r.join(e, F.col("r_phone_key") == F.col("e_phone_key")).withColumn("similarity", sim)
-    strong = F.col("similarity") >= STRONG
-    rule2 = p.select("id", "entity_id", *verdict(2, F.when(strong, "merge").otherwise("ambiguous"), F.when(strong, 0.94).otherwise(0.5)), "similarity")
-
-    s = r.where("r_street <> ''").join(e, (F.col("r_postal_code") == F.col("e_postal_code")) & (F.col("r_street") == F.col("e_street")))
-    s = s.withColumn("similarity", sim).where(F.col("similarity") >= WEAK)
-    rule3 = s.select("id", "entity_id", *verdict(3, F.when(strong, "merge").otherwise("ambiguous"), F.when(strong, 0.90).otherwise(0.55)), "similarity")
-
-    near = trigram_pairs(records, entities, "postal_code").select(F.col("l_id").alias("id"), F.col("r_id").alias("entity_id"))
-    f = near.join(r, "id").join(e, "entity_id").withColumn("similarity", sim).where(F.col("similarity") >= STRONG)
-    certain = F.col("similarity") >= VERY_STRONG
-    rule4 = f.select("id", "entity_id", *verdict(4, F.when(certain, "merge").otherwise("ambiguous"), F.when(certain, 0.72).otherwise(0.5)), "similarity")
-
-    every = rule1.select(*cols).unionByName(rule2.select(*cols)).unionByName(rule3.select(*cols)).unionByName(rule4.select(*cols))
-    first = F.struct("rule", (F.col("action") != "merge").alias("k"), (-F.col("similarity")).alias("s"), "entity_id")
-    return every.groupBy("id").agg(F.min_by(F.struct("entity_id", "rule", "action", "confidence", "similarity"), first).alias("x")).select("id", "x.*")
+    links = reviewed.select(F.col("id").alias("src"), F.col("entity_id").alias("dst")).unionByName(merged.select(F.col("id").alias("src"), F.col("component").alias("dst")))
+    return connected_components(links).where("node <> component").select(F.col("node").alias("id"), F.col("component").alias("duplicate_of"))
 
 
 def merge_edges(records: DataFrame) -> DataFrame:

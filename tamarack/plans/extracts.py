@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.functions import geo
-from tamarack.operators import relational, resolve, search
-from tamarack.operators.storage import new_path
-from tamarack.plans.records import AT, NAME, _facts, _keyed, _keyed_sql, _mapped
+from tamarack.operators import relational, resolve, scoring, search
+from tamarack.operators.storage import new_path, written
+from tamarack.plans.records import AT, NAME, SCORES_SQL, _facts, _keyed, _keyed_sql, _mapped
 from tamarack.plans.registry import SQL, query, table
 from tamarack.sources import listings, sinks
 from tamarack.streaming import jobs
@@ -177,6 +177,35 @@ def outcomes(spark, sf):
     return resolve.outcome_report(checked, decided)
 
 
+REVIEW_SQL = "CASE rule WHEN 2 THEN 'one phone number, names differ' WHEN 3 THEN 'one street, names differ somewhat' ELSE 'one postal code, names nearly alike' END"
+
+
+@query("G5_review_table", f"SELECT id, entity_id, rule, confidence, {REVIEW_SQL} AS reason FROM ({DECIDED_SQL}) WHERE action = 'ambiguous'")
+def review(spark, sf):
+    """Ambiguous records, written once and read back."""
+    decided = resolve.decisions(_keyed(spark, sf, "record"), _keyed(spark, sf, "entity"))
+    return written(resolve.review_table(decided), "review").select("id", "entity_id", "rule", "confidence", "reason")
+
+
+@query(
+    "E4_G5_duplicates",
+    f"""WITH {SCORES_SQL}, decided AS ({DECIDED_SQL}),
+    same AS (SELECT id, entity_id FROM decided WHERE action = 'merge' OR rule = 3 OR id % 2 = 0),
+    dup AS (SELECT id, min(id) OVER (PARTITION BY entity_id) AS first FROM same)
+    SELECT g.id, array_to_string(CASE WHEN dup.id <> dup.first THEN ['duplicate'] ELSE [] END || failed_tests, '|') AS failed, CASE WHEN dup.id <> dup.first THEN dup.first END AS duplicate_of FROM g LEFT JOIN dup ON dup.id = g.id""",
+)
+def duplicates(spark, sf):
+    """Pairs that a review confirmed (all of rule 3, the others of even ids), carried along merges to the gate of scores."""
+    decided = written(resolve.decisions(_keyed(spark, sf, "record"), _keyed(spark, sf, "entity")), "decided")
+    # records and entities are one set of ids: entities behind all records
+    behind = F.col("entity_id") + (1 << 40)
+    confirmed = resolve.review_table(decided).where("rule = 3 OR id % 2 = 0").select("id", behind.alias("entity_id"))
+    merged = decided.where("action = 'merge'").select("id", behind.alias("component"))
+    known = resolve.carried_duplicates(confirmed, merged)
+    facts = _facts(spark, sf).drop("is_duplicate").join(known, "id", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
+    return scoring.score_entities(facts).select("id", F.concat_ws("|", "failed").alias("failed"), "duplicate_of")
+
+
 @query(
     "B3_export_file",
     rf"""WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '=' WHEN 1 THEN '@x, ' WHEN 2 THEN '"q" ' ELSE '' END || c_name AS name, c_mktsegment AS category, c_acctbal AS score FROM customer),

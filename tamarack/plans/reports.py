@@ -67,21 +67,37 @@ def stale(spark, sf):
     return relational.without_open_work(old, jobs_, "c_custkey")
 
 
+def _child_sql(name: str, item: str, order: str, rows: str, key: str) -> str:
+    """An array of the first 5 as text, and the count."""
+    ranked = f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS pos FROM {rows})"
+    return f"coalesce((SELECT string_agg({item}, ',' ORDER BY {order}) FROM {ranked} x WHERE pos <= 5 AND x.{key} = c_custkey), '') AS {name}, (SELECT count(*) FROM {rows} x WHERE x.{key} = c_custkey) AS n_{name}"
+
+
+LINES = "(SELECT o_custkey, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')"
+SOURCES = "(SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+FINDINGS = "(SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)"
+
+
 @query(
     "F13_entity_view",
-    """SELECT c_custkey, coalesce((SELECT string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') AS orders,
-      coalesce((SELECT string_agg(s_suppkey, ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey), '') AS suppliers FROM customer""",
+    "SELECT c_custkey, " + ", ".join((
+        _child_sql("orders", "o_orderkey || ':' || o_orderstatus", "o_orderkey", "orders", "o_custkey"), _child_sql("returns", "l_orderkey || ':' || l_linenumber", "l_orderkey, l_linenumber", LINES, "o_custkey"),
+        _child_sql("suppliers", "l_suppkey", "l_suppkey", SOURCES, "o_custkey"), _child_sql("events", "event_id || ':' || event_type", "event_id", "events", "user_id"),
+        _child_sql("priorities", "o_orderpriority || ':' || n", "o_orderpriority", FINDINGS, "o_custkey"),
+    )) + " FROM customer",
 )
 def view(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    o = table(spark, sf, "orders").withColumn("c_custkey", F.col("o_custkey"))
-    v = relational.entity_view(c, "c_custkey", {"orders": (o, ["o_orderkey", "o_orderstatus"])})
-    s = table(spark, sf, "supplier").withColumn("c_nationkey", F.col("s_nationkey"))
-    v = relational.entity_view(v, "c_nationkey", {"suppliers": (s, ["s_suppkey"])})
-    return v.select(
-        "c_custkey", F.concat_ws(",", F.transform("orders", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"]))).alias("orders"),
-        F.concat_ws(",", F.transform("suppliers", lambda x: x["s_suppkey"].cast("string"))).alias("suppliers"),
-    )
+    """Five children of every customer: the first five of each and how many there are."""
+    key = lambda df, c: df.withColumn("c_custkey", F.col(c))
+    o = key(table(spark, sf, "orders"), "o_custkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "c_custkey"), "l_orderkey")
+    children = {
+        "orders": (o, ["o_orderkey", "o_orderstatus"]), "returns": (lines.where("l_returnflag = 'R'"), ["l_orderkey", "l_linenumber"]), "suppliers": (lines.select("c_custkey", "l_suppkey").distinct(), ["l_suppkey"]),
+        "events": (key(table(spark, sf, "events"), "user_id"), ["event_id", "event_type"]), "priorities": (o.groupBy("c_custkey", "o_orderpriority").agg(F.count("*").alias("n")), ["o_orderpriority", "n"]),
+    }
+    v = relational.entity_view(table(spark, sf, "customer").select("c_custkey"), "c_custkey", children, most=5)
+    said = lambda name, columns: F.concat_ws(",", F.transform(name, lambda x: F.concat_ws(":", *(x[c].cast("string") for c in columns)))).alias(name)
+    return v.select("c_custkey", *(x for name, (_, columns) in children.items() for x in (said(name, columns), F.col(f"n_{name}"))))
 
 
 PRICES = {"user": (0.5, 1.5), "assistant": (3.0, 15.0)}

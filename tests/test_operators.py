@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import geo, html, text
-from tamarack.operators import components, resolve, search, sites
+from tamarack.operators import components, relational, resolve, search, sites
 from tamarack.operators.components import connected_components
 from tamarack.sources import listings, sinks
 from tamarack.streaming import jobs
@@ -106,6 +106,48 @@ def test_rules(spark, row, action, rule):
     assert [(r.action, r.rule, r.entity_id) for r in got] == ([(action, rule, "e")] if action else [])
 
 
+def test_decisions_with_one_key_on_half_of_the_rows(spark):
+    """A call centre's number and a shared site: names decide alike for all who have them, as all pairs would."""
+    rng = random.Random(6)
+    names = ["Clinica Sol", "Clinica Sool", "Bar Luna", "Bar Luna 2", "Taller Ruiz", "Bufete Gomez", "Dental Sol Clinica"]
+    make = lambda p, n: [
+        (f"{p}{i:04d}", rng.choice(names), "https://shared.es" if rng.random() < 0.5 else rng.choice([None, f"https://w{i % 90}.es"]), "952111222" if rng.random() < 0.5 else None, f"Calle Mayor {i % 3}", rng.choice(["29005", "29006", None])) for i in range(n)
+    ]
+    records, entities = business(spark, make("r", 300)), business(spark, make("e", 120))
+    got = {r.id: (r.entity_id, r.rule, r.action) for r in resolve.decisions(records, entities).collect()}
+    e = entities.select(*(F.col(c).alias(f"e_{c}") for c in entities.columns))
+    sim = text.name_similarity(F.col("name_key"), F.col("e_name_key"))
+    pairs = records.join(e, on=F.lit(True)).withColumns({"s": sim, "t": text.trigram_similarity(F.col("name_key"), F.col("e_name_key"))}).select(
+        "id", "e_id", "s", "t", *((F.col(c) == F.col(f"e_{c}")).alias(c) for c in ("domain", "phone_key", "postal_code", "street"))
+    ).collect()
+    want = {}
+    same_site = {}
+    for p in pairs:
+        same_site[p.id] = same_site.get(p.id, 0) + bool(p.domain)
+    for p in pairs:
+        options = []
+        if p.domain and (same_site[p.id] == 1 or p.s >= 0.82):
+            options.append((1, False))
+        if p.phone_key:
+            options.append((2, p.s < 0.82))
+        if p.postal_code and p.street and p.s >= 0.62:
+            options.append((3, p.s < 0.82))
+        if p.postal_code and p.t > 0.5 and p.s >= 0.82:
+            options.append((4, p.s < 0.93))
+        for rule, ambiguous in options:
+            want[p.id] = min(want.get(p.id, (9,)), (rule, ambiguous, -p.s, p.e_id))
+    assert got == {i: (w[3], w[0], "ambiguous" if w[1] else "merge") for i, w in want.items()}
+    assert len(got) > 200
+
+
+def test_entity_view_keeps_the_first_and_counts_all(spark):
+    parent = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    child = spark.range(1_000).selectExpr("1L AS k", "id AS v").unionByName(spark.createDataFrame([(2, 7)], "k long, v long"))
+    got = {r.k: ([x.v for x in r.c], r.n_c) for r in relational.entity_view(parent, "k", {"c": (child, ["v"])}, most=3).collect()}
+    assert got == {1: ([0, 1, 2], 1_000), 2: ([7], 1), 3: ([], 0)}
+    assert relational.entity_rows("k", {"c": (child, ["v"]), "d": (child, ["v"])}).count() == 2_002
+
+
 def test_trigram_join_loses_no_pair(spark):
     rng = random.Random(9)
     names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))).strip() or "a" for _ in range(150)]
