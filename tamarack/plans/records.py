@@ -178,17 +178,20 @@ def outputs(spark, sf):
 
 @query(
     "E2_F9_suppression",
-    """SELECT c_custkey AS id FROM customer WHERE c_custkey % 97 <> 5 AND c_name <> 'Customer#000000003'""",
+    """SELECT c_custkey AS id FROM customer WHERE c_custkey % 97 <> 5 AND c_name <> 'Customer#000000003' AND NOT (c_custkey % 3 = 0 AND c_custkey % 89 = 1) AND NOT (c_custkey % 4 = 1 AND c_custkey % 83 = 2)""",
 )
 def suppression(spark, sf):
     c = table(spark, sf, "customer")
     records = c.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("http://www.shop"), F.col("c_custkey").cast("string"), F.lit(".es/x")).alias("website"),
-        F.lit(None).cast("string").alias("phone"), F.lit("none").alias("email"),
+        F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat('+34 6', lpad(cast(c_custkey as string), 8, '0')) END").alias("phone"),
+        F.expr("CASE WHEN c_custkey % 4 = 1 THEN concat('mailto:Info', c_custkey, '@Shop.es?subject=x') ELSE 'none' END").alias("email"),
     )
+    phones = c.where("c_custkey % 89 = 1").select(F.lit("phone").alias("kind"), F.concat(F.lit("+346"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("value"))
+    mails = c.where("c_custkey % 83 = 2").select(F.lit("email").alias("kind"), F.concat(F.lit("info"), F.col("c_custkey").cast("string"), F.lit("@shop.es")).alias("value"))
     entries = c.where("c_custkey % 97 = 5").select(F.lit("domain").alias("kind"), F.concat(F.lit("shop"), F.col("c_custkey").cast("string"), F.lit(".es")).alias("value"))
     named = spark.createDataFrame([("name", "customer 000000003"), ("business", "customer 000000004")], "kind string, value string")
-    return resolve.suppressed(records, entries.unionByName(named)).select("id")
+    return resolve.suppressed(records, entries.unionByName(named).unionByName(phones).unionByName(mails)).select("id")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tamarack.functions.contact import domain
 from tamarack.functions import html
 from tamarack.functions.html import page_type, strip_tags
 from tamarack.operators import outreach, scoring, sites
@@ -176,6 +177,30 @@ def issues(spark, sf):
     return _issues(spark, sf).select("site", "n_pages", F.concat_ws("|", "issue_codes").alias("codes"))
 
 
+REACH_SQL = "CASE page_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END"
+SPEED_SQL = "CASE page_id % 5 WHEN 0 THEN 1800 WHEN 1 THEN 1801 WHEN 2 THEN 3500 WHEN 3 THEN 3501 END"
+
+
+@query(
+    "I8_I13_reach_issues",
+    f"""WITH {_codes_sql()}, links AS (SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id, url) AS pos FROM st WHERE site <> ''),
+    broken AS (SELECT site, count(*) FILTER (WHERE page_id % 7 = 3) AS broken FROM links WHERE pos <= 10 GROUP BY site),
+    r AS (SELECT DISTINCT ON (f.site) f.site, {REACH_SQL} AS status, {SPEED_SQL} AS ms, broken FROM f JOIN broken USING (site))
+    SELECT site, broken, array_to_string(list_filter([CASE WHEN status >= 400 THEN 'http_error_status' END, CASE WHEN ms > 3500 THEN 'very_slow_response' END,
+      CASE WHEN ms > 1800 AND ms <= 3500 THEN 'slow_response' END, CASE WHEN broken > 0 THEN 'broken_links' END], lambda x: x IS NOT NULL), '|') AS codes FROM r""",
+)
+def reach_issues(spark, sf):
+    """Findings of how sites answer: status and speed of the home page, and the first ten pages of a site as links with a status."""
+    pages = _pages(spark, sf).withColumns({"http_status": F.expr(REACH_SQL), "response_time_ms": F.expr(SPEED_SQL)})
+    rolled = sites.site_rollup(sites.pages_with_signals(pages))
+    links = pages.select(domain(F.col("url")).alias("site"), "url", F.col("page_id").alias("pos")).where("site IS NOT NULL")
+    status = pages.select("url", F.expr("CASE WHEN page_id % 7 = 3 THEN 500 WHEN page_id % 7 = 4 THEN 405 ELSE 200 END").alias("status"))
+    broken = sites.broken_link_rate(links, status).select("site", F.col("broken").alias("broken_links"))
+    found = sites.site_issues(rolled.join(broken, "site", "left"), YEAR)
+    wanted = F.filter("issue_codes", lambda c: c.isin("http_error_status", "very_slow_response", "slow_response", "broken_links"))
+    return found.select("site", F.col("broken_links").alias("broken"), F.concat_ws("|", wanted).alias("codes"))
+
+
 SCORE_SQL = f"least(100.0, 8 + list_sum(list_transform(codes, lambda x: {WEIGHT_SQL}[x])))"
 
 
