@@ -71,6 +71,8 @@ MERGE_RULES = {
     "greatest": lambda c, seq: F.max(c),
     "least": lambda c, seq: F.min(c),
     "any": lambda c, seq: F.bool_or(c),
+    "sum": lambda c, seq: F.sum(c),
+    "sketch": lambda c, seq: F.hll_union_agg(c),
 }
 
 

@@ -32,9 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+_scopes: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/tamarack/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, or below that of the innermost :func:`scratch`."""
+    scopes = _scopes.get(spark.sparkContext.applicationId)
+    return f"{scopes[-1] if scopes else shared_dir(spark) + '/tamarack'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go when it ends: read or write results before that.
+
+    Results are lazy, so that operators can't tell when their tables aren't read any more; the caller can.
+    """
+    scopes = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    folder = f"{shared_dir(spark)}/tamarack/scratch-{uuid.uuid4().hex}"
+    scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        scopes.remove(folder)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Spark then removes the shuffle files of a query when it ends; what it wrote is all that is needed.
@@ -72,11 +97,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Remove a table made by :func:`written` that nothing reads any more."""
     path = getattr(df, "_tamarack_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
 
 
 def broadcast_if_small(table: DataFrame, most_rows: int, weight: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from tamarack.operators import cache, relational
 from tamarack.operators.storage import new_path
 from tamarack.plans import fields as text_sql
 from tamarack.plans.registry import query, table
+from tamarack.streaming import counters as counters_
 from tamarack.streaming import jobs, resolution
 
 AS_OF = "timestamp '1998-06-01 00:00:00'"
@@ -288,3 +289,30 @@ def incremental_resolution(spark, sf):
     stream = spark.readStream.schema(resolution.RECORD).option("maxFilesPerTrigger", 1).parquet(source)
     jobs.ingest(stream, resolver, new_path(spark, "resolver-cp")).awaitTermination()
     return resolver.entities().select("component", "n_records", "name")
+
+
+@query(
+    "J8_J9_O3_mergeable_counters",
+    """WITH w AS (SELECT 'week' AS span, DATE '2024-01-08' AS a, DATE '2024-01-14' AS b UNION ALL SELECT 'month', DATE '2024-01-01', DATE '2024-01-31')
+    SELECT span, event_type AS kind, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total, true AS near FROM w JOIN events ON CAST(ts AS DATE) BETWEEN a AND b GROUP BY 1, 2""",
+)
+def mergeable(spark, sf):
+    """Events in three micro-batches, of which any day has a part of each, merged by day and kind; two windows over the days.
+
+    ``near``: the distinct users of a window, from its days' sketches, lie within 8 % of the exact number.
+    """
+    source = new_path(spark, "events-in")
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value")
+    for i in (2, 0, 1):
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+    kept = counters_.Counters(spark, new_path(spark, "counters"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.ingest(stream, kept, new_path(spark, "counters-cp")).awaitTermination()
+    out = None
+    for span, first, last in (("week", "2024-01-08", "2024-01-14"), ("month", "2024-01-01", "2024-01-31")):
+        exact = events.where(F.to_date("ts").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).groupBy(F.col("event_type").alias("kind")).agg(F.count_distinct("user_id").alias("exact"))
+        found = counters_.over(kept.days(), first, last).join(exact, "kind").select(
+            F.lit(span).alias("span"), "kind", "n", (F.floor(F.col("total") * 100 + 0.5) / 100).alias("total"), (F.abs(F.col("distinct") - F.col("exact")) <= 0.08 * F.col("exact") + 1).alias("near")
+        )
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -62,6 +62,19 @@ def test_export(spark, tmp_path):
     assert body.count(b"\r\n") == 3
 
 
+def test_scratch_goes_with_what_was_written_in_it(spark):
+    from tamarack.operators.storage import new_path, scratch, written
+
+    with scratch(spark) as folder:
+        table = written(spark.range(3).toDF("k"), "t")
+        with scratch(spark) as inner:
+            assert new_path(spark, "x").startswith(inner)
+        assert table.count() == 3 and table._tamarack_path.startswith(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert not new_path(spark, "x").startswith(folder)
+
+
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr(components, "SMALL_EDGES", small)

@@ -173,3 +173,21 @@ def test_cross_edges_and_own_edges_are_all_edges(spark):
     new, old = keyed.where("id < 'r0500'"), keyed.where("id >= 'r0500'")
     parts = merge_edges(new).unionByName(merge_edges(old)).unionByName(cross_edges(new, old))
     assert rows(connected_components(parts)) == rows(connected_components(merge_edges(keyed)))
+
+
+def test_counters_merge_in_any_order(spark):
+    """Late rows update their day, a batch counts once, and windows come close to exact distinct numbers."""
+    from tamarack.streaming import counters
+
+    events = spark.range(6_000).selectExpr("id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 9 as int)) AS ts", "concat('k', id % 2) AS event_type", "(id * 7919) % 1500 AS user_id", "double(id % 5) AS value")
+    kept = counters.Counters(spark, new_path(spark, "counters"), buckets=4)
+    for batch_id, part in ((0, "id >= 4000"), (1, "id < 1000"), (1, "id < 1000"), (2, "id BETWEEN 1000 AND 3999")):
+        kept(events.where(part), batch_id)
+    plain = counters.daily(events)
+    assert rows(kept.days().select("day", "kind", "n", "total")) == rows(plain.select("day", "kind", "n", "total"))
+    sketch = F.hll_sketch_estimate("who").alias("d")
+    assert rows(kept.days().select("day", "kind", sketch)) == rows(plain.select("day", "kind", sketch))
+    for first, last in (("2024-01-02", "2024-01-04"), ("2023-01-01", "2025-01-01")):
+        exact = {r.event_type: r.d for r in events.where(f"to_date(ts) BETWEEN '{first}' AND '{last}'").groupBy("event_type").agg(F.count_distinct("user_id").alias("d")).collect()}
+        for r in counters.over(kept.days(), first, last).collect():
+            assert abs(r["distinct"] - exact[r.kind]) <= 4 * 1.04 / 2 ** (counters.LOG_K / 2) * exact[r.kind]
