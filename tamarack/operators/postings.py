@@ -22,7 +22,7 @@ from tamarack.operators.search import CATEGORY_RANK, EMPTY_RANK, MIN_TRIGRAM, ST
 from tamarack.operators.storage import drop, written
 
 #: Documents of the first tier; each further one has about ten times as many as those before it.
-FIRST_TIER = 10_000
+FIRST_TIER = 50_000
 #: Take so many that a bucket's postings of the largest tier are some hundred MB.
 BUCKETS = 16
 #: So many asked terms are named in the filter of the scan; more are left to the join.
