@@ -180,21 +180,21 @@ def test_golden_records_do_not_depend_on_order(spark):
 
 
 def test_site_findings(spark):
-    from test_functions import DATED, MODERN
+    from test_functions import OLD, TIDY
 
     pages = spark.createDataFrame(
-        [("https://x.es/", MODERN, 200, 900), ("https://x.es/contacto", MODERN, 200, 900), ("http://old.es/", DATED, 500, 4000), ("http://slow.wixsite.com/", MODERN, 200, 2000)],
+        [("https://roble.test/", TIDY, 200, 900), ("https://roble.test/contacto", TIDY, 200, 900), ("http://old.test/", OLD + "<img src=c.gif><img src=d.gif>", 500, 4000), ("http://slow.wixsite.com/", TIDY, 200, 2000)],
         "url string, html string, http_status int, response_time_ms int",
     )
     got = {r.site: set(r.issue_codes) for r in sites.site_issues(sites.site_rollup(sites.pages_with_signals(pages)), 2026).collect()}
-    assert got["x.es"] == set()
-    assert {"http_error_status", "no_https", "no_mobile_viewport", "very_slow_response", "legacy_markup", "stale_copyright", "low_image_alt_coverage", "broken_heading_structure", "missing_title"} <= got["old.es"]
+    assert got["roble.test"] == set()
+    assert {"http_error_status", "no_https", "no_mobile_viewport", "very_slow_response", "legacy_markup", "stale_copyright", "low_image_alt_coverage", "broken_heading_structure", "missing_title"} <= got["old.test"]
     assert got["wixsite.com"] == {"no_https", "slow_response", "free_site_builder"}
     official = sites.officialness(
-        spark.createDataFrame([(1, "Clinica Dental Centro", "x", "29005", "Malaga", "x.es")], "id int, name string, phone string, postal_code string, city string, site string"),
+        spark.createDataFrame([(1, "Fonda Roble", "x", "29005", "Malaga", "roble.test")], "id int, name string, phone string, postal_code string, city string, site string"),
         sites.pages_with_signals(pages).join(pages, "url").select("site", "title", "text", "html"),
     ).first()
-    assert official.confidence == pytest.approx(0.4) and official.official
+    assert official.confidence == pytest.approx(0.7) and official.official
 
 
 def test_robots(spark):
