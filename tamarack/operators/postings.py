@@ -59,8 +59,8 @@ def text_rank(positions: Column) -> Column:
 class Index:
     """An index below ``root``: the least opportunity of each tier but the last, falling, and how many buckets."""
 
-    def __init__(self, spark: SparkSession, root: str, bounds: tuple[float, ...], buckets: int):
-        self.spark, self.root, self.bounds, self.buckets = spark, root, bounds, buckets
+    def __init__(self, spark: SparkSession, root: str, bounds: tuple[float, ...], buckets: int, rows: int, id_type: str):
+        self.spark, self.root, self.bounds, self.buckets, self.rows, self.id_type = spark, root, bounds, buckets, rows, id_type
 
     @property
     def tiers(self) -> range:
@@ -88,7 +88,7 @@ class Index:
 def open_index(spark: SparkSession, root: str) -> Index:
     """An index that :func:`build_index` wrote."""
     meta = json.loads(spark.read.text(f"{root}/meta").first()["value"])
-    return Index(spark, root, tuple(meta["bounds"]), meta["buckets"])
+    return Index(spark, root, tuple(meta["bounds"]), meta["buckets"], meta["rows"], meta["id_type"])
 
 
 def build_index(entities: DataFrame, text: Column, root: str, stems: Callable[[Column], Column] = light_stems, first_tier: int = FIRST_TIER, buckets: int = BUCKETS) -> Index:
@@ -101,7 +101,11 @@ def build_index(entities: DataFrame, text: Column, root: str, stems: Callable[[C
     n = known.count()
     shares = [1 - first_tier * 10**t / n for t in range(20) if first_tier * 10**t < n]
     bounds = tuple(sorted(set(known.approxQuantile("opportunity", shares, 0.0001)), reverse=True)) if shares else ()
-    index = Index(spark, root, bounds, buckets)
+    index = Index(spark, root, bounds, buckets, n, known.schema["id"].dataType.simpleString())
+    meta = json.dumps({"bounds": bounds, "buckets": buckets, "rows": n, "id_type": index.id_type})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{root}/meta")
+    if not n:
+        return index
     tier = sum((F.when(F.col("opportunity") < b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
     fields = ("category", "opportunity", "reviews", "location_confidence")
     docs = known.select("id", *fields, tier.alias("tier"), trigrams(normalize_text(F.col("name"))).alias("grams"), F.split(normalize_text(text), " ").alias("words"))
@@ -119,7 +123,6 @@ def build_index(entities: DataFrame, text: Column, root: str, stems: Callable[[C
     # a rebalance: the bucket of a term that very many documents hold is written by several tasks
     every.hint("rebalance", F.col("tier"), F.col("bucket")).sortWithinPartitions("tier", "bucket", "kind", "term").write.partitionBy("tier", "bucket").parquet(f"{root}/postings")
     index.postings.groupBy("kind", "term", "tier").agg(F.count("*").alias("n")).write.parquet(f"{root}/counts")
-    spark.createDataFrame([(json.dumps({"bounds": bounds, "buckets": buckets}),)], "value string").coalesce(1).write.text(f"{root}/meta")
     return index
 
 
@@ -137,6 +140,8 @@ def search(queries: DataFrame, index: Index, k: int, min_score: float = 45.0, mi
     the text rank (0.35 for an empty query), the overlap and 0.6 for the category. Order: opportunity, relevance, reviews
     (nulls last), id. A query of nothing but stop words isn't empty: it matches by name or category alone.
     """
+    if not index.rows:
+        return index.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.id_type}, opportunity double, reviews int, relevance double, rank int")
     asked = written(_asked(queries, stems), "asked")
     wanted = _wanted(asked).select("kind", "term", index.bucket(F.col("kind"), F.col("term")).alias("b"))
     some = wanted.limit(MOST_NAMED + 1).collect()

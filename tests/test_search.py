@@ -209,4 +209,7 @@ def test_a_search_reads_the_buckets_of_its_terms_alone(spark):
 def test_no_queries_and_no_documents(spark):
     table = spark.createDataFrame([], "id long, name string, category string, opportunity double, reviews int, location_confidence double")
     index = postings.build_index(table.unionByName(spark.createDataFrame([(1, "a", None, 80.0, None, 1.0)], table.schema)), F.col("name"), new_path(spark, "index"))
-    assert postings.search(spark.createDataFrame([], "query_id int, query string, category string"), index, 5).collect() == []
+    asked = spark.createDataFrame([(1, "a", None), (2, "", None)], "query_id int, query string, category string")
+    assert postings.search(asked.limit(0), index, 5).collect() == []
+    none = postings.open_index(spark, postings.build_index(table, F.col("name"), new_path(spark, "index")).root)
+    assert postings.search(asked, none, 5).collect() == []
