@@ -33,30 +33,33 @@ def with_keys(records: DataFrame) -> DataFrame:
 def trigram_pairs(left: DataFrame, right: DataFrame, block: str, threshold: float = TRIGRAM) -> DataFrame:
     """Pairs (l_id, r_id, similarity) of one block value whose name trigrams overlap more than ``threshold``.
 
-    Trigrams are ordered by rarity over both sides; rows meet on (block, trigram) for the first
-    |x| - ceil(threshold |x|) + 1 of them, which loses no pair, and are verified exactly.
+    Different names of a block are compared once and stand for all rows that have them, so that copies cost no more than the
+    pairs they are. Trigrams are ordered by rarity over both sides; names meet on (block, trigram) for the first
+    |x| - ceil(threshold |x|) + 1 of them, which loses no pair, and are verified exactly. All joins shuffle: the size of
+    a file tells little of its rows, less of their trigrams, so that Spark would broadcast tables that no driver holds.
     """
     side = lambda df, p: df.where(F.col(block).isNotNull()).select(
-        F.col("id").alias(f"{p}_id"), F.col(block).alias("block"), trigrams(F.col("name_key")).alias(f"{p}_grams")
+        F.col("id").alias(f"{p}_id"), F.col(block).alias("block"), F.coalesce("name_key", F.lit("")).alias(f"{p}_name")
     )
     a, b = side(left, "l"), side(right, "r")
-    counts = (
-        a.select(F.explode("l_grams").alias("g")).unionAll(b.select(F.explode("r_grams").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
-    )
+    named = lambda df, p: df.select("block", f"{p}_name").distinct().withColumn("grams", trigrams(F.col(f"{p}_name")))
+    x, y = named(a, "l"), named(b, "r")
+    counts = x.select(F.explode("grams").alias("g")).unionAll(y.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
 
     def prefixes(df: DataFrame, p: str) -> DataFrame:
-        rows = df.select(f"{p}_id", "block", F.size(f"{p}_grams").alias("size"), F.explode(f"{p}_grams").alias("g")).join(counts, "g")
-        own = rows.groupBy(f"{p}_id", "block", "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("o"))
+        rows = df.select(f"{p}_name", "block", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(counts.hint("merge"), "g")
+        own = rows.groupBy(f"{p}_name", "block", "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("o"))
         keep = (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")
-        return own.select(f"{p}_id", "block", F.explode(F.slice("o", F.lit(1), keep)).alias("s")).select(f"{p}_id", "block", F.col("s.g").alias("g"))
+        return own.select(f"{p}_name", "block", F.explode(F.slice("o", F.lit(1), keep)).alias("s")).select(f"{p}_name", "block", F.col("s.g").alias("g"))
 
-    met = prefixes(a, "l").join(prefixes(b, "r"), ["block", "g"]).select("l_id", "r_id").distinct()
+    met = prefixes(x, "l").join(prefixes(y, "r").hint("merge"), ["block", "g"]).select("block", "l_name", "r_name").distinct()
     shared = F.size(F.array_intersect("l_grams", "r_grams"))
-    return (
-        met.join(a.drop("block"), "l_id").join(b.drop("block"), "r_id")
+    near = (
+        met.withColumns({"l_grams": trigrams(F.col("l_name")), "r_grams": trigrams(F.col("r_name"))})
         .withColumn("similarity", shared / (F.size("l_grams") + F.size("r_grams") - shared))
-        .where(F.col("similarity") > threshold).select("l_id", "r_id", "similarity")
+        .where(F.col("similarity") > threshold).select("block", "l_name", "r_name", "similarity")
     )
+    return near.join(a.hint("merge"), ["block", "l_name"]).join(b.hint("merge"), ["block", "r_name"]).select("l_id", "r_id", "similarity")
 
 
 def _candidates(records: DataFrame, entities: DataFrame, near: DataFrame | None, *keys: str) -> DataFrame:

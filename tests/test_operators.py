@@ -171,6 +171,15 @@ def test_trigram_join_loses_no_pair(spark):
     assert got == want
 
 
+def test_trigram_join_of_copies_broadcasts_nothing(spark, tmp_path):
+    """Copies are a few KB in a file, and much more as rows with trigrams: no size of a file may make them a broadcast."""
+    spark.range(20_000).selectExpr("id", "concat('old plate ', id % 3) AS name_key", "id div 50 AS b").write.parquet(f"file://{tmp_path}/names")
+    df = spark.read.parquet(f"file://{tmp_path}/names")
+    pairs = resolve.trigram_pairs(df, df, "b")
+    assert pairs.count() == 20_000 * 50
+    assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_golden_records_do_not_depend_on_order(spark):
     rows = [("c", i, f"n{'x' * (i % 3)}", "cat", i / 10, datetime.datetime(2026, 1, 1 + i), "s", None if i < 3 else f"p{i}") for i in range(8)]
     schema = "component string, id int, name string, category string, category_confidence double, retrieved_at timestamp, source string, phone string"
