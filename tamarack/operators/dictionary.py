@@ -52,8 +52,9 @@ def _automaton(key: str, spread):
 def longest_matches(rows: DataFrame, texts: list[str], terms: DataFrame, name: str = "matches", most_bytes: int = MOST_BYTES) -> DataFrame:
     """``rows`` with the array ``name``: for each of the columns ``texts`` (normalised) its longest term, or null.
 
-    terms: (place, term, category), terms normalised; of equally long ones the least place counts. A term of one word matches a
-    whole word, one of several words matches anywhere. Null texts match nothing, nor do empty terms. Narrow.
+    terms: (place, term, category), terms normalised; of equally long ones the least place counts, of one place the first
+    term by its letters. A term of one word matches a whole word, one of several words matches anywhere. Null texts match
+    nothing, nor do empty terms. Narrow.
     """
     known = written(terms.select(F.col("place").cast("long").alias("place"), "term", "category").where("term <> ''"), "terms")
     size = known.agg(F.coalesce(F.sum(F.octet_length("term") + 100), F.lit(0)).alias("s")).first()["s"]
@@ -65,8 +66,8 @@ def longest_matches(rows: DataFrame, texts: list[str], terms: DataFrame, name: s
         spread = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about most_bytes
         out = _matched(out, texts, spread, column)
     drop(known)
-    # of all blocks the longest term of each text, of equal ones the one of the least place
-    order = lambda m: F.struct((-F.length(m["term"])).alias("k"), m["place"].alias("p"))
+    # of all blocks the longest term of each text, of equal ones the one of the least place, then by its letters
+    order = lambda m: F.struct((-F.length(m["term"])).alias("k"), m["place"].alias("p"), m["term"].alias("t"))
     better = lambda a, b: F.when(a.isNull() | (b.isNotNull() & (order(b) < order(a))), b).otherwise(a)
     best = F.col(columns[0])
     for column in columns[1:]:
@@ -90,7 +91,7 @@ def _matched(rows: DataFrame, texts: list[str], spread, column: str) -> DataFram
 def _longest(automaton, text: str | None) -> dict | None:
     if not text or not len(automaton):
         return None
-    best = min((hit for _, hit in automaton.iter(f" {text} ")), default=None, key=lambda h: h[:2])
+    best = min((hit for _, hit in automaton.iter(f" {text} ")), default=None, key=lambda h: h[:3])
     return best and {"term": best[2], "category": best[3], "many": best[4], "place": best[1]}
 
 

@@ -36,6 +36,15 @@ def test_no_terms_and_no_rows(spark):
     assert dictionary.longest_matches(df.limit(0), ["name"], terms(spark, TAXONOMY), "m").collect() == []
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, 120])
+def test_terms_of_one_place_go_by_their_letters(spark, most_bytes):
+    """Eight letters that differ in the last alone have one number of their first seven and a half."""
+    known = spark.createDataFrame([(7, t, "c") for t in ("edtiones", "edtioner", "edtionet")], "place long, term string, category string")
+    df = spark.createDataFrame([(1, "x edtiones edtionet edtioner"), (2, "edtionet edtiones")], "id long, text string")
+    got = {r.id: r.m[0].term for r in dictionary.longest_matches(df, ["text"], known, "m", most_bytes).collect()}
+    assert got == {1: "edtioner", 2: "edtiones"}
+
+
 def test_time_does_not_follow_the_number_of_terms(spark):
     rnd = random.Random(1)
     make = lambda n: spark.createDataFrame([(i, "".join(rnd.choices("abcdefghij", k=9)), "c") for i in range(n)], "place long, term string, category string")
