@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,15 @@ def longest_term(value: Column, terms: tuple[str, ...]) -> Column:
     return F.get(found, F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once for a row, however often ``use`` names it.
+
+    Columns are put into the place of their names, so that what is named twice at each of some levels is worked out very
+    often; the variable of a function isn't.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def location_verdict(
     address: Column, postal_code: Column, municipality: Column, city: Column, province: Column, country: Column,
     latitude: Column, longitude: Column, scope: Scope = MALAGA, min_confidence: float = MIN_CONFIDENCE,
@@ -107,29 +117,49 @@ def location_verdict(
     A contradiction rejects, in the order country, excluded municipality, postal code, coordinates;
     otherwise evidence adds up.
     """
-    item = lambda signal, value, weight, ok: F.struct(
-        F.lit(signal).alias("signal"), value.cast("string").alias("value"), F.lit(float(weight)).alias("weight"), F.lit(ok).alias("supports")
-    )
-    land = F.upper(F.trim(F.coalesce(country, F.lit(""))))
-    foreign = (land != "") & ~land.isin(*scope.countries)
-    fields = F.transform(F.filter(F.array(municipality, city, address), lambda f: F.trim(f) != ""), lambda f: f)
+    fields = F.filter(F.array(municipality, city, address), lambda f: F.trim(f) != "")
     matched = F.transform(
         fields,
-        lambda f: F.struct(
-            f.alias("field"), longest_term(normalize_text(f), scope.excluded).alias("no"), longest_term(normalize_text(f), scope.aliases).alias("yes")
-        ),
+        lambda f: once(normalize_text(f), lambda n: F.struct(f.alias("field"), longest_term(n, scope.excluded).alias("no"), longest_term(n, scope.aliases).alias("yes"))),
     )
     zero = lambda c: F.coalesce(F.length(c), F.lit(0))
-    outside = F.get(F.filter(matched, lambda m: m["no"].isNotNull() & (zero(m["no"]) >= zero(m["yes"]))), F.lit(0))["no"]
-    inside = F.get(F.filter(matched, lambda m: m["yes"].isNotNull()), F.lit(0))["field"]
-    postal = F.regexp_replace(F.coalesce(postal_code, F.lit("")), "[^0-9]", "")
+    facts = F.struct(
+        F.upper(F.trim(F.coalesce(country, F.lit("")))).alias("land"),
+        F.regexp_replace(F.coalesce(postal_code, F.lit("")), "[^0-9]", "").alias("postal"),
+        once(matched, lambda ms: F.struct(
+            F.get(F.filter(ms, lambda m: m["no"].isNotNull() & (zero(m["no"]) >= zero(m["yes"]))), F.lit(0))["no"].alias("outside"),
+            F.get(F.filter(ms, lambda m: m["yes"].isNotNull()), F.lit(0))["field"].alias("inside"),
+        )).alias("place"),
+        province.alias("province"), latitude.alias("lat"), longitude.alias("lon"),
+    )
+    return once(facts, lambda x: _judged(x, scope, min_confidence))
+
+
+def _judged(facts: Column, scope: Scope, min_confidence: float) -> Column:
+    """The verdict of what :func:`location_verdict` found: land, postal, place (outside, inside), province, lat, lon."""
+    land, postal, province, latitude, longitude = (facts[c] for c in ("land", "postal", "province", "lat", "lon"))
+    outside, inside = facts["place"]["outside"], facts["place"]["inside"]
     has_postal = F.length(postal) == 5
-    wrong_postal = has_postal & ~postal.isin(*scope.postal_codes)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     located = finite(latitude) & finite(longitude)
-    off_map = located & ~in_box(latitude, longitude, scope.box)
     km = F.when(located, haversine_km(F.lit(scope.centre[0]), F.lit(scope.centre[1]), latitude, longitude))
-    of_province = F.contains(normalize_text(province), F.lit(scope.province.lower())) & province.isNotNull()
+    told = F.struct(
+        land.alias("land"), postal.alias("postal"), outside.alias("outside"), inside.alias("inside"), province.alias("province"), latitude.alias("lat"), longitude.alias("lon"),
+        ((land != "") & ~land.isin(*scope.countries)).alias("foreign"), has_postal.alias("has_postal"),
+        (has_postal & ~postal.isin(*scope.postal_codes)).alias("wrong_postal"), located.alias("located"),
+        (located & ~in_box(latitude, longitude, scope.box)).alias("off_map"), km.alias("km"),
+        (F.contains(normalize_text(province), F.lit(scope.province.lower())) & province.isNotNull()).alias("of_province"),
+    )
+    return once(told, lambda x: _weighed(x, scope, min_confidence))
+
+
+def _weighed(told: Column, scope: Scope, min_confidence: float) -> Column:
+    """The struct of the verdict, from what :func:`_judged` says of each signal."""
+    land, postal, outside, inside, province, latitude, longitude = (told[c] for c in ("land", "postal", "outside", "inside", "province", "lat", "lon"))
+    foreign, has_postal, wrong_postal, located, off_map, of_province, km = (told[c] for c in ("foreign", "has_postal", "wrong_postal", "located", "off_map", "of_province", "km"))
+    item = lambda signal, value, weight, ok: F.struct(
+        F.lit(signal).alias("signal"), value.cast("string").alias("value"), F.lit(float(weight)).alias("weight"), F.lit(ok).alias("supports")
+    )
     near = located & (km <= scope.radius_km)
     plus = lambda cond, w: F.when(cond, F.lit(w)).otherwise(F.lit(0.0))
     total = (
@@ -137,8 +167,7 @@ def location_verdict(
         + plus(located, 0.35) + plus(near, 0.10)
     )
     rejected = foreign | outside.isNotNull() | wrong_postal | off_map
-    confidence = F.when(F.coalesce(rejected, F.lit(False)), F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
-    in_scope = confidence >= min_confidence
+    weight = F.when(F.coalesce(rejected, F.lit(False)), F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
     point = lambda d: F.concat(F.format_number(latitude, d), F.lit(","), F.format_number(longitude, d))
     support = F.filter(
         F.array(
@@ -157,19 +186,23 @@ def location_verdict(
         .when(wrong_postal, item("postal_code", postal, 0, False))
         .when(off_map, item("coordinates", point(5), 0, False))
     )
-    reason = (
+    reason = lambda w: (
         F.when(foreign, F.concat(F.lit("Country "), land, F.lit(f" is outside {scope.country}")))
         .when(outside.isNotNull(), F.concat(F.lit('Municipality "'), outside, F.lit(f'" is in the province but outside {scope.display} city')))
         .when(wrong_postal & postal.startswith(scope.postal_prefix), F.concat(F.lit("Postal code "), postal, F.lit(f" is in the province but not in {scope.display} city")))
         .when(wrong_postal, F.concat(F.lit("Postal code "), postal, F.lit(f" is outside the {scope.display} province")))
         .when(off_map, F.concat(F.lit("Coordinates "), point(4), F.lit(f" fall outside the {scope.display} bounding box")))
-        .when(in_scope, F.concat(F.lit(f"Verified in {scope.display} by "), F.concat_ws(", ", F.transform(support, lambda e: e["signal"]))))
+        .when(w["weight"] >= min_confidence, F.concat(F.lit(f"Verified in {scope.display} by "), F.concat_ws(", ", F.transform(w["support"], lambda e: e["signal"]))))
         .otherwise(F.lit(f"Insufficient evidence that this business is in {scope.display}"))
     )
-    return F.struct(
-        in_scope.alias("in_scope"),
-        (F.floor(confidence * 1000 + 0.5) / 1000).alias("confidence"),
-        reason.alias("reason"),
-        F.when(against.isNotNull(), F.array(against)).otherwise(support).alias("evidence"),
-        F.when(~F.coalesce(foreign | outside.isNotNull() | wrong_postal, F.lit(False)), km).alias("distance_km"),
+    weighed = F.struct(weight.alias("weight"), support.alias("support"), against.alias("against"))
+    return once(
+        weighed,
+        lambda w: F.struct(
+            (w["weight"] >= min_confidence).alias("in_scope"),
+            (F.floor(w["weight"] * 1000 + 0.5) / 1000).alias("confidence"),
+            reason(w).alias("reason"),
+            F.when(w["against"].isNotNull(), F.array(w["against"])).otherwise(w["support"]).alias("evidence"),
+            F.when(~F.coalesce(foreign | outside.isNotNull() | wrong_postal, F.lit(False)), km).alias("distance_km"),
+        ),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarack.functions.geo import MALAGA, Scope, location_verdict
+from tamarack.functions.geo import MALAGA, Scope, location_verdict, once
 from tamarack.functions.hashing import stable_id
 from tamarack.functions.text import clean_field, decimal_number
 
@@ -137,18 +137,18 @@ def validate(records: DataFrame, scope: Scope = MALAGA) -> DataFrame:
     c = F.col
     v = location_verdict(c("address"), c("postal_code"), c("municipality"), c("city"), c("province"), c("country"), c("latitude"), c("longitude"), scope)
     some = F.coalesce("postal_code", "municipality", "city", "address").isNotNull() | (c("latitude").isNotNull() & c("longitude").isNotNull())
-    with_verdict = records.withColumn("verdict", v)
-    reasons = F.filter(
+    reasons = lambda verdict: F.filter(
         F.array(
             F.when(F.coalesce(F.length("name"), F.lit(0)) < 2, "missing or unusable name"),
             F.when(c("source").isNull() | c("source_id").isNull(), "missing source"),
             F.when(c("retrieved_at").isNull(), "missing or invalid retrieved_at"),
             F.when(~some, "no geographic evidence"),
-            F.when(F.exists("verdict.evidence", lambda e: ~e["supports"]), c("verdict.reason")),
+            F.when(F.exists(verdict["evidence"], lambda e: ~e["supports"]), verdict["reason"]),
         ),
         lambda r: r.isNotNull(),
     )
-    return with_verdict.withColumn("reasons", reasons)
+    checked = once(v, lambda verdict: F.struct(verdict.alias("verdict"), reasons(verdict).alias("reasons")))
+    return records.withColumn("_checked", checked).select(*records.columns, "_checked.verdict", "_checked.reasons")
 
 
 def source_report(validated: DataFrame) -> DataFrame:
