@@ -25,6 +25,8 @@ from tamarack.operators.storage import drop, written
 FIRST_TIER = 50_000
 #: Take so many that a bucket's postings of the largest tier are some hundred MB.
 BUCKETS = 16
+#: Texts of so many words are grouped to terms without a shuffle.
+ROW_WORDS = 64
 #: So many asked terms are named in the filter of the scan; more are left to the join.
 MOST_NAMED = 500
 # Fixed values of the text rank: weight of a lexeme, sum of 1 / i ** 2, decay by distance and its reach.
@@ -91,7 +93,7 @@ def open_index(spark: SparkSession, root: str) -> Index:
     return Index(spark, root, tuple(meta["bounds"]), meta["buckets"], meta["rows"], meta["id_type"])
 
 
-def build_index(entities: DataFrame, text: Column, root: str, stems: Callable[[Column], Column] = light_stems, first_tier: int = FIRST_TIER, buckets: int = BUCKETS) -> Index:
+def build_index(entities: DataFrame, text: Column, root: str, stems: Callable[[Column], Column] = light_stems, first_tier: int = FIRST_TIER, buckets: int = BUCKETS, row_words: int = ROW_WORDS) -> Index:
     """Write the index of entities (id, name, category, opportunity, reviews, location_confidence) over ``text`` to ``root``.
 
     Entities without an opportunity aren't indexed. Documents of equal opportunity are of one tier.
@@ -113,9 +115,17 @@ def build_index(entities: DataFrame, text: Column, root: str, stems: Callable[[C
     kept = ("id", "tier", *fields, F.size("grams").alias("n_grams"))
     # stop words keep their place in the count of positions
     stemmed = F.arrays_zip(F.col("words").alias("word"), stems(F.col("words")).alias("term"))
-    tokens = docs.select(*kept, F.posexplode(stemmed).alias("at", "w")).where((F.col("w.word") != "") & ~F.col("w.word").isin(*STOP_WORDS))
     names = [c if isinstance(c, str) else "n_grams" for c in kept]
-    placed = tokens.groupBy(*names, F.col("w.term").alias("term")).agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions")).withColumn("kind", F.lit("t"))
+    # the words of a short text are grouped in its row, a square of few; those of long texts are shuffled
+    short, long = docs.where(F.size("words") <= row_words), docs.where(F.size("words") > row_words)
+    counted = F.filter(
+        F.transform("w", lambda x, i: F.struct(x["word"].alias("word"), x["term"].alias("term"), (i + 1).alias("at"))), lambda x: (x["word"] != "") & ~x["word"].isin(*STOP_WORDS)
+    )
+    of_term = F.explode(F.transform(F.array_distinct("w.term"), lambda t: F.struct(t.alias("term"), F.transform(F.filter("w", lambda x: x["term"] == t), lambda x: x["at"]).alias("positions"))))
+    in_row = short.select(*kept, stemmed.alias("w")).select(*names, counted.alias("w")).select(*names, of_term.alias("x")).select(*names, "x.term", "x.positions")
+    tokens = long.select(*kept, F.posexplode(stemmed).alias("at", "w")).where((F.col("w.word") != "") & ~F.col("w.word").isin(*STOP_WORDS))
+    shuffled = tokens.groupBy(*names, F.col("w.term").alias("term")).agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+    placed = in_row.unionByName(shuffled).withColumn("kind", F.lit("t"))
     none = F.lit(None).cast("array<int>").alias("positions")
     grams = docs.select(*kept, F.lit("g").alias("kind"), none, F.explode("grams").alias("term"))
     categories = docs.where("category IS NOT NULL").select(*kept, F.lit("c").alias("kind"), none, F.col("category").alias("term"))

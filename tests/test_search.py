@@ -213,3 +213,14 @@ def test_no_queries_and_no_documents(spark):
     assert postings.search(asked.limit(0), index, 5).collect() == []
     none = postings.open_index(spark, postings.build_index(table, F.col("name"), new_path(spark, "index")).root)
     assert postings.search(asked, none, 5).collect() == []
+
+
+def test_postings_of_a_row_are_those_of_a_shuffle(spark, tmp_path):
+    rows = [(1, "red bolt the red ring", 3.0), (2, "", 2.0), (3, "bolts of bolt", 1.0), (4, "the of", 4.0), (5, "ring " * 70 + "bolt", 5.0)]
+    df = spark.createDataFrame(rows, "id long, name string, opportunity double").selectExpr("*", "'c' AS category", "1 AS reviews", "0.9D AS location_confidence")
+    made = []
+    for words in (0, 3, 64, 100):
+        index = postings.build_index(df, F.col("name"), f"file://{tmp_path}/{words}", row_words=words)
+        made.append(sorted((r.kind, r.term, r.id, r.positions) for r in index.postings.where("kind = 't'").collect()))
+    assert made[0] and made[0] == made[1] == made[2] == made[3]
+    assert ("t", "bolt", 5, [71]) in made[2]
