@@ -109,3 +109,13 @@ def broadcast_if_small(table: DataFrame, most_rows: int, weight: Column | None =
     """
     rows = table.count() if weight is None else table.agg(F.sum(weight + 1)).first()[0] or 0
     return F.broadcast(table) if rows <= most_rows else table
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as a shuffle has, and three for each core at least.
+
+    For work that costs much more than the reading of a row: Spark cuts files by their bytes, so that a small file of very many
+    rows, or one with a single row group, is one task. Select the columns that are needed before.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

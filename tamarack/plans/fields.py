@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import contact, geo, hashing, numbers, text
 from tamarack.operators import dictionary, resolve
-from tamarack.operators.storage import written
+from tamarack.operators.storage import spread, written
 from tamarack.plans.registry import query, table
 
 NORM = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
@@ -276,7 +276,7 @@ def d3(spark, sf):
         nothing, string(POSTAL), nothing, string(CITY), nothing, string(COUNTRY),
         F.when(some, F.expr(f"cast({LAT} as double)")), F.when(some, F.expr(f"cast({LON} as double)")),
     )
-    return table(spark, sf, "customer").select("c_custkey", v.alias("v")).select(
+    return spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", v.alias("v")).select(
         "c_custkey", "v.in_scope", "v.confidence", F.get(F.filter("v.evidence", lambda e: ~e["supports"]), F.lit(0))["signal"].alias("against")
     )
 

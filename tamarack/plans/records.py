@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text
 from tamarack.operators import classify, postings, relational, resolve, scoring, search
-from tamarack.operators.storage import new_path
+from tamarack.operators.storage import new_path, spread
 from tamarack.plans.fields import GRAMS_SQL, NORM, TOKENS_SQL
 from tamarack.plans.registry import query, table
 from tamarack.sources import listings, sinks, splittable
@@ -22,7 +22,7 @@ def _spark(sql: str) -> str:
 
 def _listing_rows(spark, sf):
     """Raw listing rows with the column names of two kinds of sources, derived from customers."""
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
     return c.selectExpr(
         _spark(f"{NAME} AS Nombre"), "c_mktsegment AS Tipo", "concat('Calle ', c_custkey % 40) AS `Direccion`",
         "cast(29000 + c_custkey % 23 as string) AS `Codigo-Postal`", "'Málaga' AS ciudad", "concat('95', lpad(cast(c_custkey % 500 as string), 7, '2')) AS Telefono",

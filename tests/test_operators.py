@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import geo, html, text
 from tamarack.operators import components, relational, resolve, search, sites
 from tamarack.operators.components import connected_components
+from tamarack.plans import catalogue
 from tamarack.sources import listings, sinks
 from tamarack.streaming import jobs
 
@@ -327,3 +328,13 @@ def test_one_phone_and_one_gram_on_half_of_the_rows(spark):
 def test_resolved_references(spark, value, want):
     df = spark.createDataFrame([(value, "https://X.es/d/e?o=1#f".replace("X", "x"))], "v string, b string")
     assert df.select(html.resolved(F.col("v"), F.col("b"))).first()[0] == want
+
+
+@pytest.mark.parametrize("name", ["D2_D3_location_verdict", "A6_A7_alias_mapping"])
+def test_a_file_of_one_part_is_worked_on_by_many_tasks(spark, sf_dir, name):
+    """Spark reads a small file in one task, whatever its rows; what costs more than the reading is done by all cores."""
+    whole = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    assert whole.rdd.getNumPartitions() == 1
+    sizes = [r["count"] for r in catalogue.queries()[name](spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 3 * spark.sparkContext.defaultParallelism and sum(sizes) == whole.count()
+    assert max(sizes) <= 2 * whole.count() / len(sizes)
