@@ -60,9 +60,12 @@ def normalize_text(c: Column) -> Column:
 def normalize_name(c: Column) -> Column:
     """normalize_text of a name without trailing legal forms, each stripped once, in order."""
     value = F.trim(F.lower(strip_diacritics(F.coalesce(c, F.lit("")))))
-    for suffix in LEGAL_SUFFIXES:
-        quoted = suffix.replace(".", "\\.")
-        value = F.regexp_replace(value, f"(?s)^(.+)[ ,.\\-]{quoted}$", "$1")
+    quoted = [suffix.replace(".", "\\.") for suffix in LEGAL_SUFFIXES]
+    stripped = value
+    for suffix in quoted:
+        stripped = F.regexp_replace(stripped, f"(?s)^(.+)[ ,.\\-]{suffix}$", "$1")
+    # most names end in none of them
+    value = F.when(value.rlike(f"(?s).[ ,.\\-](?:{'|'.join(quoted)})$"), stripped).otherwise(value)
     return F.trim(F.regexp_replace(value, "[^a-z0-9]+", " "))
 
 

@@ -30,6 +30,24 @@ def with_keys(records: DataFrame) -> DataFrame:
     )
 
 
+def _copies(records: DataFrame) -> DataFrame:
+    """records with ``alone``: the id of a record that equal keys don't merge with others (it has none, or no name)."""
+    merges = (F.col("domain") != "") | ((F.col("name_key") != "") & ((F.col("phone_key") != "") | (F.col("postal_code") != "")))
+    return records.withColumn("alone", F.when(~F.coalesce(merges, F.lit(False)), F.col("id")))
+
+
+def one_of_copies(records: DataFrame) -> DataFrame:
+    """(id, the keys, alone): the least id of all records that have the same keys and so merge with each other."""
+    return _copies(records).groupBy(*KEYS, "alone").agg(F.min("id").alias("id"))
+
+
+def of_copies(records: DataFrame, known: DataFrame) -> DataFrame:
+    """records with the further columns of ``known``, which has those of :func:`one_of_copies` but the id."""
+    same = reduce(Column.__and__, (F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in (*KEYS, "alone")))
+    more = [F.col(f"k.{c}") for c in known.columns if c not in (*KEYS, "alone")]
+    return _copies(records).alias("r").join(known.alias("k"), same).select(*(F.col(f"r.{c}") for c in records.columns), *more)
+
+
 def trigram_pairs(left: DataFrame, right: DataFrame, block: str, threshold: float = TRIGRAM) -> DataFrame:
     """Pairs (l_id, r_id, similarity) of one block value whose name trigrams overlap more than ``threshold``.
 

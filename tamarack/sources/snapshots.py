@@ -131,7 +131,8 @@ class Snapshots:
         parts = self.manifest(version, as_of)["tables"].get(name, {})
         folders = [f"{self.root}/{f}" for b, own in parts.items() if buckets is None or int(b) in buckets for f in own]
         schema = self.tables[name].schema
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        # joins with a table that is known to be empty are left out of the plan
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema).where(F.lit(False))
 
     def commit(self, changes: Mapping[str, Change], parent: int | None = None, batch: tuple[str, int] | None = None, at: datetime | None = None) -> int:
         """Write the changes of all tables and make them one new version, whose number is returned.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import normalize_name
 from tamarack.operators.components import connected_components
-from tamarack.operators.resolve import cross_edges, golden_records, merge_edges, suppressed, with_keys
+from tamarack.operators.resolve import cross_edges, golden_records, merge_edges, of_copies, one_of_copies, suppressed, with_keys
 from tamarack.operators.storage import drop, written
 from tamarack.sources.snapshots import Change, Keyed, Snapshots
 
@@ -69,38 +69,44 @@ class Resolver:
             once = suppressed(once, self.suppression)
         known = self.store.read("members", self.store.touched("members", once), version)
         fresh = written(with_keys(once).join(known.select("id"), "id", "left_anti"), "fresh")
-        new_keys = written(_block_keys(fresh), "keys")
-        components, moved = self._components(fresh, new_keys, version)
-        changes = self._changes(fresh, new_keys, components, moved, version)
+        copies = written(one_of_copies(fresh), "copies")
+        new_keys = written(_block_keys(copies), "keys")
+        placed, moved = self._components(fresh, copies, new_keys, version)
+        changes = self._changes(placed, new_keys, moved, version)
         out = self.store.commit(changes, version, (stream, batch_id))
-        for t in (fresh, new_keys, components, moved):
+        for t in (fresh, copies, new_keys, placed, moved):
             drop(t)
         return out
 
-    def _components(self, fresh: DataFrame, new_keys: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
-        """(id, component) of the batch's records, and (old, component) of older components that they meet."""
+    def _components(self, fresh: DataFrame, copies: DataFrame, new_keys: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+        """The batch's records with their ``component``, and (old, component) of older components that they meet.
+
+        One of all records whose keys are the same stands for them in every join but the last, which gives them its component.
+        """
         buckets = self.store.touched("keys", new_keys)
         met = self.store.read("keys", buckets, version).join(new_keys.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
-        across = written(cross_edges(fresh, _as_records(met)), "across")
+        across = written(cross_edges(copies, _as_records(met)), "across")
         own = self.store.read("members", self.store.touched("members", across.select(F.col("dst").alias("id"))), version)
         to_old = across.join(own.select(F.col("id").alias("dst"), F.col("component").alias("old")), "dst").select("src", "old")
-        # nodes are the batch's ids and older components by their least id; the least of all is the component's name
-        links = merge_edges(fresh).unionByName(to_old.select("src", F.col("old").alias("dst")))
+        # nodes are ids of the batch and older components by their least id; the least of all is the component's name
+        links = merge_edges(copies).unionByName(to_old.select("src", F.col("old").alias("dst")))
         found = connected_components(links)
-        components = fresh.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        named = copies.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = of_copies(fresh, named.drop("id"))
         old = to_old.select("old").distinct().join(found.withColumnRenamed("node", "old"), "old").select("old", "component")
-        out = written(components, "components"), written(old, "moved")
+        out = written(placed, "placed"), written(old, "moved")
         drop(across)
         return out
 
-    def _changes(self, fresh: DataFrame, new_keys: DataFrame, components: DataFrame, moved: DataFrame, version: int) -> dict[str, Change]:
+    def _changes(self, fresh: DataFrame, new_keys: DataFrame, moved: DataFrame, version: int) -> dict[str, Change]:
+        components = fresh.select("id", "component")
         # what is written again: the buckets of the batch's components and of those they met
         of = components.select("component").unionByName(moved.select("component")).unionByName(moved.select(F.col("old").alias("component"))).distinct()
         buckets = self.store.touched("records", of)
         renamed = moved.withColumnRenamed("component", "new").withColumnRenamed("old", "component")
         before = self.store.read("records", buckets, version)
         kept = before.join(renamed, "component", "left").withColumn("component", F.coalesce("new", "component")).select(*before.columns)
-        records = kept.unionByName(fresh.join(components, "id").select(*before.columns))
+        records = kept.unionByName(fresh.select(*before.columns))
         changed = components.select("component").unionByName(moved.select("component")).distinct()
         golden = golden_records(records.join(changed, "component", "left_semi")).withColumn("name_key", normalize_name(F.col("name")))
         entities = self.store.read("entities", buckets, version).join(of, "component", "left_anti")
@@ -116,14 +122,23 @@ class Resolver:
 
 
 def _block_keys(records: DataFrame) -> DataFrame:
-    """(kind, value, id, name_key, postal_code) of the keys that a record can meet others by."""
+    """(kind, value, id, name_key, postal_code) of the keys that a record can meet others by.
+
+    Records of one batch that have a key and a name in common, or a domain, merge: the least id has the key for all of them.
+    """
     keys = F.array(
         F.struct(F.lit("domain").alias("kind"), F.col("domain").alias("value")),
         F.struct(F.lit("phone").alias("kind"), F.col("phone_key").alias("value")),
         F.struct(F.lit("street").alias("kind"), F.when(F.col("street") != "", F.concat_ws("|", "postal_code", "street")).alias("value")),
         F.struct(F.lit("postal").alias("kind"), F.col("postal_code").alias("value")),
     )
-    return records.select("id", "name_key", "postal_code", F.explode(keys).alias("k")).where("k.value <> ''").select("k.kind", "k.value", "id", "name_key", "postal_code")
+    by_domain = F.col("kind") == "domain"
+    rows = records.select("id", "name_key", "postal_code", F.explode(keys).alias("k")).where("k.value <> ''").select("k.*", "id", "name_key", "postal_code")
+    return (
+        rows.where(by_domain | (F.col("name_key") != ""))
+        .groupBy("kind", "value", F.when(~by_domain, F.col("name_key")).alias("name_key"), F.when(F.col("kind").isin("street", "postal"), F.col("postal_code")).alias("postal_code"))
+        .agg(F.min("id").alias("id")).select("kind", "value", "id", "name_key", "postal_code")
+    )
 
 
 def _as_records(keys: DataFrame) -> DataFrame:

@@ -165,6 +165,33 @@ def test_records_without_a_website_of_their_own_do_not_meet_by_it(spark):
     assert rows(found.select("id", "component")) == [("r0", "r0"), ("r1", "r1"), ("r2", "r2"), ("r3", "r3"), ("r4", "r4"), ("r5", "r5"), ("r6", "r5")]
 
 
+def test_copies_are_one_node_and_one_key(spark, monkeypatch):
+    """Records with the same keys take one place in the graph and one in each list of a key, however many they are."""
+    from tamarack.operators.components import connected_components
+    from tamarack.streaming import resolution
+
+    links = []
+
+    def counted(edges):
+        links.append(edges.count())
+        return connected_components(edges)
+
+    monkeypatch.setattr(resolution, "connected_components", counted)
+    at = T0.replace(tzinfo=None)
+    # three kinds of copies, and records that equal keys don't merge: without any, and of a phone but no name of their own
+    kinds = [("Bar Uno", "https://uno.es", "950000001", "Calle A 1", "29001"), ("Bar Dos", None, "950000002", None, "29002"), ("Bar Tres", "https://uno.es", None, "Calle B 1", None),
+             ("Bar Solo", None, None, "Calle C 1", None), ("--", None, "950000004", None, "29004")]
+    records = [(f"r{i:04d}", "s", at, n, w, p, None, a, c, None, None) for i, (n, w, p, a, c) in ((i, kinds[i % 5]) for i in range(600))]
+    resolver = Resolver(spark, new_path(spark, "resolver"), "category string, category_confidence double", buckets=2)
+    for batch_id, part in ((0, records[:400]), (1, records[400:])):
+        resolver.apply(spark.createDataFrame(part, FIELDS), batch_id)
+    assert len(links) == 2 and max(links) < 10
+    assert resolver.store.read("keys").count() <= 2 * 8
+    whole = resolve_batch(with_keys(spark.createDataFrame(records, FIELDS)))
+    assert rows(resolver.members()) == rows(whole.select("id", "component"))
+    assert sorted(r.n_records for r in resolver.entities().collect()) == [1] * 240 + [120, 240]
+
+
 def test_cross_edges_and_own_edges_are_all_edges(spark):
     keyed = with_keys(spark.createDataFrame(listings(60), FIELDS))
     from tamarack.operators.components import connected_components
